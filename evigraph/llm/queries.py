@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import mixing, simhash, tokenbin
+from . import hostrules, mixing, simhash, tokenbin, winnowing
+
+
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(C.table(spark, sf_dir, "documents"))
 
 
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hostrules.judge(C.table(spark, sf_dir, "documents")).drop("host_rate")
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -24,9 +32,33 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mix_sources, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_mix_sources, op6_host_rules, op10_token_binary)}
 
 ORACLE = {
+    "op1_decontaminate": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (SELECT DISTINCT id, least(10, len(w)) AS k, array_to_string(w[s : s + least(10, len(w)) - 1], ' ') AS t FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM wins),
+occ AS (SELECT rid, s, k, array_to_string(w[s : s + k - 1], ' ') AS t FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, lens WHERE len(w) >= k)),
+found AS (SELECT rid, s, occ.k AS k, id FROM occ JOIN wins ON occ.t = wins.t AND occ.k = wins.k),
+hit AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT rid, s, k FROM found)) GROUP BY rid),
+ids AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS list FROM (SELECT DISTINCT rid, id FROM found WHERE id IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)""",
+    "op6_host_rules": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT rid, s, array_to_string(w[s : s + 4], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+r AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest(range(s, s + 5)) AS p FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1) GROUP BY rid),
+f AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (rid)),
+e AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM e GROUP BY source),
+m AS (SELECT greatest(least(avg(failed / n), 0.999999), 0.000001)::DOUBLE AS m, var_samp(failed / n) AS v FROM h),
+p AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END, 1), 1000)::DOUBLE AS k FROM m),
+q AS (SELECT source, (failed + m * k) / (n + k) AS rate FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source""",
     "op4_mix_sources": r"""
 WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, coalesce(sum(size), 0)::BIGINT AS source_size FROM sizes GROUP BY source),
