@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hostrules, mixing, simhash, tokenbin, winnowing
+from . import hostrules, langid, mixing, pii, simhash, tokenbin, warc, winnowing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,22 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(C.table(spark, sf_dir, "documents"))
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(C.table(spark, sf_dir, "pages"), C.fresh_dir(spark, "warc")).drop("bundle")
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(C.table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(C.table(spark, sf_dir, "documents"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(C.table(spark, sf_dir, "documents")))
+
+
 def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,7 +44,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_mix_sources, op6_host_rules, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op8_language, op9_personal_data, op10_token_binary)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -46,6 +58,10 @@ hit AS (SELECT rid, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT rid, unnest(
 ids AS (SELECT rid, count(*)::BIGINT AS n_items, string_agg(id, ',' ORDER BY id) AS list FROM (SELECT DISTINCT rid, id FROM found WHERE id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN ids USING (rid)""",
+    "op5_warc_bundles": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest, CASE WHEN octet_length(b) >= 1000 THEN max(page_id) OVER (PARTITION BY b) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to FROM k""",
     "op6_host_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),

@@ -1,0 +1,61 @@
+import hashlib
+import re
+
+from evigraph.llm import pii
+
+
+def luhn(digits):
+    total = 0
+    for k, d in enumerate(reversed(digits)):
+        v = int(d) * (2 if k % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+def plain(text):
+    text = text or ""
+    only = lambda m: re.sub("[^0-9]", "", m)
+    tests = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(only(m)) <= 19 and luhn(only(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(only(m)) <= 15),
+    ]
+    found = [[(kind, m.start(), m.end()) for m in re.finditer(p, text) if ok(m[0])] for kind, p, ok in tests]
+    return [len(f) for f in found], ",".join(f"{k}:{s}:{e}" for f in found for k, s, e in f)
+
+
+HARD = [
+    "a@b.c_d@e.f x@y @z.de a..b@c-d.e-f.g. %+-@a.b", "1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1 1.2.3 001.002.003.004x 99999.1.1.1.1", "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111 41111111111111110 4 1 1 1 12",
+    "+1 (555) 010-2030. +49 30 1234567- +1 2 +123456789012345678 ++44 20 7946 0958 +12", "éé \U0001f600 ñ@b.co x\U0001f600y@b.co 1.1.1.1", "a" * 30000 + "@", "9" * 30000, "a@" + ".".join("b" * 20000), "+1" + " " * 20000, "1.1.1.1 " * 300,
+]
+
+
+def test_base_spans_against_plain_python(spark, sample, edge, empty):
+    hard = spark.createDataFrame(list(enumerate(HARD)), "doc_id long, text string")
+    for docs in (sample, edge, hard, empty):
+        got = sorted(map(tuple, pii.digest(pii.find(docs)).collect()), key=repr)
+        want = []
+        for r in docs.collect():
+            counts, spans = plain(r.text)
+            want.append((r.doc_id, *counts, hashlib.sha256(spans.encode()).hexdigest()))
+        assert [g[:6] for g in got] == sorted(want, key=repr)
+        assert all(len(g[6].split(",")) >= sum(g[1:5]) for g in got if sum(g[1:5]))
+
+
+def test_added_spans_do_not_overlap_base_ones(spark, sample):
+    for r in pii.find(sample).collect():
+        base = [x for x in r.found if x.base]
+        assert all(x.e <= b.s or x.s >= b.e for x in r.found if not x.base for b in base)
+
+
+def test_reliabilities_tell_good_labelers_from_bad():
+    counts = [{"v1": a, "v2": a, "v3": -1, "v4": b, "count": n} for a, b, n in ((1, 1, 45), (1, 0, 45), (0, 1, 45), (0, 0, 45))]
+    posts, zero, one = pii.reliabilities(counts)
+    assert posts[0] > 0.9 and posts[2] < 0.1
+    assert one["v1"] - zero["v1"] > 0.8 and abs(one["v4"] - zero["v4"]) < 0.1
+
+
+def test_nothing_to_train_on(spark):
+    docs = spark.createDataFrame([(1, "no spans at all"), (2, None)], "doc_id long, text string")
+    assert [r.found for r in pii.find(docs).collect()] == [[], []]
