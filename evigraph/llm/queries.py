@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hostrules, langid, mixing, pii, simhash, tokenbin, warc, winnowing
+from . import hostrules, langid, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.contaminated(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.maintain(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup")).totals()
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(C.table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op8_language, op9_personal_data, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op8_language, op9_personal_data, op10_token_binary)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -75,6 +79,12 @@ m AS (SELECT greatest(least(avg(failed / n), 0.999999), 0.000001)::DOUBLE AS m,
 p AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END, 1), 1000)::DOUBLE AS k FROM m),
 q AS (SELECT source, (failed + m * k) / (n + k) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source""",
+    "op2_token_rollup": r"""
+WITH d AS (SELECT source, lang, coalesce(text, '') AS t, translate(coalesce(text, ''), '#*$%&|<>', '') AS c FROM documents),
+n AS (SELECT source, lang, t, c FROM d WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10),
+r AS (SELECT source, lang, 'space-words/1' AS tokenizer, len(regexp_extract_all(c, '[^\x20\x09-\x0D]+')) AS k FROM n
+  UNION ALL SELECT source, lang, 'plain-words/1', len(regexp_extract_all(c, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM n)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS docs, sum(k)::BIGINT AS tokens FROM r GROUP BY source, lang, tokenizer""",
     "op4_mix_sources": r"""
 WITH sizes AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, coalesce(sum(size), 0)::BIGINT AS source_size FROM sizes GROUP BY source),
