@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hostrules, langid, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
+from . import hostrules, langid, licenses, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hostrules.judge(C.table(spark, sf_dir, "documents")).drop("host_rate")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(C.table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(C.table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op8_language, op9_personal_data, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary)}
 
 ORACLE = {
     "op1_decontaminate": r"""
