@@ -11,28 +11,37 @@ CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY"}
 SCALES = {"k": 1e3, "m": 1e6, "b": 1e9, "t": 1e12}
 
 
+_HEAD = r"(?s)^([+-]?)([$€£¥]?)(.*)$"
+_BODY = r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*([KkMmBbTt]?)\s*(%?)$"
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def metric_cell(c: Column) -> Column:
     """struct(value, unit) of a cell such as $1.2M, 12.5% or -3,400; null if it is no number.
 
-    In this order: one sign, one currency sign, a percent sign at the end (the currency is then left out), thousands commas, one letter for a factor.
-    What remains must be a decimal number, with a sign of its own and an exponent if it likes."""
-    s = F.trim(c)
-    negative = s.startswith("-")
-    s = F.regexp_replace(s, r"^[+-]", "")
-    sign = F.substring(s, 1, 1)
-    unit = F.lit(None).cast("string")
-    for mark, name in CURRENCIES.items():
-        unit = F.when(sign == mark, F.lit(name)).otherwise(unit)
-    s = F.when(unit.isNotNull(), F.substr(s, F.lit(2))).otherwise(s)
-    percent = s.endswith("%")
-    s = F.when(percent, F.regexp_replace(s, "%$", "")).otherwise(s)
-    s = F.trim(F.replace(s, F.lit(","), F.lit("")))
-    letter = F.when(~percent, F.lower(F.regexp_extract(s, "([KkMmBbTt])$", 1))).otherwise(F.lit(""))
-    scale = F.lit(1.0)
-    for mark, factor in SCALES.items():
-        scale = F.when(letter == mark, F.lit(factor)).otherwise(scale)
-    s = F.trim(F.when(letter != "", F.regexp_replace(s, ".$", "")).otherwise(s))
-    value = F.when(s.rlike(_NUMBER), s.try_cast("double"))
-    value = F.when(negative, -value).otherwise(value) * scale
-    ok = value.isNotNull() & (F.abs(value) < float("inf"))
-    return F.when(ok, F.struct(value.alias("value"), F.when(percent, F.lit("Percent")).otherwise(F.coalesce(unit, F.lit("Count"))).alias("unit")))
+    In this order: one sign, one currency sign, a percent sign at the end (the currency is then left out) or one letter for a factor; commas do not
+    count. What remains must be a decimal number, with a sign of its own and an exponent if it likes."""
+    part = lambda x, pattern, k: F.regexp_extract(x, pattern, k)
+
+    def parsed(head: Column) -> Column:
+        body = F.trim(F.replace(head["body"], F.lit(","), F.lit("")))
+        fields = F.struct(*[part(body, _BODY, k).alias(n) for k, n in ((1, "number"), (2, "letter"), (3, "percent"))], head["sign"].alias("sign"), head["currency"].alias("currency"))
+        return let(fields, result)
+
+    def result(x: Column) -> Column:
+        scale, unit = F.lit(1.0), F.lit("Count")
+        for mark, factor in SCALES.items():
+            scale = F.when(F.lower(x["letter"]) == mark, F.lit(factor)).otherwise(scale)
+        for mark, name in CURRENCIES.items():
+            unit = F.when(x["currency"] == mark, F.lit(name)).otherwise(unit)
+        unit = F.when(x["percent"] != "", F.lit("Percent")).otherwise(unit)
+        value = F.nullif(x["number"], F.lit("")).try_cast("double") * F.when(x["sign"] == "-", -scale).otherwise(scale)
+        ok = value.isNotNull() & (F.abs(value) < float("inf")) & ((x["letter"] == "") | (x["percent"] == ""))
+        return F.when(ok, F.struct(value.alias("value"), unit.alias("unit")))
+
+    text = F.trim(c)
+    return let(F.struct(*[part(text, _HEAD, k).alias(n) for k, n in ((1, "sign"), (2, "currency"), (3, "body"))]), parsed)

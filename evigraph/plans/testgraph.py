@@ -62,7 +62,7 @@ SELECT DISTINCT 'e.part.' || CAST(l_partkey AS STRING) AS edge_id, 'ev.' || CAST
 SELECT 'mv.' || CAST(event_id AS STRING) AS id, 'kpi.' || event_type AS kpi_node_id, 'metric.' || event_type AS metric_node_id, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 50 = 0 THEN 'COUNT' ELSE 'Count' END AS unit, @NULLI AS period_start, @NULLI AS period_end,
   CASE WHEN event_id % 3 = 0 THEN @EPOCH(date_trunc('day', ts)) END AS as_of, @EPOCH(ts) AS observed_at, 'ev.m.' || CAST(event_id AS STRING) AS evidence_id FROM events""",
     "g_document_cache": """
-SELECT source || '/' || CAST(doc_id AS STRING) AS path, @SHA(coalesce(text, '')) AS sha256, @SHA(substr(coalesce(text, ''), 1, 40)) AS structural_sha256, CAST(1704067200 + doc_id AS BIGINT) AS indexed_at, 'doc.' || substr(@SHA(coalesce(text, '')), 1, 8) AS node_id FROM documents""",
+SELECT source || '/' || CAST(doc_id AS STRING) AS path, @SHA(coalesce(text, '')) AS sha256, @SHA(lower(coalesce(text, ''))) AS structural_sha256, CAST(1704067200 + doc_id AS BIGINT) AS indexed_at, 'doc.' || substr(@SHA(coalesce(text, '')), 1, 8) AS node_id FROM documents""",
 }
 
 
