@@ -14,6 +14,7 @@ manifest."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 import struct
 import zlib
@@ -142,6 +143,12 @@ class Encoder:
         return b"".join(found)
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder, with the words that it remembers from earlier tasks."""
+    return Encoder(path)
+
+
 def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     payload = struct.pack(HEAD, (doc_id is None) + 2 * (width == 4), doc_id or 0, len(ids) // width) + ids
     length = struct.pack("<Q", len(payload))
@@ -191,7 +198,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part = TaskContext.get().partitionId()
-        encoder, data, index = Encoder(tokenizer), None, None
+        encoder, data, index = encoder_of(tokenizer), None, None
         width, offset, docs_written, ids_written = int(encoder.type[-1]), 0, 0, 0
         last = np.array([end], dtype=encoder.type).tobytes()
         fs, base = C.filesystem(folder)
@@ -201,7 +208,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
                 continue
             if data is None:
                 fs.create_dir(base, recursive=True)
-                data, index = fs.open_output_stream(f"{base}/{name}.rec", buffer_size=1 << 20), fs.open_output_stream(f"{base}/{name}.idx", buffer_size=1 << 16)
+                data, index = fs.open_output_stream(f"{base}/{name}.rec", compression=None, buffer_size=1 << 20), fs.open_output_stream(f"{base}/{name}.idx", compression=None, buffer_size=1 << 16)
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = (encoder(t) if (t := text.as_py()) else b"") + last
                 record = frame(doc_id, ids, width)
@@ -234,7 +241,7 @@ def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, inner = C.filesystem(path)
                 at, offset, rows = 0, 0, []
-                with fs.open_input_stream(inner, buffer_size=1 << 20) as file:
+                with fs.open_input_stream(inner, compression=None, buffer_size=1 << 20) as file:
                     while record := read_record(file):
                         doc_id, ids, length = record
                         rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), path, offset))
