@@ -243,9 +243,9 @@ def orphan_edges(spark, sf_dir):
 _BT = "coalesce(as_of, observed_at)"
 
 
-@query("metric_latest2", f"SELECT kpi_node_id, id, value, row_number() OVER w AS rank FROM g_metric_values QUALIFY rank <= 2 WINDOW w AS (PARTITION BY kpi_node_id ORDER BY {_BT} DESC, observed_at DESC, id DESC)".replace(" QUALIFY rank <= 2 WINDOW w AS (PARTITION BY kpi_node_id ORDER BY coalesce(as_of, observed_at) DESC, observed_at DESC, id DESC)", " WINDOW w AS (PARTITION BY kpi_node_id ORDER BY coalesce(as_of, observed_at) DESC, observed_at DESC, id DESC) QUALIFY rank <= 2"), ("g_metric_values",))
+@query("metric_latest2", f"SELECT kpi_node_id, id, value, row_number() OVER (PARTITION BY kpi_node_id ORDER BY {_BT} DESC, observed_at DESC, id DESC) AS rank FROM g_metric_values QUALIFY rank <= 2", ("g_metric_values",))
 def metric_latest2(spark, sf_dir):
-    return series.latest(P.graph(spark, sf_dir).metric_values, 2).select("kpi_node_id", "id", "value", "rank")
+    return series.latest(P.graph(spark, sf_dir).metric_values, 2).select("kpi_node_id", "id", "value", F.col("rank").cast("long").alias("rank"))
 
 
 _TREND = f"""r AS (SELECT kpi_node_id, value, row_number() OVER (PARTITION BY kpi_node_id ORDER BY {_BT} DESC, observed_at DESC, id DESC) AS k FROM g_metric_values),
@@ -302,7 +302,7 @@ def metric_conflicts(spark, sf_dir):
 )
 def source_versions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return series.source_versions(docs.select(F.col("source").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("doc_id").alias("at")))
+    return series.source_versions(docs.select(F.col("source").alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("doc_id").alias("at"))).withColumn("version", F.col("version").cast("long"))
 
 
 # Scalars.
@@ -359,12 +359,12 @@ def metric_cells(spark, sf_dir):
     f"""--more {_TOUCH}, q AS (SELECT node, string_agg(DISTINCT quote, ' ') AS quotes FROM t JOIN g_evidence v ON v.id = t.evidence_id WHERE quote IS NOT NULL GROUP BY 1),
 x AS (SELECT n.id, n.name, n.kind, string_split_regex(lower(coalesce(n.name, '') || ' ' || coalesce(CASE WHEN n.kind = 'Kpi' THEN json_extract_string(n.attrs, '$.definition') END, '') || ' ' || coalesce(q.quotes, '')), '[^\\p{{L}}\\p{{N}}]+') AS w FROM g_nodes n LEFT JOIN q ON q.node = n.id),
 h AS (SELECT id, name, kind FROM x WHERE list_contains(w, 'red') AND list_contains(w, 'bolt') ORDER BY id LIMIT 20)
-SELECT * FROM h WHERE kind = 'Product'""",
+SELECT * FROM h WHERE kind = 'Decision'""",
     ALL,
 )
 def graph_search_terms(spark, sf_dir):
     g = P.graph(spark, sf_dir)
-    return search.graph_search(g.nodes, graph.node_quotes(g), 'red "bolt"', ("Product",))
+    return search.graph_search(g.nodes, graph.node_quotes(g), 'red "bolt"', ("Decision",))
 
 
 _BM25 = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),
@@ -378,7 +378,7 @@ def _bm25(spark, sf_dir, source=None):
     docs = table(spark, sf_dir, "documents")
     scope = docs.where(F.col("source") == source).select("doc_id") if source else None
     scored = search.bm25(search.postings(docs, "doc_id", ["text"]), "doc_id", [("q", "the license")], scope)
-    return search.top(scored, "doc_id", 20).select("doc_id", "score", "rank")
+    return search.top(scored, "doc_id", 20).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query("bm25_top20", _BM25.replace("{SCOPE}", ""))

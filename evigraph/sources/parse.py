@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import column_letter
+from ..runtime import ship
 from ..schema import NORMALIZED
 
 #: A table of more rows takes the heading just before it away: it is a label of data.
@@ -329,6 +330,7 @@ def parse_document(path: str | None, content: bytes, hooks: dict[str, Callable[[
 
 def parse_files(files: DataFrame, hooks: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """Normalized documents of files(path, content)."""
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
