@@ -67,12 +67,12 @@ class Engine:
         if skip_unchanged:
             good = good.join(classes.where("change <> 'unchanged'").select(F.col("path").alias("source_path")), "source_path", "left_semi")
         facts = {name: graph.shared(frame) for name, frame in extract.extract_all(good, before.nodes, now).items()}
-        add = lambda old, name, keys: graph.shared(old.unionByName(facts[name]).dropDuplicates(keys)) if name in facts else old
+        add = lambda old, name, keys: old.unionByName(facts[name]).dropDuplicates(keys) if name in facts else old
         kept = before.nodes.join(facts["nodes"].select("id", F.col("created_at").alias("c2")), "id", "left_anti")
         first = before.nodes.select("id", F.col("created_at").alias("c0"))
         nodes = facts["nodes"].join(first, "id", "left").withColumn("created_at", F.coalesce("c0", "created_at")).drop("c0").unionByName(kept)
         cache = mutations.upsert_cache(before.document_cache, fresh.select("path", "sha256", "structural_sha256", F.lit(now).cast("long").alias("indexed_at"), "node_id"))
-        after = Graph(graph.shared(nodes), add(before.edges, "edges", ["id"]), add(before.evidence, "evidence", ["id"]), add(before.edge_evidence, "edge_evidence", ["edge_id", "evidence_id"]), add(before.metric_values, "metric_values", ["id"]), before.kpi_candidates, graph.shared(cache))
+        after = Graph(nodes, add(before.edges, "edges", ["id"]), add(before.evidence, "evidence", ["id"]), add(before.edge_evidence, "edge_evidence", ["edge_id", "evidence_id"]), add(before.metric_values, "metric_values", ["id"]), before.kpi_candidates, cache)
         self.store.publish(after)
         self._write("sections", tree.replace_sections(self.sections(), tree.sections(good.dropDuplicates(["id"]))))
         if blobs:
@@ -84,7 +84,7 @@ class Engine:
         self._need(g, doc_id, "Document")
         ids = graph.shared(mutations.removal_ids(g, self.spark.createDataFrame([(doc_id,)], "id string")))
         after = mutations.remove_nodes(g, ids)
-        self.store.publish(Graph(**{k: graph.shared(v) for k, v in after.frames().items()}))
+        self.store.publish(after)
         self._write("sections", self.sections().where(F.col("doc_node_id") != doc_id))
         self._write("blobs", self._read("blobs", "sha256 string, content binary").join(after.document_cache.select("sha256"), "sha256", "left_semi"))
 
@@ -175,7 +175,7 @@ class Engine:
         accepted, errors = mutations.validate(log.where("batch = 1"), g)
         bad = _rows(errors)
         after = mutations.state(log.where("batch = 0").unionByName(accepted), mutations.upsert_cache(g.document_cache, fresh.document_cache))
-        self.store.publish(Graph(**{k: graph.shared(v) for k, v in after.frames().items()}))
+        self.store.publish(after)
         return {"accepted": accepted.count(), "errors": bad}
 
     def recompute_kpis(self) -> list[dict]:
