@@ -190,7 +190,7 @@ UNION ALL SELECT 'vague', 'unknown', NULL, NULL, NULL, 'unknown'""",
     ("g_nodes", "g_edges", "g_metric_values"),
 )
 def lens_resolution(spark, sf_dir):
-    return lens.resolve(P.graph(spark, sf_dir), LENSES, ANCHOR).select("lens_id", "state", "value", "unit", "observed_at", "health")
+    return lens.resolve(P.graph(spark, sf_dir, ("nodes", "edges")), LENSES, ANCHOR).select("lens_id", "state", "value", "unit", "observed_at", "health")
 
 
 @query("event_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

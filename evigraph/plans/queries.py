@@ -363,7 +363,7 @@ SELECT * FROM h WHERE kind = 'Decision'""",
     ALL,
 )
 def graph_search_terms(spark, sf_dir):
-    g = P.graph(spark, sf_dir)
+    g = P.graph(spark, sf_dir, ("evidence",))
     return search.graph_search(g.nodes, graph.node_quotes(g), 'red "bolt"', ("Decision",))
 
 
@@ -428,11 +428,11 @@ def graph_diff_nodes(spark, sf_dir):
 
 @query("graph_diff_edges", f"--more {_PAIR} SELECT key, change, fields FROM de", ALL)
 def graph_diff_edges(spark, sf_dir):
-    g = P.graph(spark, sf_dir)
+    g = P.graph(spark, sf_dir, ("nodes", "edges", "edge_evidence"))
     return diff.diff_edges(g, _changed(g))
 
 
 @query("graph_diff_counts", f"--more {_PAIR} SELECT 'node' AS what, change, count(*) AS n FROM dn GROUP BY change UNION ALL SELECT 'edge', change, count(*) FROM de GROUP BY change", ALL)
 def graph_diff_counts(spark, sf_dir):
-    g = P.graph(spark, sf_dir)
+    g = P.graph(spark, sf_dir, ("nodes", "edges", "edge_evidence"))
     return diff.diff_counts(g, _changed(g))

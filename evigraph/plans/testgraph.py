@@ -57,7 +57,7 @@ SELECT 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING
   @EPOCH(l_shipdate) AS ts, 0.5 + 4 * l_discount AS confidence, l_orderkey % 17 = 0 AS is_tainted FROM lineitem JOIN part ON l_partkey = p_partkey
 ) v""",
     "g_edge_evidence": """
-SELECT DISTINCT 'e.part.' || CAST(l_partkey AS STRING) AS edge_id, 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS evidence_id FROM lineitem JOIN part ON l_partkey = p_partkey""",
+SELECT DISTINCT 'e.part.' || CAST(l_partkey AS STRING) AS edge_id, 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS evidence_id FROM lineitem""",
     "g_metric_values": """
 SELECT 'mv.' || CAST(event_id AS STRING) AS id, 'kpi.' || event_type AS kpi_node_id, 'metric.' || event_type AS metric_node_id, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 50 = 0 THEN 'COUNT' ELSE 'Count' END AS unit, @NULLI AS period_start, @NULLI AS period_end,
   CASE WHEN event_id % 3 = 0 THEN @EPOCH(date_trunc('day', ts)) END AS as_of, @EPOCH(ts) AS observed_at, 'ev.m.' || CAST(event_id AS STRING) AS evidence_id FROM events""",
@@ -100,8 +100,11 @@ def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", escaped), **used)
 
 
-def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """All graph tables of a folder's star-schema tables."""
+def graph(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Graph:
+    """All graph tables of a folder's star-schema tables. Those in `keep` are projected once, for queries that read them several times."""
+    from ..operators.graph import shared
+
     frames = {name: frame(spark, sf_dir, f"g_{name}") for name in ("nodes", "edges", "evidence", "edge_evidence", "metric_values", "document_cache")}
+    frames |= {name: shared(frames[name]) for name in keep}
     candidates = spark.createDataFrame([], "id string, name string, definition string, detected_in array<string>, confidence double, proposed_at long, status string, merged_into string")
     return Graph(kpi_candidates=candidates, **frames)
