@@ -72,8 +72,11 @@ def contaminated(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int
     parts = [own]
     if span in lens:  # a run: neighbouring windows with one smallest hash
         parts.append(F.transform("runs", lambda s, i: entry(C.at(F.col("m"), s), s, F.lit(span), F.slice("w", s + 1, F.coalesce(C.at(F.col("runs"), i + 1), F.col("n") - (span - 1)) - s + (span - 1)))))
-    for k in (x for x in lens if x < span):
-        parts.append(F.transform(C.positions(F.col("n") - (k - 1)), lambda s, k=k: entry(F.xxhash64(*[C.at(F.col("h"), s + j) for j in range(k)]), s, F.lit(k), F.slice("w", s + 1, k))))
+
+    def short(k: int) -> Column:  # every place of k words
+        return F.transform(C.positions(F.col("n") - (k - 1)), lambda s: entry(F.xxhash64(*[C.at(F.col("h"), s + j) for j in range(k)]), s, F.lit(k), F.slice("w", s + 1, F.lit(k))))
+
+    parts += [short(k) for k in lens if k < span]
     rows = rows.select("rid", "doc_id", F.explode(F.concat(*parts)).alias("x")).select("rid", "doc_id", "x.*")
     seen = C.sized(prints.select(F.col("fp").alias("bfp"), F.col("len").alias("blen")))
     rows = rows.join(seen, (F.col("fp") == F.col("bfp")) & (F.col("len") == F.col("blen")), "left").where("bfp IS NOT NULL OR len = 0")
