@@ -23,7 +23,7 @@ CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 #: Patterns of further candidates.
-SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]ass(?:word|wd)?|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{8,200}|\b(?=[a-z]{0,40}[0-9])[0-9a-z]{32,200}\b"
+SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]ass(?:word|wd)?|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{8,}+|\b(?=[a-z]*+[0-9])[0-9a-z]{32,}+\b"
 #: In any text with a match of SECRET: each of its alternatives needs a key word, AKIA or a digit.
 SECRET_GATE = r"[0-9]|AKIA|[Pp]ass|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey"
 NATIONAL = r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0?[0-9]{2,3}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9-])"
