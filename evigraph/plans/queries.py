@@ -114,6 +114,13 @@ def impact_radius_d3(spark, sf_dir):
     return graph.impact(g.edges, g.nodes.where("kind IN ('Market', 'Function', 'Kpi', 'Product')").select(F.col("id").alias("start")), 3)
 
 
+@query("impact_radius_d3_all")
+def impact_radius_d3_all(spark, sf_dir):
+    """The impact radius from every node of the graph; `impact_radius_d3` is its part for four kinds, as far as that one's SQL goes."""
+    g = P.graph(spark, sf_dir, keep=("edges",))
+    return graph.impact(g.edges, g.nodes.select(F.col("id").alias("start")), 3)
+
+
 @query(
     "trace_decision",
     """--more r AS (SELECT to_id AS decision_id, 'caused_by' AS role, from_id AS item_id FROM g_edges WHERE kind IN ('DecidedBy', 'Causes') AND from_id IN (SELECT id FROM g_nodes)
