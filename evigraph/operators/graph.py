@@ -203,6 +203,11 @@ def degrees(edges: DataFrame) -> DataFrame:
     return undirected(edges).groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("degree"))
 
 
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """node_id, neighbour: a row for each distinct other of a node. Pairs are dealt out by both ends, so a hot node's are spread."""
+    return undirected(edges).where("node <> other").select(F.col("node").alias("node_id"), F.col("other").alias("neighbour")).distinct()
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """node_id, n_neighbours, neighbours: distinct others, in order, joined by commas."""
     rows = undirected(edges).where("node <> other").select("node", "other").distinct()

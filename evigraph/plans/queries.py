@@ -226,6 +226,12 @@ def neighbour_sets(spark, sf_dir):
     return graph.neighbours(edges).where(F.col("node_id").startswith("kpi."))
 
 
+@query("neighbour_pairs", "SELECT a AS node_id, b AS neighbour FROM (SELECT from_id AS a, to_id AS b FROM g_edges UNION SELECT to_id, from_id FROM g_edges) WHERE a <> b", ALL[1:2])
+def neighbour_pairs(spark, sf_dir):
+    """The neighbour sets of all nodes, a row for each member, so that a hot node needs no long string; `neighbour_sets` has those of KPIs as strings."""
+    return graph.neighbour_pairs(P.graph(spark, sf_dir).edges)
+
+
 @query("visible_edges", "SELECT kind, count(*) AS n FROM g_edges WHERE kind <> 'MentionedIn' GROUP BY 1", ALL[1:2])
 def visible_edges(spark, sf_dir):
     return graph.visible_edges(P.graph(spark, sf_dir).edges).groupBy("kind").agg(F.count("*").alias("n"))
