@@ -16,6 +16,13 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.maintain(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup")).totals()
 
 
+def op2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals of every document as it stands; op2_token_rollup has those after its batches of deletes and revisions, as its SQL does."""
+    import public_tokenizers
+
+    return rollups.count_all(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k/1").totals()
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(C.table(spark, sf_dir, "documents"))
 
@@ -52,7 +59,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_token_totals)}
 
 ORACLE = {
     "op1_decontaminate": r"""

@@ -25,6 +25,13 @@ def pattern_count(text: Column, pattern: str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
+def pattern_counts(docs: DataFrame) -> DataFrame:
+    """(source, lang, tokenizer, tokens) by each of PATTERNS for each row of docs; a null text counts 0. Texts are counted once, before rows are made."""
+    sums = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), *[pattern_count(F.col("text"), p).alias(f"n{i}") for i, p in enumerate(PATTERNS.values())])
+    counts = C.materialize(sums)
+    return reduce(DataFrame.unionByName, [counts.select("source", "lang", F.lit(v).alias("tokenizer"), F.col(f"n{i}").alias("tokens")) for i, v in enumerate(PATTERNS)])
+
+
 def tokenizer_counts(docs: DataFrame, path: str, version: str) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens) by a tokenizer file of the tokenizers library."""
     import pyarrow as pa
@@ -112,6 +119,20 @@ class Rollup:
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/compacted")
 
 
+def count_all(docs: DataFrame, root: str, path: str, version: str) -> Rollup:
+    """Totals of docs(doc_id, text, source, lang) as they stand: every row counts with its whole text under each of PATTERNS and under the tokenizer
+    file at `path`, named `version`, which comes as a batch of its own. The first batch is then applied again, as after a lost reply.
+
+    Null texts are documents of 0 tokens; null sources and languages are keys; repeated rows count each; an empty table leaves no totals."""
+    rollup = Rollup(docs.sparkSession, root)
+    words = inserted(pattern_counts(docs))
+    rollup.commit("1-words", words)
+    rollup.commit("2-tokenizer", inserted(tokenizer_counts(docs, path, version)))
+    if rollup.commit("1-words", words):
+        raise RuntimeError("a batch was committed twice")
+    return rollup
+
+
 def maintain(docs: DataFrame, root: str, least_words: int = 10, strip: str = "#*$%&|<>") -> Rollup:
     """Takes docs(doc_id, text, source, lang) through four batches: all documents are inserted with their counts under the first tokenizer version;
     those under the second are added; documents of fewer than `least_words` words are deleted; the texts of the others lose the characters in

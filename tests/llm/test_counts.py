@@ -61,6 +61,44 @@ def test_tokenizer_counts(spark, edge):
     assert got == sorted(((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in edge.collect()), key=repr)
 
 
+def plain_whole(rows):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs, tokens = Counter(), Counter()
+    for r in rows:
+        text = r.text or ""
+        for name, n in (("space-words/1", len(SPACE.findall(text))), ("plain-words/1", len(PLAIN.findall(text))), ("byte_bpe_50k/1", len(t.encode(text, add_special_tokens=False).ids))):
+            docs[r.source, r.lang, name] += 1
+            tokens[r.source, r.lang, name] += n
+    return sorted(((*k, docs[k], tokens[k]) for k in docs), key=repr)
+
+
+def test_totals_cover_every_document(spark, sample, edge, empty, tmp_path):
+    from evigraph.llm import queries
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    for docs in (edge, empty):
+        rollup = rollups.count_all(docs, C.fresh_dir(spark, "rollup"), path, "byte_bpe_50k/1")
+        assert sorted(map(tuple, rollup.totals().collect()), key=repr) == plain_whole(docs.collect())
+    short = sample.selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 THEN '# a $b' ELSE text END AS text", "CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE source END AS source", "lang")
+    short.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op2_token_totals"](spark, str(tmp_path)).collect()), key=repr)
+    assert got == plain_whole(short.collect()) and any(r[0] == "short" for r in got)
+
+
+def test_deletes_and_revisions_end_at_the_tables_state(spark, edge):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    count = lambda docs: rollups.pattern_counts(docs).unionByName(rollups.tokenizer_counts(docs, path, "byte_bpe_50k/1").drop("doc_id"))
+    rollup = rollups.count_all(edge, C.fresh_dir(spark, "rollup"), path, "byte_bpe_50k/1")
+    gone, old = edge.where("doc_id IN (4, 6, 8)"), edge.where("doc_id IN (1, 5, 9)")
+    new = old.selectExpr("doc_id", "concat('new ', coalesce(text, '')) AS text", "lang", "'moved' AS source")
+    rollup.commit("3-delete", rollups.deleted(count(gone)))
+    rollup.commit("4-revise", rollups.revised(count(old), count(new)))
+    state = edge.where("doc_id IS NULL OR doc_id NOT IN (1, 4, 5, 6, 8, 9)").select("doc_id", "text", "lang", "source").unionByName(new)
+    assert sorted(map(tuple, rollup.totals().collect()), key=repr) == plain_whole(state.collect())
+
+
 def plain_targets(sizes):
     sources = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
