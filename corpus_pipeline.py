@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from evigraph.llm import common as C
 from evigraph.llm import langid, mixing, simhash, tokenbin, winnowing
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A document goes if no language is found or if its probability is below this.
@@ -19,27 +19,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without the rows of these ids, by broadcast while they are few."""
-    return docs.join(C.sized(C.materialize(ids.select(F.col("doc_id").alias("gone")).distinct())), F.col("doc_id") == F.col("gone"), "left_anti")
+def _key() -> Column:
+    """A row's key: the SHA-256 of its id and text. Verdicts depend on these alone, so rows with one key share theirs, whatever ids are null or repeated."""
+    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs without the rows of these keys(row_key), by broadcast while they are few."""
+    return docs.join(C.sized(C.materialize(keys.select(F.col("row_key").alias("gone")).distinct())), _key() == F.col("gone"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each component; of rows with one id, one. Rows with a null id are kept."""
-    found = C.materialize(simhash.near_duplicates(docs))
-    kept = _without(docs, found.where("doc_id <> component_id"))
-    repeated = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    """Keeps one row of each component: that of the smallest id, a null id being the last, and of rows with that id the one whose key comes first."""
+    prints = C.materialize(simhash.fingerprints(docs.select("doc_id", "text", _key().alias("row_key")), key="row_key"))
+    linked = C.materialize(C.components(simhash.links(C.materialize(prints.select("fp").distinct()))))
+    rows = prints.join(C.sized(linked), F.col("node") == F.col("fp"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("part"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first")
+    several = rows.groupBy("part").agg(first, F.min("row_key").alias("low"), F.max("row_key").alias("high")).where("low <> high")
+    several = C.materialize(several.select("part", F.col("first.row_key").alias("stays")))
+    kept = _without(docs, rows.join(C.sized(several), "part").where("row_key <> stays"))
+    repeated = C.materialize(prints.groupBy("row_key").count().where("count > 1").select("row_key"))
     if repeated.isEmpty():
         return kept
-    some = C.materialize(repeated.select(F.col("doc_id").alias("some")))
-    single = kept.join(C.sized(some), F.col("doc_id") == F.col("some"), "left_semi").dropDuplicates(["doc_id"])
-    return _without(kept, some.withColumnRenamed("some", "doc_id")).unionByName(single)
+    some = kept.withColumn("_row_key", _key()).join(C.sized(repeated), F.col("_row_key") == F.col("row_key"), "left_semi")
+    return _without(kept, repeated).unionByName(some.dropDuplicates(["_row_key"]).drop("_row_key"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a window of the benchmark."""
-    found = winnowing.contaminated(docs, C.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    """Keeps documents without a window of the benchmark, whatever their ids."""
+    found = winnowing.contaminated(docs.select(_key().alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row_key")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,3 +40,15 @@ def test_edges(spark, edge, empty):
     assert 6 in ids and 7 not in ids and ids.count(8) == 1 and None in ids
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_verdicts_go_by_row(spark):
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) >= 12)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k, n=40: " ".join(f"w{k}x{j}" for j in range(n))
+    texts = lambda stage, rows: sorted(((r.doc_id, r.text) for r in stage(spark, spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], schema), SF).collect()), key=repr)
+    dirty = [(None, f"so {item} it is"), (None, words(1)), (5, item), (5, words(2)), (6, words(3))]
+    assert texts(pipeline.decontaminate, dirty) == sorted([dirty[1], dirty[3], dirty[4]], key=repr)
+    a, b, c = words(4), words(5), words(6)
+    twice = [(3, a), (7, a), (7, b), (7, b), (9, b), (None, b), (None, c), (None, c), (8, words(7)), (8, words(8))]
+    assert texts(pipeline.near_duplicates, twice) == sorted([(3, a), (7, b), (None, c), (8, words(7)), (8, words(8))], key=repr)
