@@ -30,7 +30,8 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each component: that of the smallest id, a null id being the last, and of rows with that id the one whose key comes first."""
+    """Keeps one row of each component: that of the smallest id, a null id being the last, and of rows with that id the one whose key comes first.
+    Components follow op3's contract (3-word shingles, fingerprints within 2 bits), not a similarity of five-word shingles."""
     prints = C.materialize(simhash.fingerprints(docs.select("doc_id", "text", _key().alias("row_key")), key="row_key"))
     linked = C.materialize(C.components(simhash.links(C.materialize(prints.select("fp").distinct()))))
     rows = prints.join(C.sized(linked), F.col("node") == F.col("fp"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("part"))
