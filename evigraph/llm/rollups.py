@@ -34,21 +34,24 @@ def pattern_counts(docs: DataFrame) -> DataFrame:
 
 def tokenizer_counts(docs: DataFrame, path: str, version: str) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens) by a tokenizer file of the tokenizers library."""
+    import numpy as np
     import pyarrow as pa
 
     from . import tokenbin
 
-    C.arrow_batches(docs.sparkSession, 500)
+    C.arrow_batches(docs.sparkSession, tokenbin.BATCH_ROWS)
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = tokenbin.encoder_of(path)
-        width = int(encoder.type[-1])
         for batch in batches:
-            n = [len(encoder(t)) // width if t else 0 for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([version] * batch.num_rows, pa.string()), pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
+            for start, stop in encoder.slices(batch.column(3)):
+                rows = batch.slice(start, stop - start)
+                n = np.diff(encoder.encode(rows.column(3))[1])
+                names = pa.array([version] * rows.num_rows, pa.string())
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], names, pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "tokenizer", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "text")
     return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long")

@@ -9,18 +9,21 @@ A data file is a run of records. A record frames one document:
 
 All numbers are little-endian. Masking turns the CRC right by 15 bits and adds 0xA282EAD8, so that a checksum over data that hold checksums stays
 sound. The index file beside a data file has 24 bytes for each record: doc_id int64 (0 if null), offset uint64, payload bytes uint32, ids uint32; it
-lets a trainer read records in any order. The manifest that `write` returns names the files that count: files of failed or repeated tasks are in no
-manifest."""
+lets a trainer read records in any order, and `read` goes through it. A manifest beside the files, in Parquet, names those that count: files of
+failed or repeated tasks are not in it."""
 
 from __future__ import annotations
 
 import functools
 import itertools
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +33,44 @@ END = 0
 HEAD = "<BqI"
 FRAME = "<QI"
 CHECK = "<I"
-ENTRY = "<qQII"
-#: Entries of a worker's memory of encoded words; some 200 MB.
-WORD_CACHE = 800_000
+#: Bytes of a record around its payload.
+FRAMING = struct.calcsize(FRAME) + struct.calcsize(CHECK)
+#: An entry of the index file.
+ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("bytes", "<u4"), ("ids", "<u4")])
+#: Bytes of a worker's memory of encoded parts, what an entry takes besides its part and ids, and the longest part that is remembered.
+CACHE_BYTES, ENTRY_BYTES, LONGEST_PART = 200_000_000, 200, 40
+#: Rows of an Arrow batch, bytes of text that are cut and gathered together, and bytes of records that are read together.
+BATCH_ROWS, SLICE_BYTES, BLOCK_BYTES = 2000, 8 << 20, 4 << 20
+#: Kinds of bytes: what is none of these is 0.
+WHITE, LETTER, DIGIT, MARK = 1, 2, 3, 4
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x21:0x7F] = MARK
+KINDS[ord("0") : ord("9") + 1] = DIGIT
+KINDS[ord("A") : ord("Z") + 1] = KINDS[ord("a") : ord("z") + 1] = LETTER
+KINDS[ord("'")] = 0  # it may begin a piece with letters
+KINDS[[*b"\t\n\v\f\r "]] = WHITE
+#: UTF-8 of the white space beyond ASCII in the splitter's pattern, and the second bytes of the Latin-1 signs among the letters (fixed values).
+WHITE_2 = [0xC285, 0xC2A0]
+WHITE_3 = [0xE19A80, *range(0xE28080, 0xE2808B), 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080]
+SIGNS = [0x97, 0xB7]
+WHITE_LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+#: Latin letters, perhaps after a blank.
+LETTERS = re.compile("[ ]?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 MANIFEST = "part int, data_file string, index_file string, docs long, ids long"
 RECORD = "doc_id long, at long, n_tokens long, ids_crc32 long, data_file string, offset long"
 
 
+def _byte_chars() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1 ones stand for themselves, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + n) for n, b in enumerate(others)}
+
+
+BYTE_CHARS = _byte_chars()
+BLANK = BYTE_CHARS[0x20]
+
+
 def masked(crc: int) -> int:
     return ((crc >> 15 | crc << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
@@ -44,108 +78,122 @@ def masked(crc: int) -> int:
 class Encoder:
     """Ids of whole texts, the same as those of Tokenizer.encode(text, add_special_tokens=False).
 
-    A byte-level BPE whose splitter starts a new piece at a blank before a word, or at a line's first word after a lone line feed, gives the same ids
-    for those parts alone as inside the text. So texts are cut there and each distinct part is encoded by the library once and remembered.
-    Parts that begin with white space are joined with what they follow. A tokenizer of another kind, or a text that holds one of its added tokens,
-    is encoded in one piece."""
+    A byte-level BPE whose splitter is the usual one never has a piece across certain places of a text: before a run of white space, after a lone
+    white space other than a blank, and inside a word between letters, digits and marks. A batch of texts is cut there by numpy; Arrow finds the
+    distinct parts; each is encoded by the library once, runs of letters by its model alone, which the splitter would leave whole; and the ids of the
+    texts are gathered from those of their parts. Short parts are remembered from batch to batch within a bound in bytes. A tokenizer of another
+    kind, or a text that holds one of its added tokens, is one part."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = CACHE_BYTES):
         import json
 
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         spec = json.loads(self.tokenizer.to_str())
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        splitter, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        usual = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+        plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token"))
+        self.cuts = usual and plain and not spec.get("normalizer")
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        feed = self.whole("\n")
-        self.feed = feed if len(feed) == int(self.type[-1]) else b""
-        self.cuts = self.cuts and bool(self.feed)
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.type).tobytes()
-
-    def several(self, keys: list[str]) -> dict[str, bytes]:
-        """The ids of each key's part. A key is a word that follows a blank; or a tab and a text's first word; or a line feed and a line's first
-        word, the feed being encoded with it; or a vertical tab and any part. Parts without a line feed and without white space at their end go to
-        the library as the lines of one text, for a lone line feed has one id there and no other piece of such lines has it."""
-        import numpy as np
-
-        parts = [k[1:] if k[0] in "\t\n\v" else " " + k for k in keys]
-        lines = [(k, p) for k, p in zip(keys, parts, strict=True) if "\n" not in p and p and not p[-1].isspace()]
-        out = {}
-        if lines and self.feed:
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(p for _, p in lines)], add_special_tokens=False)[0].ids, dtype=self.type)
-            ends = [*np.flatnonzero(ids == np.frombuffer(self.feed, self.type)[0]).tolist(), len(ids)]
-            if len(ends) == len(lines):
-                data, width, start = ids.tobytes(), ids.itemsize, 0
-                for (key, _), end in zip(lines, ends, strict=True):
-                    out[key] = data[start * width : end * width]
-                    start = end + 1
-        for key, part in zip(keys, parts, strict=True):
-            if key not in out:
-                out[key] = self.whole(part)
-            if key[0] == "\n":
-                out[key] = self.feed + out[key]
-        return out
-
-    def parts(self, text: str) -> list[str]:
-        """A text's parts: a word with the blank before it, a line's first word, or a line feed."""
-        out: list[str] = []
-        lines = text.split("\n")
-        for n, line in enumerate(lines):
-            if n and line and not line[0].isspace() and lines[n - 1] and not lines[n - 1][-1].isspace():
-                out.append("\n")
-                head, *rest = line.split(" ")
-                out.append(head)
-            else:
-                head, *rest = line.split(" ")
-                if n:
-                    out[-1] += "\n" + head
-                else:
-                    out.append(head)
-            if "" in rest or not line.isprintable():
-                for word in rest:
-                    if word and not word[0].isspace():
-                        out.append(" " + word)
-                    else:
-                        out[-1] += " " + word
-            else:
-                out += [" " + word for word in rest]
-        return out
-
-    def __call__(self, text: str) -> bytes:
-        import numpy as np
-
-        if not self.cuts or any(t in text for t in self.added):
-            return self.whole(text)
-        keys: list[str] = []
-        for n, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if "" in words or not line.isprintable():  # white space other than a lone blank or line feed between words
-                keys = ["\v" + p for p in self.parts(text)]
-                break
-            words[0] = ("\n" if n else "\t") + words[0]
-            keys += words
-        found = [*map(self.known.get, keys)]
-        if None in found:
-            new = list({k for k, f in zip(keys, found, strict=True) if f is None})
-            if len(self.known) + len(new) > WORD_CACHE:  # the half that came first has the frequent words
-                self.known = dict(itertools.islice(self.known.items(), WORD_CACHE // 2))
-            fresh = self.several(new)
-            self.known.update(fresh)
-            found = [fresh[k] if f is None else f for k, f in zip(keys, found, strict=True)]
-        return b"".join(found)
+        self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.memory, self.held = memory, 0
+        self.known: dict[bytes, bytes] = {}
+
+    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each byte, whether a part begins there; starts: where texts begin."""
+        kinds = KINDS[data]
+        blank = kinds == WHITE
+        lead = np.flatnonzero(WHITE_LEADS[data])
+        if len(lead):
+            a, b, c = (np.append(data, [0, 0])[lead + k] for k in range(3))
+            for width, found in ((2, np.isin(a.astype(int) * 256 + b, WHITE_2)), (3, np.isin((a.astype(int) * 256 + b) * 256 + c, WHITE_3))):
+                for k in range(width):
+                    blank[lead[found] + k] = True
+        lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # two-byte Latin letters, without the signs for times and divided by
+        if len(lead):
+            lead = lead[~np.isin(np.append(data, 0)[lead + 1], SIGNS) | (data[lead] != 0xC3)]
+            kinds[lead] = kinds[lead + 1] = LETTER
+        first = np.zeros(len(data), bool)
+        first[starts] = True
+        cut = first.copy()
+        cut[1:] |= (blank[1:] & ~blank[:-1]) | ((kinds[1:] != kinds[:-1]) & (kinds[1:] >= LETTER) & (kinds[:-1] >= LETTER))
+        alone = np.flatnonzero(cut[:-1] & (kinds[:-1] == WHITE) & (data[:-1] != 0x20) & ~blank[1:])
+        cut[alone + 1] = True
+        return cut
+
+    def fresh(self, part: bytes) -> bytes:
+        """The ids of a part from the library."""
+        text = part.decode()
+        if self.cuts and LETTERS.fullmatch(text):
+            chars = BLANK + text[1:] if text[0] == " " else text
+            if not text.isascii():
+                chars = part.decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.model.tokenize(chars)]
+        else:
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
+    def parts(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of distinct parts, remembered or fresh."""
+        found = [*map(self.known.get, distinct)]
+        for k, ids in enumerate(found):
+            if ids is None:
+                part = distinct[k]
+                found[k] = ids = self.fresh(part)
+                if len(part) <= LONGEST_PART:
+                    self.known[part] = ids
+                    self.held += ENTRY_BYTES + len(part) + len(ids)
+        if self.held > self.memory:  # the half that came first has the frequent parts
+            self.known = dict(itertools.islice(self.known.items(), len(self.known) // 2))
+            self.held = sum(ENTRY_BYTES + len(k) + len(v) for k, v in self.known.items())
+        return found
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts in one array, the places in it where each text's begin, and the end). A null text has none."""
+        if texts.null_count:
+            texts = pc.fill_null(texts, "")
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        if offsets[-1] == offsets[0]:
+            return np.zeros(0, self.type), np.zeros(len(texts) + 1, np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        starts = offsets[:-1][offsets[:-1] < offsets[1:]]
+        if self.cuts:
+            cut = self.places(data, starts)
+            for token in self.added:
+                for row in np.flatnonzero(pc.match_substring(texts, token)):
+                    cut[offsets[row] + 1 : offsets[row + 1]] = False
+            begins = np.flatnonzero(cut)
+        else:
+            begins = starts
+        begins = np.append(begins, len(data)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)]).dictionary_encode()
+        found = self.parts(parts.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(found), self.type)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // self.type.itemsize
+        which = parts.indices.to_numpy()
+        lengths = sizes[which]
+        ends = np.cumsum(lengths)
+        take = np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - lengths), lengths)
+        take += np.arange(len(take))
+        return flat[take], np.concatenate(([0], ends))[np.searchsorted(begins, offsets)]
+
+    def slices(self, texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+        """Stretches of a batch with about so many bytes of text each, and one text at least."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), dtype=np.int64)
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+            yield at, stop
+            at = stop
 
 
 @functools.lru_cache(maxsize=2)
 def encoder_of(path: str) -> Encoder:
-    """The worker's encoder, with the words that it remembers from earlier tasks."""
+    """The worker's encoder, with the parts that it remembers from earlier tasks."""
     return Encoder(path)
 
 
@@ -155,10 +203,8 @@ def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
     return length + struct.pack(CHECK, masked(zlib.crc32(length))) + payload + struct.pack(CHECK, masked(zlib.crc32(payload)))
 
 
-def read_record(file, width_checked: bool = True):
+def read_record(file):
     """(doc_id, ids as an array of uint32, payload bytes) of the record at the file's position; None at the end."""
-    import numpy as np
-
     head = file.read(struct.calcsize(FRAME))
     if not head:
         return None
@@ -181,26 +227,74 @@ def read_at(data_file: str, offset: int):
         return read_record(file)
 
 
+def read_index(index_file: str) -> np.ndarray:
+    """The entries of an index file: doc_id, offset, bytes (of the payload) and ids of each record, in the order of the data file."""
+    fs, path = C.filesystem(index_file)
+    with fs.open_input_stream(path, compression=None) as file:
+        return np.frombuffer(file.read(), ENTRY)
+
+
+def read_blocks(data_file: str, index: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, tuple]]:
+    """(offset, record) of each entry of the index, found by its offset. Neighbouring records come with one read of about `most` bytes."""
+    import io
+
+    fs, path = C.filesystem(data_file)
+    starts = index["offset"].astype(np.int64)
+    stops = starts + index["bytes"] + FRAMING
+    with fs.open_input_file(path) as file:
+        at = 0
+        while at < len(index):
+            stop = at + 1
+            while stop < len(index) and starts[stop] == stops[stop - 1] and stops[stop] - starts[at] <= most:
+                stop += 1
+            file.seek(int(starts[at]))
+            block = io.BytesIO(file.read(int(stops[stop - 1] - starts[at])))
+            for k in range(at, stop):
+                record = read_record(block)
+                if record is None or record[2] != index["bytes"][k] or len(record[1]) != index["ids"][k]:
+                    raise ValueError(f"the index of {data_file} does not fit its records")
+                yield int(starts[k]), record
+            at = stop
+
+
+def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
+    """(doc_id, ids) of docs(doc_id, text): a text's ids and the end id, in the bytes of the file format."""
+    C.arrow_batches(docs.sparkSession, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = encoder_of(tokenizer)
+        for batch in batches:
+            for start, stop in encoder.slices(batch.column(1)):
+                ids, places = encoder.encode(batch.column(1).slice(start, stop - start))
+                ids = np.insert(ids, places[1:], end)
+                offsets = ((places + np.arange(len(places))) * ids.itemsize).astype(np.int64)
+                column = pa.Array.from_buffers(pa.large_binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), column.cast(pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataFrame:
-    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by text) and returns the manifest: a row for each data file, in order of `part`.
+    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by a hash of their token ids) and returns the manifest: a row for
+    each data file, in order of `part`. The manifest lies in `<folder>/manifest` and outlives the session; it lists files of tasks that ended well.
 
-    A range exchange on doc_id gives each task a stretch of the order; a task streams its records into one file. A null text has the end id alone;
-    an empty table gives no file; other columns are not read."""
+    Texts are encoded where they are read, once: the ids are written aside, and they alone go through the range exchange that gives each task a
+    stretch of the order. Its keys end with a row's number, so that a stretch of equal or null ids is dealt out as well. A task streams its records
+    into one file. A null text has the end id alone; an empty table gives no file; other columns are not read."""
     spark = docs.sparkSession
-    C.arrow_batches(spark, 500)
+    width = vocabulary_width(tokenizer)
+    rows = C.materialize(encode(docs, tokenizer, end)).select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
         import uuid
 
-        import numpy as np
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        part = TaskContext.get().partitionId()
-        encoder, data, index = encoder_of(tokenizer), None, None
-        width, offset, docs_written, ids_written = int(encoder.type[-1]), 0, 0, 0
-        last = np.array([end], dtype=encoder.type).tobytes()
+        part, data, index = TaskContext.get().partitionId(), None, None
+        offset, docs_written, ids_written = 0, 0, 0
         fs, base = C.filesystem(folder)
         name = f"part-{part:06d}-{uuid.uuid4().hex}"
         for batch in batches:
@@ -208,53 +302,60 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
                 continue
             if data is None:
                 fs.create_dir(base, recursive=True)
-                data, index = fs.open_output_stream(f"{base}/{name}.rec", compression=None, buffer_size=1 << 20), fs.open_output_stream(f"{base}/{name}.idx", compression=None, buffer_size=1 << 16)
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = (encoder(t) if (t := text.as_py()) else b"") + last
+                data = fs.open_output_stream(f"{base}/{name}.rec", compression=None, buffer_size=1 << 20)
+                index = fs.open_output_stream(f"{base}/{name}.idx", compression=None, buffer_size=1 << 16)
+            for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 record = frame(doc_id, ids, width)
                 data.write(record)
-                index.write(struct.pack(ENTRY, doc_id or 0, offset, len(record) - struct.calcsize(FRAME) - struct.calcsize(CHECK), len(ids) // width))
+                index.write(np.array((doc_id or 0, offset, len(record) - FRAMING, len(ids) // width), ENTRY).tobytes())
                 offset += len(record)
                 docs_written += 1
                 ids_written += len(ids) // width
         if data is not None:
             data.close()
             index.close()
-            at = f"{folder}/{name}"
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([f"{at}.rec"]), pa.array([f"{at}.idx"]), pa.array([docs_written], pa.int64()), pa.array([ids_written], pa.int64())], names=["part", "data_file", "index_file", "docs", "ids"])
+            columns = [([part], pa.int32()), ([f"{name}.rec"], pa.string()), ([f"{name}.idx"], pa.string()), ([docs_written], pa.int64()), ([ids_written], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["part", "data_file", "index_file", "docs", "ids"])
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return C.materialize(ordered.mapInArrow(run, MANIFEST))
+    ordered = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "ids")
+    ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    return manifest(spark, folder)
 
 
-def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """A row for each record of the manifest's files, read and verified: doc_id, at (its place among the file's ids), n_tokens, ids_crc32, data_file, offset."""
+def vocabulary_width(tokenizer: str) -> int:
+    """Bytes of an id in the file format."""
+    return encoder_of(tokenizer).type.itemsize
+
+
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The manifest of a folder: part, data_file, index_file (names in the folder), docs and ids of each data file."""
+    return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "at", "n_tokens", "ids_crc32", "data_file", "offset"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """A row for each record of the folder's manifest, found through the index files and verified: doc_id, at (its place among the file's ids),
+    n_tokens, ids_crc32, data_file, offset."""
+    names = ["doc_id", "at", "n_tokens", "ids_crc32", "data_file", "offset"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                fs, inner = C.filesystem(path)
-                at, offset, rows = 0, 0, []
-                with fs.open_input_stream(inner, compression=None, buffer_size=1 << 20) as file:
-                    while record := read_record(file):
-                        doc_id, ids, length = record
-                        rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), path, offset))
-                        at += len(ids)
-                        offset += struct.calcsize(FRAME) + length + struct.calcsize(CHECK)
-                        if len(rows) == 10_000:
-                            yield out(rows)
-                            rows = []
+            for data_name, index_name in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                path, at, rows = f"{folder}/{data_name}", 0, []
+                for offset, (doc_id, ids, _) in read_blocks(path, read_index(f"{folder}/{index_name}")):
+                    rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), path, offset))
+                    at += len(ids)
+                    if len(rows) == 10_000:
+                        yield out(rows)
+                        rows = []
                 if rows:
                     yield out(rows)
 
-    files = manifest.select("data_file")
-    return files.repartition(max(1, manifest.count()), "data_file").mapInArrow(run, RECORD)
+    files = manifest(spark, folder).select("data_file", "index_file")
+    return files.repartition(max(1, files.count()), "data_file").mapInArrow(run, RECORD)
 
 
 def encode_table(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
@@ -263,8 +364,9 @@ def encode_table(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     Starts need the sums of whole files alone: one row for each file, not for each document, meets in the running sum."""
     from pyspark.sql import Window
 
-    manifest = write(docs, folder, tokenizer)
+    spark = docs.sparkSession
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("data_file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base"))
-    got = read(docs.sparkSession, manifest)
-    return got.join(C.sized(starts), "data_file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "data_file", "offset")
+    base = F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("base")
+    starts = write(docs, folder, tokenizer).select(F.concat(F.lit(f"{folder}/"), F.col("data_file")).alias("file"), base)
+    got = read(spark, folder).join(C.sized(starts), F.col("data_file") == F.col("file"))
+    return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "data_file", "offset")

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from evigraph.llm import common as C
 from evigraph.llm import tokenbin
@@ -17,12 +18,19 @@ def library():
     return Tokenizer.from_file(PATH)
 
 
+BITS = [
+    "a", "The", " ", "  ", "\n", "\t", "é", "'s", ".", "12", "\x1c", "\x85", "\xa0", "ß!", "-", "<|endoftext|>", "\r\n", "日本", "\U0001f600", "it's", " \n", "\n ",
+    "\u180e", "\u200b", "\u2003", "\u2028", "\u3000", "Ωβ", "ǅ", "ʰ", "²", "½", "_", "don't,", "``", "(x)", "×", "÷", "a×b", "'", "''s", "9'", "é'll",
+]
+
+
 def test_encoder_gives_the_librarys_ids(library):
     encoder, draw = tokenbin.Encoder(PATH), random.Random(3)
-    bits = ["a", "The", " ", "  ", "\n", "\t", "é", "'s", ".", "12", "\x1c", "\x85", "\xa0", "ß!", "-", "<|endoftext|>", "\r\n", "日本", "\U0001f600", "it's", " \n", "\n "]
-    for _ in range(3000):
-        text = "".join(draw.choices(bits, k=draw.randint(0, 14)))
-        assert np.frombuffer(encoder(text), encoder.type).tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for _ in range(200):
+        texts = [draw.choice(["", None, "".join(draw.choices(BITS, k=draw.randint(0, 14)))]) if k % 9 == 0 else "".join(draw.choices(BITS, k=draw.randint(0, 14))) for k in range(40)]
+        ids, places = encoder.encode(pa.array(["skipped", *texts], pa.string()).slice(1))
+        for k, text in enumerate(texts):
+            assert ids[places[k] : places[k + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
 
 
 def test_other_tokenizers_are_encoded_whole():
@@ -31,7 +39,23 @@ def test_other_tokenizers_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     encoder, text = tokenbin.Encoder(path), "Some WORDS, and more\nof them"
     assert not encoder.cuts
-    assert np.frombuffer(encoder(text), encoder.type).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert encoder.encode(pa.array([text]))[0].tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_a_worker_is_bounded(library):
+    draw, encoder = random.Random(5), tokenbin.Encoder(PATH, memory=200_000)
+    for _ in range(20):
+        texts = ["".join(draw.choices("abcdefghij", k=3000)), "".join(draw.choices("\x01\x02xyz", k=3000)), " ".join("".join(draw.choices("abcdefgh", k=7)) for _ in range(300))]
+        ids, places = encoder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(places, places[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert sum(len(k) + len(v) + tokenbin.ENTRY_BYTES for k, v in encoder.known.items()) == encoder.held <= 200_000
+        assert max(map(len, encoder.known)) <= tokenbin.LONGEST_PART
+
+
+def test_slices_hold_whole_texts():
+    texts = pa.array(["a" * 10, None, "b" * 50, "", "c" * 5, "d" * 5])
+    assert [*tokenbin.Encoder.slices(None, texts, 20)] == [(0, 2), (2, 3), (3, 6)]
+    assert [*tokenbin.Encoder.slices(None, texts.slice(0, 0), 20)] == []
 
 
 def test_round_trip(spark, sample, edge, empty, library):
@@ -49,6 +73,37 @@ def test_round_trip(spark, sample, edge, empty, library):
             assert doc_id == r.doc_id and zlib.crc32(ids.tobytes()) == r.ids_crc32
 
 
+def test_records_are_read_through_the_index_in_any_order(spark, sample, library):
+    folder = C.fresh_dir(spark, "ids")
+    files = tokenbin.write(sample, folder, PATH).collect()
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    places = [(f"{folder}/{f.data_file}", entry) for f in files for entry in tokenbin.read_index(f"{folder}/{f.index_file}")]
+    assert len(places) == len(texts) == sum(f.docs for f in files)
+    random.Random(1).shuffle(places)
+    for path, entry in places:
+        doc_id, ids, size = tokenbin.read_at(path, int(entry["offset"]))
+        assert (doc_id, size, len(ids)) == (entry["doc_id"], entry["bytes"], entry["ids"])
+        assert ids.tolist() == [*library.encode(texts[doc_id] or "", add_special_tokens=False).ids, 0]
+    assert tokenbin.manifest(spark, folder).count() == len(files)
+
+
+def test_a_wrong_index_is_found(spark, sample):
+    folder = C.fresh_dir(spark, "ids")
+    row = tokenbin.write(sample.limit(20).coalesce(1), folder, PATH).first()
+    index = tokenbin.read_index(f"{folder}/{row.index_file}").copy()
+    index["ids"][3] += 1
+    with pytest.raises(ValueError, match="index"):
+        [*tokenbin.read_blocks(f"{folder}/{row.data_file}", index)]
+
+
+def test_a_hot_id_is_dealt_out(spark, library):
+    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "concat('words of row ', id) AS text")
+    got = sorted(tokenbin.encode_table(rows, C.fresh_dir(spark, "ids"), PATH).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2000 + [*range(1, 4000, 2)]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+    assert len({r.data_file for r in got if r.doc_id is None}) > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+
+
 def test_damage_is_found(tmp_path):
     import io
 
