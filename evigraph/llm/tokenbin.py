@@ -257,9 +257,32 @@ def read_blocks(data_file: str, index: np.ndarray, most: int = BLOCK_BYTES) -> I
             at = stop
 
 
-def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
-    """(doc_id, ids) of docs(doc_id, text): a text's ids and the end id, in the bytes of the file format."""
+def stretches(docs: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """(parts for null ids, upper bounds of the other parts but the last): the order of docs by doc_id in about n parts of as many rows. One row of some
+    n numbers comes to the driver. An id that is several bounds has several parts."""
+    shares = [k / n for k in range(1, n)] or [0.5]
+    bounds = F.percentile_approx("doc_id", shares, max(10_000, 20 * n))
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("rows"), F.count("doc_id").alias("known"), bounds.alias("bounds")).first()
+    unknown = row["rows"] - row["known"]
+    return -(-n * unknown // row["rows"]) if unknown else 0, np.array(row["bounds"] or [], np.int64)
+
+
+def part_of(ids: pa.Array, hashes: np.ndarray, unknown: int, bounds: np.ndarray) -> np.ndarray:
+    """The parts of rows by `stretches`: null ids first. Rows of an id with several parts, or of the null id, are dealt out by ranges of their hash, so
+    that the parts in their order hold rows in ascending (id, hash)."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    known = pc.fill_null(ids, 0).to_numpy()
+    low = np.where(null, 0, np.searchsorted(bounds, known, "left") + unknown)
+    high = np.where(null, max(unknown - 1, 0), np.searchsorted(bounds, known, "right") + unknown)
+    share = hashes / 2.0**64 + 0.5
+    return np.minimum(low + (share * (high - low + 1)).astype(np.int64), high).astype(np.int32)
+
+
+def encode(docs: DataFrame, tokenizer: str, end: int = END, unknown: int = 0, bounds: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, ids, h, part) of docs(doc_id, text): a text's ids and the end id, in the bytes of the file format; a hash of the text; and the row's
+    part by `stretches`."""
     C.arrow_batches(docs.sparkSession, BATCH_ROWS)
+    bounds = np.zeros(0, np.int64) if bounds is None else bounds
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -268,25 +291,30 @@ def encode(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
         encoder = encoder_of(tokenizer)
         for batch in batches:
             for start, stop in encoder.slices(batch.column(1)):
-                ids, places = encoder.encode(batch.column(1).slice(start, stop - start))
+                doc_ids, texts, hashes = (c.slice(start, stop - start) for c in batch.columns)
+                ids, places = encoder.encode(texts)
                 ids = np.insert(ids, places[1:], end)
                 offsets = ((places + np.arange(len(places))) * ids.itemsize).astype(np.int64)
-                column = pa.Array.from_buffers(pa.large_binary(), stop - start, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), column.cast(pa.binary())], names=["doc_id", "ids"])
+                column = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary())
+                parts = pa.array(part_of(doc_ids, hashes.to_numpy(), unknown, bounds))
+                yield pa.RecordBatch.from_arrays([doc_ids, column, hashes, parts], names=["doc_id", "ids", "h", "part"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, ids binary, h long, part int")
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataFrame:
-    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by a hash of their token ids) and returns the manifest: a row for
+    """Writes docs(doc_id, text) in ascending doc_id order (nulls first, equal ids by a hash of their texts) and returns the manifest: a row for
     each data file, in order of `part`. The manifest lies in `<folder>/manifest` and outlives the session; it lists files of tasks that ended well.
 
-    Texts are encoded where they are read, once: the ids are written aside, and they alone go through the range exchange that gives each task a
-    stretch of the order. Its keys end with a row's number, so that a stretch of equal or null ids is dealt out as well. A task streams its records
-    into one file. A null text has the end id alone; an empty table gives no file; other columns are not read."""
+    Texts are encoded where they are read, and the ids alone are exchanged, by parts whose bounds were found from the ids of the documents. A hot id
+    has several parts; only rows with one id and one text stay together. A task streams its records into one file. A null text has the end id alone;
+    an empty table gives no file; other columns are not read."""
     spark = docs.sparkSession
     width = vocabulary_width(tokenizer)
-    rows = C.materialize(encode(docs, tokenizer, end)).select("doc_id", "ids", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row"))
+    unknown, bounds = stretches(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = encode(docs, tokenizer, end, unknown, bounds)
+    ordered = rows.repartitionById(unknown + len(bounds) + 1, F.col("part")).sortWithinPartitions("doc_id", "h").select("doc_id", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -317,7 +345,6 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
             columns = [([part], pa.int32()), ([f"{name}.rec"], pa.string()), ([f"{name}.idx"], pa.string()), ([docs_written], pa.int64()), ([ids_written], pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in columns], names=["part", "data_file", "index_file", "docs", "ids"])
 
-    ordered = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "ids")
     ordered.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 

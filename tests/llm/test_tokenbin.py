@@ -97,11 +97,25 @@ def test_a_wrong_index_is_found(spark, sample):
 
 
 def test_a_hot_id_is_dealt_out(spark, library):
-    rows = spark.range(4000).selectExpr("if(id % 2 = 0, null, id) AS doc_id", "concat('words of row ', id) AS text")
+    """A null id and an id with a third of all rows each come in several files; the order holds."""
+    rows = spark.range(6000).selectExpr("CASE id % 3 WHEN 0 THEN null WHEN 1 THEN 7 ELSE id - 3000 END AS doc_id", "concat('words of row ', id) AS text")
     got = sorted(tokenbin.encode_table(rows, C.fresh_dir(spark, "ids"), PATH).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == [None] * 2000 + [*range(1, 4000, 2)]
+    assert [r.doc_id for r in got] == [None] * 2000 + sorted([7] * 2000 + [i - 3000 for i in range(2, 6000, 3)])
     assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
-    assert len({r.data_file for r in got if r.doc_id is None}) > 1 or spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    for hot in (None, 7):
+        files = {r.data_file: 0 for r in got if r.doc_id == hot}
+        assert len(files) > 1
+
+
+def test_parts_keep_the_order():
+    rng = np.random.default_rng(1)
+    ids = [None if x < 20 else int(x) // 7 for x in rng.integers(0, 400, 3000)] + [13] * 3000
+    hashes = rng.integers(-(2**63), 2**63 - 1, len(ids))
+    for unknown, bounds in ((3, [5, 13, 13, 13, 40]), (1, []), (2, [13] * 6)):
+        parts = tokenbin.part_of(pa.array(ids, pa.int64()), hashes, unknown, np.array(bounds, np.int64))
+        rows = sorted(zip(((i is not None, i or 0) for i in ids), hashes.tolist(), parts.tolist()))
+        assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]))
+        assert parts.min() >= 0 and parts.max() <= unknown + len(bounds)
 
 
 def test_damage_is_found(tmp_path):
