@@ -36,7 +36,7 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hostrules.judge(C.table(spark, sf_dir, "documents")).drop("host_rate")
+    return hostrules.judge(C.table(spark, sf_dir, "documents"))
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +83,18 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, ''
 g AS (SELECT rid, s, array_to_string(w[s : s + 4], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
 r AS (SELECT rid, count(DISTINCT p)::BIGINT AS n FROM (SELECT rid, unnest(range(s, s + 5)) AS p FROM (SELECT rid, s, count(*) OVER (PARTITION BY rid, k) AS c FROM g) WHERE c > 1) GROUP BY rid),
 f AS (SELECT doc_id, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (rid)),
-e AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS failed FROM e GROUP BY source),
-m AS (SELECT greatest(least(avg(failed / n), 0.999999), 0.000001)::DOUBLE AS m, var_samp(failed / n) AS v FROM h),
-p AS (SELECT m, least(greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE 1000 END, 1), 1000)::DOUBLE AS k FROM m),
-q AS (SELECT source, (failed + m * k) / (n + k) AS rate FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= 0.5 AS kept FROM e JOIN q ON e.source IS NOT DISTINCT FROM q.source""",
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN r USING (rid)),
+e AS (SELECT *, n_words < 10 AS short, 100 * n_repeat_words > 20 * n_words AS repeats, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS lines, word_chars < 3 * n_words OR word_chars > 10 * n_words AS lengths FROM f),
+w AS (SELECT source, count(*)::DOUBLE AS n, sum(short::INT)::DOUBLE AS short, sum(repeats::INT)::DOUBLE AS repeats, sum(symbols::INT)::DOUBLE AS symbols, sum(lines::INT)::DOUBLE AS lines, sum(lengths::INT)::DOUBLE AS lengths FROM e GROUP BY source),
+h AS (SELECT source, n, short AS k, 'short' AS rule FROM w UNION ALL SELECT source, n, repeats, 'repeats' FROM w UNION ALL SELECT source, n, symbols, 'symbols' FROM w UNION ALL SELECT source, n, lines, 'lines' FROM w UNION ALL SELECT source, n, lengths, 'lengths' FROM w),
+s AS (SELECT rule, count(*)::DOUBLE AS m, sum(n) AS nn, sum(k) AS kk, sum(k * k / n) AS spread, sum(n) - sum(n * n) / sum(n) - (count(*) - 1) AS told FROM h GROUP BY rule),
+p AS (SELECT *, greatest(least(kk / nn, 0.999999), 0.000001)::DOUBLE AS mean FROM s),
+q AS (SELECT rule, mean, greatest(least(CASE WHEN told > 1e-9 * nn THEN ((spread - kk * kk / nn) / (mean * (1 - mean)) - (m - 1)) / told ELSE 0 END, 0.5), 1.0::DOUBLE / 1001)::DOUBLE AS share FROM p),
+u AS (SELECT rule, mean, 1 / share - 1 AS strength, least(0.6, greatest(0.3, mean + 2 * sqrt(mean * (1 - mean) * share))) AS lim FROM q),
+v AS (SELECT source, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (n + strength + 1)) > lim) AS host_rejected
+  FROM (SELECT source, n, strength, lim, (k + mean * strength) / (n + strength) AS rate FROM h JOIN u USING (rule)) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, host_rejected, NOT (short OR repeats) AND NOT host_rejected AS kept
+FROM e JOIN v ON e.source IS NOT DISTINCT FROM v.source""",
     "op2_token_rollup": r"""
 WITH d AS (SELECT source, lang, coalesce(text, '') AS t, translate(coalesce(text, ''), '#*$%&|<>', '') AS c FROM documents),
 n AS (SELECT source, lang, t, c FROM d WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10),
