@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,12 +47,40 @@ def positions(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), (count - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def running(items: str, kind: str, value: Callable[[Column], Column], fold: Callable[[Column, Column], Column], zero: Column, block: int = 256) -> Column:
+    """For each x of the array column `items`, of element type `kind`: struct(before, x), where before folds the values of all elements before x.
+
+    fold must be associative with zero at its start, as sums and largest values are. Arrays are built in blocks, and blocks are joined once, so
+    that a long array does not cost its square: about `block` copies an element."""
+    pair = f"array<struct<before:int,x:{kind}>>"
+
+    def within(a: Column, x: Column) -> Column:
+        here = F.array(F.struct(a["at"].alias("before"), x.alias("x")))
+        return F.struct(fold(a["at"], value(x)).alias("at"), F.concat(a["out"], here).alias("out"))
+
+    def across(a: Column, b: Column) -> Column:
+        here = F.array(F.struct(a["at"].alias("base"), b["out"].alias("out")))
+        return F.struct(fold(a["at"], b["at"]).alias("at"), F.concat(a["out"], here).alias("out"))
+
+    start = F.struct(zero.alias("at"), F.array().cast(pair).alias("out"))
+    blocks = F.transform(positions(F.ceil(F.size(items) / block)), lambda b: F.aggregate(F.slice(items, b * block + 1, block), start, within))
+    first = F.struct(zero.alias("at"), F.array().cast(f"array<struct<base:int,out:{pair}>>").alias("out"))
+    whole = F.aggregate(blocks, first, across, lambda a: a["out"])
+    shifted = lambda w: F.transform(w["out"], lambda y: F.struct(fold(w["base"], y["before"]).alias("before"), y["x"].alias("x")))
+    return F.flatten(F.transform(whole, shifted))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset (tests), a temporary folder becomes it."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a temporary folder becomes it, on a local
+    master alone: on a cluster executors would not see it, and this raises."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if path is None and known.isDefined():
+        path = known.get()
     if path is None:
-        path = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="evigraph-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="evigraph-")
     if known.isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -62,6 +91,12 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Computes df once into the shared folder and cuts its lineage there; any executor can read it again."""
     shared_dir(df.sparkSession)
@@ -112,7 +147,8 @@ def components(links: DataFrame) -> DataFrame:
         if total is None:
             total = point
         else:
-            total = total.join(point.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            moved = total.join(point.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+            total = materialize(moved)
         seed += 1
     if total is None:
         kind = links.schema["a"].dataType
