@@ -24,6 +24,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_VALID = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})){3}$"
 #: Patterns of further candidates.
 SECRET = r"\bAKIA[0-9A-Z]{16}\b|\b(?:[Pp]ass(?:word|wd)?|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey)[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.-]{8,}+|\b(?=[a-z]*+[0-9])[0-9a-z]{32,}+\b"
+#: A run without a key word that is a key or a digest by its form.
+HEX = r"^[0-9a-f]{32,}+$"
 #: In any text with a match of SECRET: each of its alternatives needs a key word, AKIA or a digit.
 SECRET_GATE = r"[0-9]|AKIA|[Pp]ass|[Tt]oken|[Ss]ecret|[Aa]pi[_-]?[Kk]ey"
 NATIONAL = r"(?<![0-9+.-])(?:\([0-9]{2,4}\) ?|0?[0-9]{2,3}[ -])[0-9]{3,4}[ -][0-9]{3,4}(?![0-9-])"
@@ -47,6 +49,9 @@ CONTEXT = {
     "name": r"(?i)\b(?:by|with|from|patient|contact|dear|signed)\b",
 }
 CONTEXT_CHARS = 32
+#: Texts with spans are cut into pieces of so many code points (CONTEXT_CHARS at least), so that a span's surroundings are found without passing over
+#: all of the text before it.
+CHUNK = 64
 ROUNDS = 30
 LIMIT = 0.9
 
@@ -56,19 +61,41 @@ def located(text: Column, pattern: str, gate: Column) -> tuple[Column, Column]:
     return F.when(gate, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), F.when(gate, F.split(text, pattern, -1))
 
 
-def placed(found: str, between: str, kind: int, base: bool, keep) -> Column:
-    """The spans (kind, s, e, m, base) of matches, from the lengths of what lies between them; only those whose match passes `keep`."""
-    none = F.array().cast("array<struct<kind:int,s:int,e:int,m:string,base:boolean>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+PIECE, SPAN = "struct<gap:int,m:string>", "struct<kind:int,s:int,e:int,m:string,base:boolean>"
 
-    def step(a: Column, i: Column) -> Column:
-        m = C.at(F.col(found), i)
-        s = a["at"] + F.length(C.at(F.col(between), i))
-        span = F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"), F.lit(base).alias("base"))
-        return F.struct((s + F.length(m)).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
-    spans = F.aggregate(C.positions(F.size(found)), start, step, lambda a: a["out"])
-    return F.when(F.size(found) > 0, F.filter(spans, lambda x: keep(x["m"]))).otherwise(none)
+def pieces(found: str, between: str) -> Column:
+    """Each match, with the length of what lies between it and the one before."""
+    piece = lambda i: F.struct(F.length(C.at(F.col(between), i)).alias("gap"), C.at(F.col(found), i).alias("m"))
+    return F.transform(C.positions(F.size(found)), piece)
+
+
+def placed(array: str, kind: int, base: bool, keep) -> Column:
+    """The spans (kind, s, e, m, base) of an array of `pieces`, by a running sum of lengths; only those whose match passes `keep`."""
+    sums = C.running(array, PIECE, lambda x: x["gap"] + F.length(x["m"]), lambda a, v: a + v, F.lit(0))
+
+    def span(y: Column) -> Column:
+        s, m = y["before"] + y["x"]["gap"], y["x"]["m"]
+        return F.struct(F.lit(kind).alias("kind"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"), F.lit(base).alias("base"))
+
+    spans = F.transform(F.filter(sums, lambda y: keep(y["x"]["m"])), span)
+    return F.when(F.size(array) > 0, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def events(base: str, more: str) -> Column:
+    """Base spans by their starts and others by their ends, in one order, others first: (place, reach, span). reach is a base span's end."""
+    told = lambda x: F.struct(x["s"].alias("place"), x["e"].alias("reach"), x.alias("span"))
+    asked = lambda x: F.struct(x["e"].alias("place"), F.lit(-1).alias("reach"), x.alias("span"))
+    return F.array_sort(F.concat(F.transform(base, told), F.transform(more, asked)))
+
+
+def apart(array: str) -> Column:
+    """The spans that overlap no base span, from an array of `events`: the largest end of the base spans that start before a span's end is not beyond its
+    start."""
+    kind = f"struct<place:int,reach:int,span:{SPAN}>"
+    reached = C.running(array, kind, lambda x: x["reach"], lambda a, v: F.greatest(a, v), F.lit(-1))
+    free = F.filter(reached, lambda y: ~y["x"]["span"]["base"] & (y["before"] <= y["x"]["span"]["s"]))
+    return F.transform(free, lambda y: y["x"]["span"])
 
 
 def _digits(m: Column) -> Column:
@@ -104,7 +131,7 @@ def _patterns() -> list[tuple]:
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, spans: base spans in order, then further candidates that overlap no base span; each with votes v1..v4 and features f1, f2.
 
-    A labeler votes 1 (personal), 0 (not) or -1 (it abstains). v1: the strict pattern of the kind; v2: a gazetteer; v3: words before the span; v4:
+    A labeler votes 1 (personal), 0 (not) or -1 (it abstains). v1: the strict pattern of the kind; v2: a gazetteer (it abstains on runs without a key word); v3: words before the span; v4:
     whether the span stands by itself. f1: length in steps; f2: kinds of characters."""
     patterns = _patterns()
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -114,12 +141,17 @@ def candidates(docs: DataFrame) -> DataFrame:
         found, between = located(F.col("t"), pattern, gate(F.col("t")))
         cols += [found.alias(f"f{k}"), between.alias(f"b{k}")]
     rows = rows.select("doc_id", "t", *cols)
-    rows = rows.select("doc_id", "t", *[placed(f"f{k}", f"b{k}", kind, base, keep).alias(f"x{k}") for k, (kind, base, _, _, keep) in enumerate(patterns)])
+    rows = rows.select("doc_id", "t", *[F.when(F.size(f"f{k}") > 0, pieces(f"f{k}", f"b{k}")).alias(f"p{k}") for k in range(len(patterns))])
+    spans = [placed(f"p{k}", kind, base, keep).alias(f"x{k}") for k, (kind, base, _, _, keep) in enumerate(patterns)]
+    rows = rows.select("doc_id", "t", *spans)
     base = F.concat(*[f"x{k}" for k, p in enumerate(patterns) if p[1]])
     more = F.concat(*[f"x{k}" for k, p in enumerate(patterns) if not p[1]])
     rows = rows.select("doc_id", "t", base.alias("base"), more.alias("more"))
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda y: (x["s"] < y["e"]) & (y["s"] < x["e"])))
-    rows = rows.select("doc_id", "t", F.concat("base", F.when(F.size("more") > 0, apart).otherwise(F.col("more"))).alias("all"))
+    meet = (F.size("base") > 0) & (F.size("more") > 0)
+    rows = rows.select("doc_id", "t", "base", "more", F.when(meet, events("base", "more")).alias("events"))
+    every = F.concat("base", F.when(meet, F.array_sort(apart("events"))).otherwise(F.col("more")))
+    chunks = F.when((F.size("base") > 0) | (F.size("more") > 0), F.regexp_extract_all("t", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
+    rows = rows.select("doc_id", every.alias("all"), chunks.alias("chunks"))
 
     def by_kind(kind: Column, tests: dict[str, str], value: Column) -> Column:
         out = F.lit(False)
@@ -128,15 +160,21 @@ def candidates(docs: DataFrame) -> DataFrame:
         return out.cast("int")
 
     def voted(x: Column) -> Column:
-        t, kind, m = F.col("t"), x["kind"], x["m"]
-        before = F.substr(t, F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0)) + 1, F.least(x["s"], F.lit(CONTEXT_CHARS)))
-        after = F.substr(t, x["e"] + 1, F.lit(1))
-        strict = F.when(x["base"], 1).when(kind == 4, m.rlike(r"^AKIA|[=:]").cast("int")).when(kind == 3, m.startswith("(").cast("int")).otherwise(m.rlike(r"\. ").cast("int"))
+        kind, m = x["kind"], x["m"]
+        chunk = lambda k: F.coalesce(C.at(F.col("chunks"), k), F.lit(""))
+        last = lambda place: F.floor(place / CHUNK).cast("int")
+        before = F.right(F.concat(chunk(last(x["s"]) - 1), F.substr(chunk(last(x["s"])), F.lit(1), x["s"] % CHUNK)), F.lit(CONTEXT_CHARS))
+        after = F.substr(chunk(last(x["e"])), x["e"] % CHUNK + 1, F.lit(1))
+        bare = (kind == 4) & ~m.rlike(r"^AKIA|[=:]")
+        strict = F.when(x["base"], 1).when(kind == 4, (~bare | m.rlike(HEX)).cast("int"))
+        strict = strict.when(kind == 3, m.startswith("(").cast("int")).otherwise(m.rlike(r"\. ").cast("int"))
+        listed = F.when(bare, -1).otherwise(by_kind(kind, GAZETTEER, m))
         context = F.when(by_kind(kind, CONTEXT, before) == 1, 1).otherwise(-1)
         alone = (~before.rlike(r"[A-Za-z0-9_=/]$") & ~after.rlike(r"^[A-Za-z0-9_=/]")).cast("int")
         chars = m.rlike("[0-9]").cast("int") + 2 * m.rlike("[A-Za-z]").cast("int")
         size = F.least(F.floor(F.length(m) / 8), F.lit(4)).cast("int")
-        return F.struct(kind.alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["base"].alias("base"), strict.alias("v1"), by_kind(kind, GAZETTEER, m).alias("v2"), context.alias("v3"), alone.alias("v4"), size.alias("f1"), chars.alias("f2"))
+        votes = [v.alias(f"v{k}") for k, v in enumerate((strict, listed, context, alone), 1)]
+        return F.struct(kind.alias("kind"), *[x[c].alias(c) for c in ("s", "e", "base")], *votes, size.alias("f1"), chars.alias("f2"))
 
     return rows.select("doc_id", F.transform("all", voted).alias("spans"))
 

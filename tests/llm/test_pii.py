@@ -75,3 +75,66 @@ def test_long_secrets_are_whole(spark):
     letters = "abcdefghijklmnopqrstuvwxyz" * 2
     texts = ["api_key: " + "Ab3_" * 75 + ", x", "token=" + "e" * 60000, "key " + "0123456789abcdef" * 16 + " end", letters + "7", letters * 4 + "7" + letters * 2000, letters * 5, "0123456789abcdef" * 16 + "X", "0123456789abcdef" * 16 + "_"]
     assert secrets(spark, texts) == [[(0, 309)], [(0, 60006)], [(4, 260)], [(0, 53)], [(0, 209 + 104000)], [], [], []]
+
+
+def test_very_many_matches(spark):
+    """Positions by running sums over blocks, and overlaps by a running largest end, are those of plain Python; a long text does not cost its square."""
+    text = " ".join(f"é10.0.{k % 250}.{k % 199} 555-{k % 900 + 100}-2030 +49 30 {k % 9000 + 100000}" for k in range(8000))
+    row = pii.digest(pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    counts, spans = plain(text)
+    assert (row.n_email, row.n_ip, row.n_card, row.n_phone) == tuple(counts) and row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
+def test_candidates_apart_from_base_spans(spark):
+    texts = ["+1 555 123 4567 and 555-123-4567", "(555) 123-4567 1.2.3.4 030-123-4567x 4111 1111 1111 1111", "token=abcdefgh@mail.example.com or token=abcdefgh", "Dr. Anna Bell dr.bell@x.org Mr. Paul"]
+    rows = pii.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        base = [(x.s, x.e) for x in r.spans if x.base]
+        for _, _, pattern in ((3, 0, pii.NATIONAL), (4, 0, pii.SECRET), (5, 0, pii.NAME)):
+            kind = {pii.NATIONAL: 3, pii.SECRET: 4, pii.NAME: 5}[pattern]
+            want = [m.span() for m in re.finditer(pattern, texts[r.doc_id]) if not any(m.start() < e and s < m.end() for s, e in base)]
+            assert [(x.s, x.e) for x in r.spans if not x.base and x.kind == kind] == want
+
+
+def planted(n=600):
+    """Texts with planted spans by kind, and decoys that the candidate patterns match or nearly match."""
+    import random
+
+    draw = random.Random(11)
+    words = "the of a river green house slowly went under many small stones before evening came and nobody saw them leave".split()
+    given = "James John Robert Michael William David Mary Linda Susan Peter Paul Anna".split()
+    number = lambda k: "".join(draw.choices("0123456789", k=k))
+    makers = {
+        "secret": [lambda: "AKIA" + "".join(draw.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16)), lambda: f"api_key = {number(6)}aB{number(6)}xyz", lambda: f"password: {''.join(draw.choices('abcdefgh', k=9))}{number(3)}", lambda: "".join(draw.choices("0123456789abcdef", k=40)) + "7"],
+        "phone": [lambda: f"(2{number(2)}) 5{number(2)}-{number(4)}", lambda: f"(7{number(2)}) 3{number(2)}-{number(4)}"],
+        "name": [lambda: f"Dr. {draw.choice(given)} Miller", lambda: f"Mrs. {draw.choice(given)} Stone"],
+    }
+    lead = {"secret": ["login ", "the key ", ""], "phone": ["call ", "phone ", ""], "name": ["contact ", "signed ", "by "]}
+    decoys = [lambda: f"in {number(2)}1 {number(3)} {number(3)} parts", lambda: "version 1.2.3 of 2024-01-01", lambda: "the token of the secret password", lambda: "Mr and Mrs went", lambda: f"items {number(3)}-{number(2)}"]
+    rows, truth = [], []
+    for i in range(n):
+        text, spans = "", []
+        for _ in range(draw.randint(1, 4)):
+            text += " ".join(draw.choices(words, k=draw.randint(5, 30))) + " "
+            if draw.random() < 0.5:
+                text += draw.choice(decoys)() + " "
+                continue
+            kind = draw.choice([*makers])
+            text += draw.choice(lead[kind])
+            value = draw.choice(makers[kind])()
+            spans.append((kind, len(text), len(text) + len(value)))
+            text += value + " "
+        rows.append((i, text))
+        truth.append(spans)
+    return rows, truth
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    rows, truth = planted()
+    found = {r.doc_id: [(pii.KINDS[x.kind], x.s, x.e) for x in r.found if not x.base] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for kind in ("secret", "phone", "name"):
+        want = {(i, *s) for i, spans in enumerate(truth) for s in spans if s[0] == kind}
+        got = {(i, *s) for i, spans in found.items() for s in spans if s[0] == kind}
+        recall, precision = len(want & got) / len(want), len(want & got) / max(len(got), 1)
+        print(kind, len(want), len(got), round(recall, 3), round(precision, 3))
+        assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
