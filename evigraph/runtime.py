@@ -22,3 +22,22 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(root))
     sc.addPyFile(str(target))
     sc._evigraph_shipped = True
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Moves a file or folder to a place where nothing is; False, and nothing moved, if something is there. Of several writers one wins."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    a, b = fs.Path(source), fs.Path(target)
+    conf = spark._jsc.hadoopConfiguration()
+    b.getFileSystem(conf).mkdirs(b.getParent())
+    b = b.getFileSystem(conf).makeQualified(b)
+    a = a.getFileSystem(conf).makeQualified(a)
+    plain = gateway.new_array(getattr(fs, "Options$Rename"), 0)
+    try:
+        fs.FileContext.getFileContext(b.toUri(), conf).rename(a, b, plain)
+    except Exception as e:
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
