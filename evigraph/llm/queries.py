@@ -13,14 +13,16 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollups.maintain(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup")).totals()
+    """Totals of every document as it stands, by both word patterns and a tokenizer file. A tokenizer has no SQL: tested against plain Python."""
+    import public_tokenizers
 
+    docs, path = C.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return rollups.count_all(docs, C.fresh_dir(spark, "rollup"), path, "byte_bpe_50k/1").totals()
 
-def op2_token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The totals of every document as it stands; op2_token_rollup has those after its batches of deletes and revisions, as its SQL does."""
-    import public_tokenizers
 
-    return rollups.count_all(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup"), public_tokenizers.path("byte_bpe_50k.json"), "byte_bpe_50k/1").totals()
+def op2_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by the word patterns after batches that delete short documents and revise the others, as its SQL has them."""
+    return rollups.maintain(C.table(spark, sf_dir, "documents"), C.fresh_dir(spark, "rollup")).totals()
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_token_totals)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_word_rollup)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -95,7 +97,7 @@ v AS (SELECT source, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (n + streng
   FROM (SELECT source, n, strength, lim, (k + mean * strength) / (n + strength) AS rate FROM h JOIN u USING (rule)) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed, host_rejected, NOT (short OR repeats) AND NOT host_rejected AS kept
 FROM e JOIN v ON e.source IS NOT DISTINCT FROM v.source""",
-    "op2_token_rollup": r"""
+    "op2_word_rollup": r"""
 WITH d AS (SELECT source, lang, coalesce(text, '') AS t, translate(coalesce(text, ''), '#*$%&|<>', '') AS c FROM documents),
 n AS (SELECT source, lang, t, c FROM d WHERE len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) >= 10),
 r AS (SELECT source, lang, 'space-words/1' AS tokenizer, len(regexp_extract_all(c, '[^\x20\x09-\x0D]+')) AS k FROM n

@@ -1,8 +1,11 @@
 """Token counts as delta-maintained rollups.
 
 Totals by source, language and tokenizer version are sums of signed deltas. A batch of changes is summed up to one row for each key and committed under
-its batch id, once: applying a batch again changes nothing. A batch lies in `<root>/batches/<id>`; it is written aside and moved there whole, so that
-a failed writer leaves no part of it. One writer commits to a root at a time; any number may read."""
+its batch id, once: applying a batch again changes nothing. A batch lies in `<root>/batches/<id>`; it is written aside and moved there whole, by a move
+that fails if the place is taken, so that a failed writer leaves no part of it and of two writers of one id one wins.
+
+The totals are kept, too: `<root>/totals/<n>` has the sums up to a version and the ids of the batches in them. Compaction folds the batches that came
+since into the next version, which is moved into place in the same way, and then removes their folders; their ids stay known."""
 
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import move_new
 from . import common as C
 
 KEYS = ("source", "lang", "tokenizer")
@@ -64,7 +68,12 @@ def inserted(counts: DataFrame) -> DataFrame:
 
 def deleted(counts: DataFrame) -> DataFrame:
     """The delta of documents that go, from the counts they were inserted with."""
-    return inserted(counts).select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
+    return negated(inserted(counts))
+
+
+def negated(delta: DataFrame) -> DataFrame:
+    """The delta that undoes a delta."""
+    return delta.select(*KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
 
 
 def revised(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -90,48 +99,98 @@ class Rollup:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
-    def committed(self) -> list[str]:
-        """Ids of the batches that are committed, in order of their names."""
-        if not self._fs.exists(self._path("batches")):
+    def _names(self, folder: str) -> list[str]:
+        if not self._fs.exists(self._path(folder)):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path("batches")))
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder)))
+
+    def version(self) -> int:
+        """The newest version of the totals; 0 before the first compaction."""
+        return max((int(n) for n in self._names("totals")), default=0)
+
+    def _ids(self, version: int) -> DataFrame:
+        """(batch): the ids of the batches in a version of the totals."""
+        if not version:
+            return self.spark.createDataFrame([], "batch string")
+        return self.spark.read.schema("batch string").parquet(f"{self.root}/totals/{version}/ids")
+
+    def pending(self, version: int | None = None) -> list[str]:
+        """Ids of the committed batches that are not in the totals of the version, in order of their names."""
+        version = self.version() if version is None else version
+        names = self._names("batches")
+        if not version or not names:
+            return names
+        folded = {r[0] for r in self._ids(version).where(F.col("batch").isin(names)).collect()}
+        return [n for n in names if n not in folded]
+
+    def has(self, batch: str) -> bool:
+        """Whether a batch is committed."""
+        return batch in self._names("batches") or not self._ids(self.version()).where(F.col("batch") == batch).isEmpty()
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Adds a batch's delta; False, and nothing done, if its id is committed already."""
         if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", batch):
             raise ValueError(f"bad batch id {batch!r}")
-        target = self._path(f"batches/{batch}")
-        if self._fs.exists(target):
+        if self.has(batch):
             return False
-        aside = f"staged/{batch}-{uuid.uuid4().hex}"
-        delta.select(*KEYS, "docs", "tokens").coalesce(1).write.parquet(f"{self.root}/{aside}")
-        self._fs.mkdirs(self._path("batches"))
-        if not self._fs.rename(self._path(aside), target):
-            raise OSError(f"cannot move {aside} to {target}")
-        return True
+        aside = f"{self.root}/staged/{batch}-{uuid.uuid4().hex}"
+        delta.select(*KEYS, "docs", "tokens").coalesce(1).write.parquet(aside)
+        return move_new(self.spark, aside, f"{self.root}/batches/{batch}")
+
+    def _rows(self, version: int, batches: list[str]) -> list[DataFrame]:
+        paths = [f"{self.root}/batches/{b}" for b in batches]
+        if version:
+            paths.append(f"{self.root}/totals/{version}/rows")
+        return [self.spark.read.schema(SCHEMA).parquet(*paths)] if paths else []
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs and tokens: the sum of all committed batches; keys of which nothing is left are gone."""
-        batches = self.committed()
+        """source, lang, tokenizer, docs and tokens: the kept totals and the batches since; keys of which nothing is left are gone."""
+        version = self.version()
+        rows = self._rows(version, self.pending(version))
+        return merged(rows) if rows else self.spark.createDataFrame([], SCHEMA)
+
+    def compact(self) -> int:
+        """Folds the batches since the last compaction into a new version of the totals and removes their folders. Returns the newest version. If another
+        writer was faster, its version stands."""
+        version = self.version()
+        batches = self.pending(version)
         if not batches:
-            return self.spark.createDataFrame([], SCHEMA)
-        return merged([self.spark.read.schema(SCHEMA).parquet(*[f"{self.root}/batches/{b}" for b in batches])])
-
-    def compact(self, batches: list[str] | None = None) -> None:
-        """Sums committed batches up in one more place, `compacted`, for readers that want one file. Batches stay, for they are what makes a replay harmless."""
-        self.totals().coalesce(1).write.mode("overwrite").parquet(f"{self.root}/compacted")
+            return version
+        aside = f"{self.root}/staged/totals-{uuid.uuid4().hex}"
+        merged(self._rows(version, batches)).coalesce(1).write.parquet(f"{aside}/rows")
+        ids = self.spark.createDataFrame([(b,) for b in batches], "batch string")
+        self._ids(version).unionByName(ids).coalesce(1).write.parquet(f"{aside}/ids")
+        if move_new(self.spark, aside, f"{self.root}/totals/{version + 1}"):
+            for b in batches:
+                self._fs.delete(self._path(f"batches/{b}"), True)
+            for old in self._names("totals"):  # the version before stays for its readers
+                if int(old) < version:
+                    self._fs.delete(self._path(f"totals/{old}"), True)
+        return self.version()
 
 
 def count_all(docs: DataFrame, root: str, path: str, version: str) -> Rollup:
-    """Totals of docs(doc_id, text, source, lang) as they stand: every row counts with its whole text under each of PATTERNS and under the tokenizer
-    file at `path`, named `version`, which comes as a batch of its own. The first batch is then applied again, as after a lost reply.
+    """Totals of docs(doc_id, text, source, lang) as they stand, by the word patterns and by the tokenizer file at `path`, named `version`.
+
+    Four batches: the documents arrive with no language and are counted by the first pattern; the second is added; counts are revised to the documents'
+    languages, after which the totals are compacted; the tokenizer comes as a new version. The first and the last batch are then applied again, as
+    after lost replies.
 
-    Null texts are documents of 0 tokens; null sources and languages are keys; repeated rows count each; an empty table leaves no totals."""
+    Every row counts with its whole text. Null texts are documents of 0 tokens; null sources and languages are keys; repeated rows count each; an
+    empty table leaves no totals. Texts are read once by the patterns and once by the tokenizer; each task sums its rows up by key before anything
+    is shuffled."""
     rollup = Rollup(docs.sparkSession, root)
-    words = inserted(pattern_counts(docs))
-    rollup.commit("1-words", words)
-    rollup.commit("2-tokenizer", inserted(tokenizer_counts(docs, path, version)))
-    if rollup.commit("1-words", words):
+    words = C.materialize(inserted(pattern_counts(docs)))
+    unknown = words.withColumn("lang", F.lit(None).cast("string"))
+    first, second = (F.col("tokenizer") == v for v in PATTERNS)
+    arrived = merged([unknown.where(first)])
+    rollup.commit("1-arrived", arrived)
+    rollup.commit("2-second-pattern", merged([unknown.where(second)]))
+    rollup.commit("3-languages", merged([negated(unknown), words]))
+    rollup.compact()
+    tokens = C.materialize(inserted(tokenizer_counts(docs, path, version)))
+    rollup.commit("4-tokenizer", tokens)
+    if rollup.commit("1-arrived", arrived) or rollup.commit("4-tokenizer", tokens):
         raise RuntimeError("a batch was committed twice")
     return rollup
 
@@ -162,6 +221,7 @@ def maintain(docs: DataFrame, root: str, least_words: int = 10, strip: str = "#*
     batches = [("1-insert", inserted(of(first, "o", counts))), ("2-new-tokenizer", inserted(of(second, "o", counts))), ("3-delete", deleted(both("o", gone))), ("4-revise", revised(both("o", live), both("c", live)))]
     for name, delta in batches:
         rollup.commit(name, delta)
+    rollup.compact()
     for name, delta in (batches[0], batches[2]):
         if rollup.commit(name, delta):
             raise RuntimeError("a batch was committed twice")
