@@ -13,14 +13,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import common as C
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
-#: The training sample: so many documents of each language at most, those whose ids hash lowest, and so many windows of each.
-TRAIN_DOCS, TRAIN_WINDOWS = 250, 8
+#: The training sample: so many documents of each language at most, those that hash lowest, so many windows of each, and so many languages, the most
+#: frequent ones. Whatever the table holds, at most their product of windows comes to the driver: 33 MB.
+TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LANGUAGES = 250, 8, 64
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 #: Windows that go through the network together.
 CHUNK = 128
@@ -117,32 +119,43 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def fit(docs: DataFrame, per_language: int = TRAIN_DOCS) -> Network | None:
-    """The network learned from docs(doc_id, text, lang): a bounded sample of the rows that are not held out, with a language and a text with a letter;
-    None if there are none. Ids are chosen first, by a top-k for each language that each task applies to its own rows; only the sample's windows come
-    to the driver: 2 kB for each of its documents."""
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_LANGUAGES) -> DataFrame:
+    """(key, text, lang): the distinct rows to learn from, at most per_language of each of the most frequent languages, by name if as frequent.
+
+    A row is known by the hash of its id, text and language: rows that share an id are rows of their own, and equal rows are one. Keys are chosen by
+    a top-k for each language that each task applies to its own rows first; at most per_language x languages of them come to the driver."""
+    able = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    able = able.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    able = able.select(F.xxhash64("doc_id", "text", "lang").alias("key"), "text", "lang")
+    common = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    known = [r["lang"] for r in common.collect()]
+    order = Window.partitionBy("lang").orderBy("key")
+    ranked = able.where(F.col("lang").isin(known)).select("key", "lang").withColumn("k", F.dense_rank().over(order))
+    keys = [r[0] for r in ranked.where(F.col("k") <= per_language).select("key").distinct().collect()]
+    few = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "chosen long"))
+    return able.join(few, F.col("key") == F.col("chosen"), "left_semi").dropDuplicates(["key"])
+
+
+def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_LANGUAGES) -> Network | None:
+    """The network learned from a bounded `sample` of docs(doc_id, text, lang): rows that are not held out, with a language and a text with a letter; None
+    if there are none. Only the sample's windows come to the driver: 2 kB for each of its documents."""
     C.arrow_batches(docs.sparkSession)
-    able = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = able.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().collect()]
-    if not ids:
-        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, langs, out = [], [], []
-            for doc_id, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            keys, langs, out = [], [], []
+            for key, text, lang in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 found, _ = windows_of(text)
                 for k in sorted({int(x) for x in np.linspace(0, len(found) - 1, TRAIN_WINDOWS)}):
-                    ids.append(doc_id)
+                    keys.append(key)
                     langs.append(lang)
                     out.append(found[k].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["doc_id", "lang", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["key", "lang", "x"])
 
-    few = docs.sparkSession.createDataFrame([(i,) for i in ids], "i long")
-    rows = able.join(F.broadcast(few), F.col("doc_id") == F.col("i"), "left_semi").select(F.col("doc_id").cast("long"), "text", "lang").mapInArrow(run, "doc_id long, lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["x"])))
+    rows = sample(docs, per_language, languages).mapInArrow(run, "key long, lang string, x binary").collect()
+    if not rows:
+        return None
+    rows.sort(key=lambda r: (r["key"], r["lang"], bytes(r["x"])))
     langs = sorted({r["lang"] for r in rows})
     place = {lang: k for k, lang in enumerate(langs)}
     return train(np.frombuffer(b"".join(bytes(r["x"]) for r in rows), np.uint8).reshape(-1, WINDOW), np.array([place[r["lang"]] for r in rows]), langs)
@@ -174,8 +187,8 @@ def predict(texts: list[str | None], net: Network | None) -> list[tuple[str, flo
 def identify(docs: DataFrame, per_language: int = TRAIN_DOCS, keep_row: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs(doc_id, text, lang), learned from its own labelled rows that are not held out.
 
-    Texts are null, empty or of any length; repeated rows get equal answers; with no labelled row all are `und`; an empty table gives no rows. Other
-    columns are not read. With keep_row, the result has the whole rows, in a struct `row`, in place of doc_id. Nothing is shuffled but the sample's ids."""
+    Texts are null, empty or of any length; repeated rows get equal answers; with no labelled row all are `und`; an empty table gives no rows. Languages
+    beyond the TRAIN_LANGUAGES most frequent ones are not learned. Other columns are not read. With keep_row, the result has the whole rows, in a struct `row`, in place of doc_id. Nothing is shuffled but the sample's ids."""
     net = fit(docs, per_language)
     C.arrow_batches(docs.sparkSession, 500)
 
@@ -191,5 +204,5 @@ def identify(docs: DataFrame, per_language: int = TRAIN_DOCS, keep_row: bool = F
 
     held = held_out(F.col("doc_id")).alias("held_out")
     rows = docs.select(F.struct("*").alias("row"), held) if keep_row else docs.select("text", "doc_id", held)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[0 if keep_row else 1 :])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = StructType(rows.schema.fields[0 if keep_row else 1 :]).add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(run, schema)

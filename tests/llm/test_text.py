@@ -91,3 +91,52 @@ def test_gradients_reduce_the_error():
 def test_all_of_a_text_counts():
     net = langid.train(np.concatenate([np.full((50, 256), 97, np.uint8), np.full((50, 256), 98, np.uint8)]), np.repeat([0, 1], 50), ["a", "b"], epochs=4)
     assert langid.predict(["a" * 1000, "a" * 1000 + "b" * 9000], net)[0][0] == "a" and langid.predict(["a" * 1000 + "b" * 9000], net)[0][0] == "b"
+
+
+def plain_prediction(text, net):
+    """The forward pass written out: every window, every place, every filter, byte by byte."""
+    if not text or not any(ch.isalpha() for ch in text):
+        return "und", 0.0
+    data = text.lower().encode()
+    total = [0.0] * len(net.langs)
+    for at in range(0, max(len(data), 1), langid.WINDOW):
+        window = data[at : at + langid.WINDOW]
+        padded, active = window.ljust(langid.WINDOW, b"\0"), []
+        for f in range(net.filters.shape[1]):
+            width, best = langid.WIDTHS[f // langid.FILTERS], -float("inf")
+            for place in range(langid.WINDOW - langid.WIDTHS[-1] + 1):
+                response = 0.0
+                for k in range(width):
+                    for e in range(langid.EMBEDDING):
+                        response += float(net.embed[padded[place + k]][e]) * float(net.filters[k * langid.EMBEDDING + e][f])
+                best = max(best, response)
+            active.append(max(best + float(net.bias[f]), 0.0))
+        for n in range(len(net.langs)):
+            logit = float(net.out_bias[n]) + sum(a * float(net.out[f][n]) for f, a in enumerate(active))
+            total[n] += logit * len(window) / len(data)
+    top = max(total)
+    odds = [np.exp(x - top) for x in total]
+    best = max(range(len(total)), key=lambda n: total[n])
+    return net.langs[best], float(odds[best] / sum(odds))
+
+
+def test_language_against_a_plain_convolution(spark, sample):
+    net = langid.fit(sample)
+    texts = sorted((r.text for r in sample.collect() if r.text and 40 < len(r.text) < 400), key=len)[:4] + ["Größe!", "x", "", None, "12 34"]
+    for text, (lang, score) in zip(texts, langid.predict(texts, net), strict=True):
+        want = plain_prediction(text, net)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+
+
+def test_the_training_sample_is_bounded(spark):
+    from pyspark.sql import functions as F
+
+    learned = "crc32(cast(cast(doc_id AS string) AS binary)) % 5 <> 0"
+    ids = [r[0] for r in spark.range(1, 60).selectExpr("id AS doc_id").where(learned).collect()]
+    one = spark.range(4000).select(F.lit(ids[0]).alias("doc_id"), F.lit("the same words").alias("text"), F.lit("en").alias("lang"))
+    texts = spark.range(2000).select(F.lit(ids[1]).alias("doc_id"), F.concat(F.lit("row "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert langid.sample(one).count() == 1
+    assert langid.sample(one.unionByName(texts), per_language=30).count() == 30
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 900) AS lang")
+    some = langid.sample(many, per_language=2, languages=10)
+    assert some.count() <= 20 and some.select("lang").distinct().count() == 10
