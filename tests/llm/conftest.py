@@ -17,6 +17,18 @@ def edge(spark):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, w string, size double, fp string")
 
 
+#: Names that clash with columns within operators, or that need quoting.
+ODD_NAMES = ["gone", "some", "a b", "url-hash", "row", "row_key", "k", "key", "h", "part", "again", "lang_pred", "a`b", "x.y"]
+
+
+@pytest.fixture(scope="session")
+def odd(edge):
+    """Edge rows with many more columns."""
+    from pyspark.sql import functions as F
+
+    return edge.select("doc_id", "text", "lang", "source", "n_chars", *[F.lit(n).alias(n) for n in ODD_NAMES])
+
+
 @pytest.fixture(scope="session")
 def sample(spark):
     return spark.read.parquet(f"{DATA}/documents.parquet")

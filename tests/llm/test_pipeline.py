@@ -1,3 +1,7 @@
+import hashlib
+import re
+from collections import Counter
+
 import corpus_pipeline as pipeline
 from evigraph.llm import common as C
 from test_simhash import plain as plain_components
@@ -42,6 +46,53 @@ def test_edges(spark, edge, empty):
         assert stage(spark, empty, SF).count() == 0
 
 
+def test_odd_column_names(spark, edge, odd):
+    for name, stage in pipeline.STAGES[:-1]:
+        want, got = stage(spark, edge, SF), stage(spark, odd, SF)
+        assert got.columns == odd.columns, name
+        pairs = lambda rows: sorted(((r["doc_id"], r["text"]) for r in rows.collect()), key=repr)
+        assert pairs(got) == pairs(want)
+        assert all(r["a b"] == "a b" and r["x.y"] == "x.y" and r["a`b"] == "a`b" for r in got.collect())
+    assert pipeline.tokens(spark, odd, SF).count() == odd.count()
+
+
+def test_mix_against_plain_python(spark, sample):
+    rows = [(r.doc_id, r.text, r.source) for r in sample.collect()]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sums = {}
+    for _, text, source in rows:
+        sums[source] = sums.get(source, 0) + size(text)
+    order = sorted(sums, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    total, left, target = 1.5 * sum(sums.values()), set(sums), {}
+    while True:  # share by weight; what is above twice a source's size is shared again
+        rest = total - sum(target.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * sums[s]}
+        if not over:
+            target |= share
+            break
+        target |= {s: 2.0 * sums[s] for s in over}
+        left -= over
+    want = Counter()
+    for doc_id, _, source in rows:
+        rate = target[source] / sums[source]
+        draw = int(hashlib.md5(f"mix{doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        want[doc_id] += int(rate) + (draw < rate - int(rate))
+    got = Counter(r.doc_id for r in pipeline.mix(spark, sample, SF).collect())
+    assert got == +want
+
+
+def test_stage_folders_are_removed(spark):
+    import pathlib
+
+    root = pathlib.Path(C.shared_dir(spark).removeprefix("file:"))
+    before = {p.name for p in root.glob("pipeline-*")}
+    rows = pipeline.run(spark, SF)
+    assert rows.count() > 0
+    assert sorted(p.name.split("-")[1] for p in root.glob("pipeline-*") if p.name not in before) == ["ids", "mix"]
+
+
 def test_verdicts_go_by_row(spark):
     item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len((r.text or "").split()) >= 12)
     schema = "doc_id long, text string, lang string, source string, n_chars long"
