@@ -9,10 +9,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import providers
 from .operators import diff, extract, graph, mutations, search, series, tree
 from .plans import lens
 from .schema import PAGE_SECTIONS, Graph
 from .sources import files, parse, snapshot
+from .sources.versions import Table
+
+#: Errors that a summary lists; it counts all.
+ERRORS = 1000
+EVENTS = "number long, at long, kind string, subject string, n long"
 
 
 class NotFound(LookupError):
@@ -26,23 +32,47 @@ class Engine:
         self.spark, self.workspace, self.hooks, self.provider = spark, workspace.rstrip("/"), hooks, provider
         self.now = now or (lambda: int(time.time()))
         self.store = mutations.Store(spark, f"{self.workspace}/graph")
+        self._sections = Table(spark, f"{self.workspace}/sections", PAGE_SECTIONS)
+        self._blobs = Table(spark, f"{self.workspace}/blobs", "sha256 string, content binary")
+        self._generations = Table(spark, f"{self.workspace}/generations", "id string, name string, created_at long")
+        self._generation_sources = Table(spark, f"{self.workspace}/generation_sources", "generation_id string, path string, sha256 string")
+        self._events = Table(spark, f"{self.workspace}/events", EVENTS)
 
     # State.
 
     def graph(self) -> Graph:
         return self.store.load()
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.workspace}/{name}")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.workspace}/{name}")
+    def sections(self) -> DataFrame:
+        return self._sections.read()
 
-    def _write(self, name: str, frame: DataFrame) -> None:
-        graph.shared(frame).write.mode("overwrite").parquet(f"{self.workspace}/{name}")
+    def _told(self, kind: str, subject: str | None = None, n: int = 0) -> None:
+        """Adds an event; a reader keeps the version that it has read up to."""
+        at = self._events.read().count() + 1
+        self._events.append(self.spark.createDataFrame([(at, self.now(), kind, subject, n)], EVENTS))
 
-    def sections(self) -> DataFrame:
-        return self._read("sections", PAGE_SECTIONS)
+    def events(self, after: int = 0, most: int = 1000) -> list[dict]:
+        """What happened to the workspace after the event of this number, oldest first, at most so many."""
+        return _rows(self._events.read().where(F.col("number") > after).orderBy("number").limit(most))
+
+    # Ingest.
+
+    def _facts(self, docs: DataFrame, known: DataFrame, now: int) -> dict[str, DataFrame]:
+        """What the rules find in documents and, where there is a provider, what it finds beyond them. Each call of it is repeated after a failure."""
+        facts = extract.extract_all(docs, known, now)
+        if self.provider is None or not hasattr(self.provider, "entities"):
+            return facts
+        facts = {k: graph.shared(f) for k, f in facts.items()}
+        patient = providers.Patient(self.provider)
+        seen = facts["nodes"].select("id").unionByName(known.select("id")).distinct()
+        # a provider is asked once: what it said is kept
+        found = {k: graph.shared(f) for k, f in providers.entities(docs, seen, patient, now).items()}
+        facts = extract.merge_facts([facts, found])
+        names = facts["nodes"].where("kind <> 'Document'").select("id", "name")
+        mentions = facts["edges"].where("kind = 'MentionedIn'").select(F.col("to_id").alias("id"), F.col("from_id").alias("doc_id")).join(names, "id")
+        linked = facts["edges"].where("kind <> 'MentionedIn'").select("from_id", "to_id")
+        more = {k: graph.shared(f) for k, f in providers.relations(docs, mentions.select("doc_id", "id", "name"), linked, patient, now).items()}
+        return extract.merge_facts([facts, more])
 
     # Ingest.
 
@@ -57,44 +87,154 @@ class Engine:
 
     def ingest_files(self, found: DataFrame, skip_unchanged: bool = False, blobs: bool = True) -> dict:
         """Parses files(path, content), puts their facts into the graph and their sections into the index. Returns counts and errors."""
-        now, before = self.now(), self.graph()
+        now, base = self.now(), self.store.version()
+        before = self.graph()
         docs = graph.shared(parse.parse_files(found, self.hooks))
-        errors = [(r["source_path"], r["error"]) for r in docs.where("error IS NOT NULL").select("source_path", "error").collect()]
+        failed = docs.where("error IS NOT NULL").select("source_path", "error").orderBy("source_path")
+        errors = [(r["source_path"], r["error"]) for r in failed.limit(ERRORS).collect()]
         good = docs.where("error IS NULL")
         fresh = good.join(extract.structure(good), "id").select(F.col("source_path").alias("path"), "sha256", "structural_sha256", F.col("id").alias("node_id"))
         classes = graph.shared(extract.change_class(fresh.dropDuplicates(["path"]), before.document_cache))
         counts = {r["change"]: r["n"] for r in classes.groupBy("change").agg(F.count("*").alias("n")).collect()}
         if skip_unchanged:
             good = good.join(classes.where("change <> 'unchanged'").select(F.col("path").alias("source_path")), "source_path", "left_semi")
-        facts = {name: graph.shared(frame) for name, frame in extract.extract_all(good, before.nodes, now).items()}
+        facts = {name: graph.shared(frame) for name, frame in self._facts(good, before.nodes, now).items()}
         add = lambda old, name, keys: old.unionByName(facts[name]).dropDuplicates(keys) if name in facts else old
         kept = before.nodes.join(facts["nodes"].select("id", F.col("created_at").alias("c2")), "id", "left_anti")
         first = before.nodes.select("id", F.col("created_at").alias("c0"))
         nodes = facts["nodes"].join(first, "id", "left").withColumn("created_at", F.coalesce("c0", "created_at")).drop("c0").unionByName(kept)
         cache = mutations.upsert_cache(before.document_cache, fresh.select("path", "sha256", "structural_sha256", F.lit(now).cast("long").alias("indexed_at"), "node_id"))
         after = Graph(nodes, add(before.edges, "edges", ["id"]), add(before.evidence, "evidence", ["id"]), add(before.edge_evidence, "edge_evidence", ["edge_id", "evidence_id"]), add(before.metric_values, "metric_values", ["id"]), before.kpi_candidates, cache)
-        self.store.publish(after)
-        self._write("sections", tree.replace_sections(self.sections(), tree.sections(good.dropDuplicates(["id"]))))
+        self.store.write(after, base)
+        self._sections.replace(tree.replace_sections(self.sections(), tree.sections(good.dropDuplicates(["id"]))))
         if blobs:
-            files.new_blobs(found, self._read("blobs", "sha256 string, content binary")).write.mode("append").parquet(f"{self.workspace}/blobs")
-        return {"files": good.count(), "changes": counts, "nodes": facts["nodes"].count(), "edges": facts["edges"].count(), "evidence": facts["evidence"].count(), "errors": errors}
+            self._blobs.append(files.new_blobs(found, self._blobs.read()))
+        counts_of = {name: facts[name].count() for name in ("nodes", "edges", "evidence")}
+        out = {"files": good.count(), "changes": counts, **counts_of, "errors": errors, "failed": failed.count()}
+        self._told("ingested", n=out["files"])
+        return out
 
     def remove_document(self, doc_id: str) -> None:
+        base = self.store.version()
         g = self.graph()
         self._need(g, doc_id, "Document")
         ids = graph.shared(mutations.removal_ids(g, self.spark.createDataFrame([(doc_id,)], "id string")))
         after = mutations.remove_nodes(g, ids)
-        self.store.publish(after)
-        self._write("sections", self.sections().where(F.col("doc_node_id") != doc_id))
-        self._write("blobs", self._read("blobs", "sha256 string, content binary").join(after.document_cache.select("sha256"), "sha256", "left_semi"))
+        self.store.write(after, base)
+        self._sections.replace(self.sections().where(F.col("doc_node_id") != doc_id))
+        self._blobs.replace(self._blobs.read().join(after.document_cache.select("sha256"), "sha256", "left_semi"))
+        self._told("removed", doc_id)
+
+    def regenerate_document(self, doc_id: str) -> dict:
+        """Extracts a document's facts anew from its blob and puts them in the place of the old ones, in one version. Concepts that go with the old facts
+        are no ends of bridges from the new ones."""
+        base, now = self.store.version(), self.now()
+        g = self.graph()
+        self._need(g, doc_id, "Document")
+        one = self.spark.createDataFrame([(doc_id,)], "id string")
+        source = g.document_cache.where(F.col("node_id") == doc_id).select("path", "sha256")
+        content = source.join(self._blobs.read(), "sha256").select("path", "content")
+        docs = graph.shared(parse.parse_files(content, self.hooks).where("error IS NULL").dropDuplicates(["id"]))
+        if docs.isEmpty():
+            raise NotFound(f"no content of {doc_id}")
+        doomed = graph.shared(mutations.removal_ids(g, one))
+        known = g.nodes.join(doomed, "id", "left_anti")
+        facts = {name: graph.shared(frame) for name, frame in self._facts(docs, known, now).items()}
+        after = mutations.regenerate(g, one, facts)
+        self.store.write(Graph(**{**after.frames(), "document_cache": g.document_cache}), base)
+        self._sections.replace(tree.replace_sections(self.sections().where(F.col("doc_node_id") != doc_id), tree.sections(docs)))
+        self._told("regenerated", doc_id)
+        return {name: facts[name].count() for name in ("nodes", "edges", "evidence")}
 
     def rebuild_sections(self) -> int:
         """Builds the section index anew from the blobs; returns the number of documents without one."""
-        g = self.graph()
-        blobs = g.document_cache.join(self._read("blobs", "sha256 string, content binary"), "sha256", "left")
-        self._write("sections", tree.sections(parse.parse_files(blobs.where("content IS NOT NULL"), self.hooks).dropDuplicates(["id"])))
+        blobs = self.graph().document_cache.join(self._blobs.read(), "sha256", "left")
+        self._sections.replace(tree.sections(parse.parse_files(blobs.where("content IS NOT NULL"), self.hooks).dropDuplicates(["id"])))
         return blobs.where("content IS NULL").count()
 
+    def summarize_sections(self) -> None:
+        """Gives all sections summaries by the provider, children first."""
+        patient = providers.Patient(self.provider)
+        self._sections.replace(tree.summarize(self.sections(), patient.summarize))
+
+    # Batches, jobs and generations.
+
+    def apply(self, log: DataFrame) -> int:
+        """Applies a batch of log rows (batch above 0) as a whole, or not at all: a row that breaks a rule makes it raise, and the graph stays."""
+        base = self.store.version()
+        g = self.graph()
+        rows = graph.shared(log.select("batch", "seq", "op", "id", "payload"))
+        accepted = mutations.whole_batch(rows, g)
+        after = mutations.state(snapshot.import_log(g, 0).unionByName(accepted), g.document_cache)
+        self._told("applied", n=accepted.count())
+        return self.store.write(after, base)
+
+    def recompute_kpis(self) -> list[dict]:
+        """Writes the recomputed confidence, trend and newest value of each KPI into its node; flags of review are set and never cleared."""
+        base = self.store.version()
+        g = self.graph()
+        rows = graph.shared(series.recompute(g, self.now()))
+        fresh = rows.select(F.col("kpi_id").alias("id"), F.struct("confidence", "review", "at", "trend", "value").alias("x"))
+        known = F.from_json(F.coalesce("attrs", F.lit("{}")), "map<string,string>")
+        told = F.map_from_arrays(F.array(F.lit("trend"), F.lit("value")), F.array(F.col("x.trend"), F.col("x.value").cast("string")))
+        attrs = F.to_json(F.map_concat(F.map_filter(known, lambda k, _: ~k.isin("trend", "value")), F.map_filter(told, lambda _, v: v.isNotNull())))
+        new = {
+            "attrs": attrs,
+            "confidence": F.col("x.confidence"),
+            "requires_human_review": F.col("x.review"),
+            "updated_at": F.col("x.at"),
+        }
+        nodes = g.nodes.join(fresh, "id", "left")
+        nodes = nodes.select(*[F.when(F.col("x").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in g.nodes.columns])
+        self.store.write(Graph(**{**g.frames(), "nodes": nodes}), base)
+        self._told("recomputed", n=rows.count())
+        return _rows(rows.orderBy("kpi_id"))
+
+    def discover_kpis(self, by_edges: bool = False) -> list[dict]:
+        """Proposes candidates for KPIs with enough documents and evidence; they are pending until they are resolved."""
+        base = self.store.version()
+        g = self.graph()
+        rows = graph.shared(series.discover(g, by_edges))
+        fresh = rows.select(
+            F.concat(F.lit("candidate."), F.col("kpi_id")).alias("id"),
+            "name",
+            F.lit("").alias("definition"),
+            F.array("kpi_id").alias("detected_in"),
+            F.col("score").alias("confidence"),
+            F.lit(self.now()).cast("long").alias("proposed_at"),
+            F.lit("pending").alias("status"),
+            F.lit(None).cast("string").alias("merged_into"),
+        )
+        old = g.kpi_candidates.join(fresh.select("id"), "id", "left_anti").select(*g.kpi_candidates.columns)
+        self.store.write(Graph(**{**g.frames(), "kpi_candidates": old.unionByName(fresh)}), base)
+        self._told("discovered", n=rows.count())
+        return _rows(rows.orderBy("kpi_id"))
+
+    def create_generation(self, name: str, paths: list[str] | None = None) -> str:
+        """Names a set of the files that the graph knows, with their contents: those of these paths, or all. Unknown paths are passed over."""
+        cache, now = self.graph().document_cache, self.now()
+        wanted = cache.select("path") if paths is None else self.spark.createDataFrame([(p,) for p in paths], "path string")
+        generation = f"gen.{len(self.list_generations()) + 1}.{now}"
+        self._generation_sources.append(series.create_generation(wanted, cache, generation))
+        self._generations.append(self.spark.createDataFrame([(generation, name, now)], "id string, name string, created_at long"))
+        self._told("generation", generation)
+        return generation
+
+    def list_generations(self) -> list[dict]:
+        return _rows(series.generation_counts(self._generations.read(), self._generation_sources.read()))
+
+    def generation(self, generation: str) -> Graph:
+        """What rests on the contents of a generation, with the cache rows of its files alone."""
+        sources = self._generation_sources.read().where(F.col("generation_id") == generation)
+        if sources.isEmpty():
+            raise NotFound(f"no generation {generation}")
+        g = mutations.generation_closure(self.graph(), sources.select("sha256"))
+        cache = g.document_cache.join(sources.select("path", "sha256"), ["path", "sha256"], "left_semi").select(*g.document_cache.columns)
+        return Graph(**{**g.frames(), "document_cache": cache})
+
+    def export_generation(self, generation: str, folder: str) -> None:
+        snapshot.export(self.generation(generation), folder, self.now())
+
     # Tools.
 
     def _need(self, g: Graph, node_id: str, kind: str | None = None) -> None:
@@ -170,20 +310,31 @@ class Engine:
 
     def import_snapshot(self, folder: str) -> dict:
         """Replays a snapshot through the mutation log onto the graph; what breaks a rule is reported and left out."""
+        base = self.store.version()
         g, fresh = self.graph(), snapshot.load(self.spark, folder)
         log = graph.shared(snapshot.import_log(g, 0).unionByName(snapshot.import_log(fresh, 1)))
         accepted, errors = mutations.validate(log.where("batch = 1"), g)
-        bad = _rows(errors)
+        bad = _rows(errors.orderBy("batch", "seq").limit(ERRORS))
         after = mutations.state(log.where("batch = 0").unionByName(accepted), mutations.upsert_cache(g.document_cache, fresh.document_cache))
-        self.store.publish(after)
+        self.store.write(after, base)
+        self._told("imported", n=accepted.count())
         return {"accepted": accepted.count(), "errors": bad}
 
-    def recompute_kpis(self) -> list[dict]:
-        return _rows(series.recompute(self.graph(), self.now()).orderBy("kpi_id"))
+    def list_page(self, text: str = "", page: int = 0, size: int = 50) -> list[dict]:
+        """A page of the documents whose name or path has a text; the last page, if there are fewer."""
+        return _rows(graph.documents_page(graph.document_summaries(self.graph()), text, page, size))
 
     def resolve_summary(self, config: dict) -> list[dict]:
         return _rows(lens.resolve(self.graph(), config, self.now()).orderBy("lens_id"))
 
+    def resolve_lenses(self, config: dict, only: list[str], document_ids: list[str] | None = None) -> list[dict]:
+        """Some lenses alone, child lenses too, over the whole graph or what these documents mention."""
+        g = self.graph()
+        if document_ids is not None:
+            nodes, edges = graph.scoped(g, self.spark.createDataFrame([(d,) for d in document_ids], "id string"))
+            g = Graph(**{**g.frames(), "nodes": nodes, "edges": edges})
+        return _rows(lens.resolve(g, config, self.now(), only).orderBy("lens_id"))
+
 
 def _rows(frame: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in frame.collect()]

@@ -5,19 +5,44 @@ propose_candidate, resolve_candidate. State comes from the log by windows over i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGES, EVIDENCE, KPI_CANDIDATES, METRIC_VALUES, NODES, Graph
+from ..sources.versions import Versions
 from . import graph as G
 
 LOG = "batch long, seq long, op string, id string, payload string"
 
 
-def upserts(rows: DataFrame, op: str, batch: int) -> DataFrame:
-    """Log rows of frames in a table's schema, in order of their ids."""
-    order = Window.orderBy("id")
-    return rows.select(F.lit(batch).cast("long").alias("batch"), F.row_number().over(order).cast("long").alias("seq"), F.lit(op).alias("op"), "id", F.to_json(F.struct("*")).alias("payload"))
+def log_rows(steps: list[tuple[str, DataFrame]], batch: int) -> DataFrame:
+    """(batch, seq, op, id, payload) of the frames of a batch: (op, frame in a table's schema), in order. Rows are numbered after they are put together,
+    so that no two have one number, whatever the frames' partitions are."""
+    rows = reduce(DataFrame.unionByName, [frame.select(F.lit(op).alias("op"), "id", F.to_json(F.struct("*")).alias("payload")) for op, frame in steps])
+    return rows.select(F.lit(batch).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), "op", "id", "payload")
+
+
+class Rejected(ValueError):
+    """A batch that was refused as a whole; errors has the rows that broke a rule, as many as ERRORS of them."""
+
+    def __init__(self, errors: list[dict]):
+        super().__init__(f"{errors[0]['error']}: {errors[0]['op']} {errors[0]['id']}")
+        self.errors = errors
+
+
+#: Errors that a refused batch reports.
+ERRORS = 100
+
+
+def whole_batch(batch: DataFrame, before: Graph) -> DataFrame:
+    """The batch if none of its rows breaks a rule of `validate`; else it is refused as a whole."""
+    accepted, bad = validate(batch, before)
+    errors = [r.asDict() for r in bad.orderBy("batch", "seq").limit(ERRORS).collect()]
+    if errors:
+        raise Rejected(errors)
+    return accepted
 
 
 def _order() -> Column:
@@ -156,37 +181,34 @@ def generation_closure(g: Graph, contents: DataFrame) -> Graph:
     return Graph(nodes, edges, evidence, pairs, g.metric_values.limit(0), g.kpi_candidates.limit(0), g.document_cache)
 
 
-class Store:
-    """A graph in a folder: versions `v=<n>` of its tables and a file that names the current one. One writer at a time; a version counts once named."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self._hadoop = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+class Store(Versions):
+    """A graph in a folder with versions: each holds all its tables."""
 
     def version(self) -> int:
-        path = self._hadoop.Path(f"{self.root}/CURRENT")
-        if not self._fs.exists(path):
-            return 0
-        return int(self.spark.read.text(f"{self.root}/CURRENT").first()[0])
+        return self.number()
 
     def load(self) -> Graph:
         from ..schema import TABLES, empty_graph
 
-        n = self.version()
+        n = self.number()
         if not n:
             return empty_graph(self.spark)
-        return Graph(**{name: self.spark.read.schema(schema).parquet(f"{self.root}/v={n}/{name}") for name, schema in TABLES.items()})
-
-    def publish(self, g: Graph) -> int:
-        """Writes all tables as a new version, then names it: readers see all of it or nothing."""
-        n = self.version() + 1
+        return Graph(**{name: self.spark.read.schema(schema).parquet(f"{self.path(n)}/{name}") for name, schema in TABLES.items()})
+
+    def scan(self, table: str, ids: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
+        """The rows of one table with these ids or kinds; no other table is opened, and both filters reach the files."""
+        from ..schema import TABLES
+
+        n = self.number()
+        rows = self.spark.read.schema(TABLES[table]).parquet(f"{self.path(n)}/{table}") if n else self.spark.createDataFrame([], TABLES[table])
+        if ids is not None:
+            rows = rows.where(F.col("id").isin(ids))
+        return rows if kinds is None else rows.where(F.col("kind").isin(kinds))
+
+    def write(self, g: Graph, base: int | None = None) -> int:
+        """Writes all tables as the version after `base` (the newest one): readers see all of it or nothing. If there is such a version already, this
+        raises and leaves the graph as it is."""
+        n, aside = (self.number() if base is None else base) + 1, self.aside()
         for name, frame in g.frames().items():
-            frame.write.mode("overwrite").parquet(f"{self.root}/v={n}/{name}")
-        aside = f"{self.root}/CURRENT.{n}"
-        self.spark.createDataFrame([(str(n),)], "v string").coalesce(1).write.mode("overwrite").text(aside)
-        target = self._hadoop.Path(f"{self.root}/CURRENT")
-        self._fs.delete(target, True)
-        if not self._fs.rename(self._hadoop.Path(aside), target):
-            raise OSError(f"cannot publish version {n}")
-        return n
+            frame.write.parquet(f"{aside}/{name}")
+        return self.publish(aside, n)

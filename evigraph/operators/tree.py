@@ -13,42 +13,80 @@ def _table_text(t: Column) -> Column:
     return F.array_join(F.concat(F.array(row(t["headers"])), F.transform(t["rows"], row)), "\n")
 
 
+#: Levels that a heading may have.
+LEVELS = range(1, 10)
+
+
+def _section_id(number: Column) -> Column:
+    """A section's id: its document and its number, of four digits at least."""
+    text = number.cast("string")
+    return F.concat("doc_node_id", F.lit("#"), F.when(F.length(text) < 4, F.lpad(text, 4, "0")).otherwise(text))
+
+
+def _number(section_id: Column) -> Column:
+    return F.substring_index(section_id, "#", -1).cast("long")
+
+
 def sections(docs: DataFrame) -> DataFrame:
     """section_id, doc_node_id, parent_section_id, ordinal, level, title, path, summary, text, span_start, span_end of docs in the normalized schema.
 
     A section is a heading with what follows it; its parent is the nearest heading before it of a lower level, levels may be skipped. Text before the
     first heading is left out. Parsers give no places, so a document's tables go to its last section. A document without headings is one section,
-    Document, of level 0; an empty one has none. All work is on the arrays of one row: nothing is shuffled but for the ordinals."""
-    blocks = F.transform("blocks", lambda b, i: F.struct(i.alias("i"), b["kind"].alias("kind"), b["level"].alias("level"), b["text"].alias("text")))
-    rows = docs.where("error IS NULL").select(F.col("id").alias("doc_node_id"), blocks.alias("b"), "tables")
-    rows = rows.select("doc_node_id", "b", F.filter("b", lambda x: x["kind"] == "heading").alias("h"), F.array_join(F.transform("tables", _table_text), "\n").alias("table_text"))
-    body = F.filter("b", lambda x: (x["kind"] != "heading") & (x["text"] != ""))
-    plain = F.concat_ws("\n", F.array_join(F.transform(body, lambda x: x["text"]), "\n"), F.nullif("table_text", F.lit("")))
-    single = F.array(F.struct(F.lit(0).alias("k"), F.lit(-1).alias("up"), F.lit(0).alias("level"), F.lit("Document").alias("title"), plain.alias("text")))
-
-    def section(x: Column, k: Column) -> Column:
-        before = F.filter("h", lambda y: (y["i"] < x["i"]) & (y["level"] < x["level"]))
-        parent = F.coalesce(F.array_position(F.transform("h", lambda y: y["i"]), F.get(before, F.size(before) - 1)["i"]) - 1, F.lit(-1))
-        end = F.coalesce(F.get("h", k + 1)["i"], F.size("b"))
-        own = F.filter("b", lambda y: (y["i"] > x["i"]) & (y["i"] < end) & (y["text"] != ""))
-        tables = F.when(k == F.size("h") - 1, F.nullif("table_text", F.lit("")))
-        return F.struct(k.alias("k"), parent.cast("int").alias("up"), x["level"].alias("level"), x["text"].alias("title"), F.concat_ws("\n", F.nullif(F.array_join(F.transform(own, lambda y: y["text"]), "\n"), F.lit("")), tables).alias("text"))
-
-    found = F.when(F.size("h") > 0, F.transform("h", section)).when(plain != "", single)
-    rows = rows.select("doc_node_id", found.alias("s"))
-
-    def path(x: Column) -> Column:
-        start = F.struct(x["up"].alias("at"), x["title"].alias("p"))
-        step = lambda a, _: F.struct(F.coalesce(F.get("s", a["at"])["up"], F.lit(-1)).alias("at"), F.when(a["at"] >= 0, F.concat(F.get("s", a["at"])["title"], F.lit(SEPARATOR), a["p"])).otherwise(a["p"]).alias("p"))
-        return F.aggregate(F.sequence(F.lit(1), F.lit(10)), start, step, lambda a: a["p"])
-
-    number = lambda k: F.concat("doc_node_id", F.lit("#"), F.lpad(k.cast("string"), 4, "0"))
-    rows = rows.select("doc_node_id", F.explode(F.transform("s", lambda x: F.struct(x.alias("x"), path(x).alias("path")))).alias("r")).select("doc_node_id", "r.x.*", "r.path")
+    Document, of level 0; an empty one has none.
+
+    Blocks become rows; a running count of headings tells a block's section. For each level, a running maximum has the last heading of that level: it
+    is open if no heading of a lower level came after it. A section's path is that of the open headings below its level, and the last of them is its
+    parent. So the work is linear in the blocks."""
+    rows = docs.where("error IS NULL").select(F.col("id").alias("doc_node_id"), "blocks", F.array_join(F.transform("tables", _table_text), "\n").alias("table_text"))
+    blocks = rows.select("doc_node_id", F.posexplode("blocks").alias("i", "b")).select("doc_node_id", "i", F.col("b.kind").alias("kind"), F.col("b.level").alias("level"), F.col("b.text").alias("text"))
+    heading = F.col("kind") == "heading"
+    running = Window.partitionBy("doc_node_id").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("k", F.sum(heading.cast("int")).over(running) - 1)
+    parts = F.collect_list(F.when(~heading & (F.col("text") != ""), F.struct("i", "text")))
+    body = F.array_join(F.transform(F.array_sort(parts), lambda x: x["text"]), "\n")
+    found = blocks.groupBy("doc_node_id", "k").agg(F.max(F.when(heading, F.col("level"))).alias("level"), F.max(F.when(heading, F.col("text"))).alias("title"), body.alias("text"))
+    headed = found.where("k >= 0")
+
+    before = Window.partitionBy("doc_node_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.max(F.when(F.col("level") == n, F.struct("k", "title"))).over(before).alias(f"last{n}") for n in LEVELS]
+    size = F.count("*").over(Window.partitionBy("doc_node_id"))
+    headed = headed.select("*", *last, size.alias("size"))
+    open_ = []
+    for n in LEVELS:
+        here = F.col(f"last{n}")
+        lower = [F.coalesce(F.col(f"last{m}.k"), F.lit(-1)) for m in LEVELS if m < n]
+        newer = F.greatest(F.lit(-2), F.lit(-1), *lower) < here["k"]
+        open_.append(F.when((F.col("level") > n) & newer, here))
+    headed = headed.withColumn("open", F.array_compact(F.array(*open_)))
+    path = F.array_join(F.concat(F.transform("open", lambda x: x["title"]), F.array("title")), SEPARATOR)
+    up = F.coalesce(F.get("open", F.size("open") - 1)["k"], F.lit(-1))
+    tables = rows.select("doc_node_id", F.nullif("table_text", F.lit("")).alias("table_text"))
+    headed = headed.select("doc_node_id", "k", up.alias("up"), "level", "title", path.alias("path"), "text", "size").join(tables, "doc_node_id", "left")
+    text = F.concat_ws("\n", F.nullif("text", F.lit("")), F.when(F.col("k") == F.col("size") - 1, F.col("table_text")))
+    headed = headed.withColumn("text", text).drop("table_text", "size")
+
+    heads = F.size(F.filter("blocks", lambda b: b["kind"] == "heading"))
+    texts = F.transform(F.filter("blocks", lambda b: b["text"] != ""), lambda b: b["text"])
+    plain = F.concat_ws("\n", F.nullif(F.array_join(texts, "\n"), F.lit("")), F.nullif("table_text", F.lit("")))
+    title = F.lit("Document")
+    single = rows.where(heads == 0).select("doc_node_id", F.lit(0).alias("k"), F.lit(-1).alias("up"), F.lit(0).alias("level"), title.alias("title"), title.alias("path"), plain.alias("text")).where("text <> ''")
+
+    every = headed.unionByName(single)
     order = Window.partitionBy("doc_node_id", "up").orderBy("k")
-    return rows.select(
-        number(F.col("k")).alias("section_id"), "doc_node_id", F.when(F.col("up") >= 0, number(F.col("up"))).alias("parent_section_id"), (F.row_number().over(order) - 1).alias("ordinal"), "level", "title", "path",
-        F.lit(None).cast("string").alias("summary"), F.nullif("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("span_start"), F.lit(0).cast("long").alias("span_end"),
-    )
+    none = F.lit(0).cast("long")
+    return every.select(
+        _section_id(F.col("k")).alias("section_id"),
+        "doc_node_id",
+        F.when(F.col("up") >= 0, _section_id(F.col("up"))).alias("parent_section_id"),
+        (F.row_number().over(order) - 1).alias("ordinal"),
+        "level",
+        "title",
+        "path",
+        F.lit(None).cast("string").alias("summary"),
+        F.nullif("text", F.lit("")).alias("text"),
+        none.alias("span_start"),
+        none.alias("span_end"),
+    )
 
 
 def stale(docs: DataFrame, trees: DataFrame) -> DataFrame:
@@ -63,7 +101,7 @@ def replace_sections(index: DataFrame, fresh: DataFrame) -> DataFrame:
 
 def document_sections(index: DataFrame, doc: str) -> DataFrame:
     """A document's sections in the order of the document."""
-    return index.where(F.col("doc_node_id") == doc).orderBy("section_id")
+    return index.where(F.col("doc_node_id") == doc).orderBy(_number(F.col("section_id")))
 
 
 def summarize(index: DataFrame, summarizer) -> DataFrame:

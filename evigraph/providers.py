@@ -40,6 +40,8 @@ class Provider(Protocol):
 
     def describe(self, image: bytes) -> str: ...
 
+    def summarize(self, title: str, text: str | None, below: list[str]) -> str: ...
+
 
 def with_retries(call: Callable, *args, wait: Callable[[float], None] = time.sleep, jitter: Callable[[], float] = lambda: 1.0):
     """The call's result; after a failure it is repeated with growing waits, or after the time that the failure asks for (`retry_after`)."""
@@ -76,6 +78,19 @@ def text_window(text: str, most: int = WINDOW_BYTES) -> str:
     return head[: head.rfind("\n")] if "\n" in head else head
 
 
+class Patient:
+    """A provider whose calls are repeated after failures, by `with_retries`."""
+
+    def __init__(self, provider):
+        self.provider = provider
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name == "provider":
+            raise AttributeError(name)
+        method = getattr(self.provider, name)
+        return lambda *args: with_retries(method, *args)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").alias("doc_id"), "sha256", F.array_join(F.transform("blocks", lambda b: b["text"]), "\n").alias("text"))
 

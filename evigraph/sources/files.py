@@ -26,9 +26,15 @@ def hidden(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """path, length, content of the files of a folder, without hidden ones."""
+    """path, length, content of the files of a folder, without hidden ones. Whether the folder itself lies in a hidden one does not matter."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return files.where(~hidden(F.col("path"))).select("path", "length", "content")
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
+    plain = root.replace("file:///", "file:/")
+    below = F.col("path")
+    for start in {root, plain}:
+        below = F.when(F.startswith(F.col("path"), F.lit(f"{start}/")), F.substr(F.col("path"), F.lit(len(start) + 1))).otherwise(below)
+    return files.where(~hidden(below)).select("path", "length", "content")
 
 
 def gated(files: DataFrame, most: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:

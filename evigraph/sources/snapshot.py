@@ -36,10 +36,8 @@ def load(spark: SparkSession, folder: str) -> Graph:
 
 def import_log(g: Graph, batch: int) -> DataFrame:
     """A snapshot as a batch of mutations: nodes, then evidence, edges, values, candidates."""
+    from ..operators.mutations import log_rows
+
     pairs = g.edge_evidence.groupBy(F.col("edge_id").alias("id")).agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
     frames = [("upsert_node", g.nodes), ("upsert_evidence", g.evidence), ("upsert_edge", g.edges.join(pairs, "id", "left")), ("record_value", g.metric_values), ("propose_candidate", g.kpi_candidates)]
-    out = None
-    for step, (op, frame) in enumerate(frames):
-        rows = frame.select(F.lit(batch).cast("long").alias("batch"), (F.lit(step * (1 << 40)) + F.monotonically_increasing_id()).alias("seq"), F.lit(op).alias("op"), "id", F.to_json(F.struct("*")).alias("payload"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return log_rows(frames, batch)

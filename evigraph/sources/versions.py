@@ -1,0 +1,79 @@
+"""Folders with versions: `<root>/v=<n>`. The highest one counts.
+
+A version is written aside and moved into place whole, by a move that fails if the place is taken: a writer that stops halfway leaves nothing that a
+reader could see, and of two writers of one version one wins. Versions before the newest stay until they are dropped, for their readers."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..runtime import move_new
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster."""
+
+
+class Versions:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._hadoop = spark._jvm.org.apache.hadoop.fs
+        self._fs = self._hadoop.Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def numbers(self) -> list[int]:
+        path = self._hadoop.Path(self.root)
+        if not self._fs.exists(path):
+            return []
+        names = [s.getPath().getName() for s in self._fs.listStatus(path)]
+        return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+
+    def number(self) -> int:
+        """The newest version; 0 if there is none."""
+        return max(self.numbers(), default=0)
+
+    def path(self, number: int) -> str:
+        return f"{self.root}/v={number}"
+
+    def aside(self) -> str:
+        return f"{self.root}/staged/{uuid.uuid4().hex}"
+
+    def publish(self, aside: str, number: int) -> int:
+        """Makes what was written aside the version of this number."""
+        if not move_new(self.spark, aside, self.path(number)):
+            raise Conflict(f"version {number} of {self.root} is there already")
+        return number
+
+    def drop(self, keep: int = 2) -> None:
+        """Removes all versions but the newest `keep` and what stopped writers left."""
+        for n in self.numbers()[:-keep]:
+            self._fs.delete(self._hadoop.Path(self.path(n)), True)
+        self._fs.delete(self._hadoop.Path(f"{self.root}/staged"), True)
+
+
+class Table(Versions):
+    """One frame with versions. An addition is a part of its own in the newest version, so that it does not rewrite what is there."""
+
+    def __init__(self, spark: SparkSession, root: str, schema: str):
+        super().__init__(spark, root)
+        self.schema = schema
+
+    def read(self) -> DataFrame:
+        n = self.number()
+        if not n:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path(n)}/*")
+
+    def replace(self, frame: DataFrame) -> int:
+        n, aside = self.number() + 1, self.aside()
+        frame.write.parquet(f"{aside}/base")
+        return self.publish(aside, n)
+
+    def append(self, frame: DataFrame) -> None:
+        n, aside = self.number(), self.aside()
+        if not n:
+            self.replace(frame)
+            return
+        frame.write.parquet(aside)
+        move_new(self.spark, aside, f"{self.path(n)}/add-{uuid.uuid4().hex}")

@@ -54,7 +54,7 @@ def event_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
 def ingest(files: DataFrame, log_path: str, checkpoint: str, now: int, hooks=None):
     """Starts a query that parses files(path, content), extracts their facts and appends them to the log as one batch for each micro-batch. A batch that
     is run again overwrites its own folder, so that nothing is appended twice."""
-    from ..operators import extract
+    from ..operators import extract, mutations
     from ..sources import parse
 
     def write(batch: DataFrame, epoch: int) -> None:
@@ -63,10 +63,7 @@ def ingest(files: DataFrame, log_path: str, checkpoint: str, now: int, hooks=Non
             facts = extract.extract_all(docs, None, now)
             pairs = facts["edge_evidence"].groupBy(F.col("edge_id").alias("id")).agg(F.array_sort(F.collect_list("evidence_id")).alias("evidence_ids"))
             steps = [("upsert_node", facts["nodes"]), ("upsert_evidence", facts["evidence"]), ("upsert_edge", facts["edges"].join(pairs, "id")), ("record_value", facts["metric_values"])]
-            out = None
-            for k, (op, frame) in enumerate(steps):
-                rows = frame.select(F.lit(epoch).cast("long").alias("batch"), (F.lit(k * (1 << 40)) + F.monotonically_increasing_id()).alias("seq"), F.lit(op).alias("op"), "id", F.to_json(F.struct("*")).alias("payload"))
-                out = rows if out is None else out.unionByName(rows)
+            out = mutations.log_rows(steps, epoch)
             out.write.mode("overwrite").parquet(f"{log_path}/batch={epoch}")
             docs.where("error IS NOT NULL").select("source_path", "error").write.mode("overwrite").json(f"{log_path}-errors/batch={epoch}")
         finally:

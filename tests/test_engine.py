@@ -169,3 +169,144 @@ def test_html_and_sheets():
     assert parse.parse_document("x.MD", b"# a")["error"] and parse.parse_document("x", b"")["error"] and parse.parse_document("x.pdf", b"")["error"]
     large = "# Data\n\n| a |\n|---|\n" + "| 1 |\n" * 201
     assert parse.parse_markdown(large)["blocks"] == [] and len(parse.parse_markdown(large)["tables"][0]["rows"]) == 201
+
+
+def model():
+    """A provider whose first call fails; it names one concept and relates each pair. A class in a function goes to the workers by value."""
+
+    class Model:
+        failed = False
+
+        def entities(self, text):
+            if not type(self).failed:
+                type(self).failed = True
+                error = RuntimeError("busy")
+                error.retry_after = 0.01
+                raise error
+            return [{"name": "2.1 North region", "kind": "market", "quote": "every region"}]
+
+        def relation(self, text, a, b):
+            return {"kind": "influences", "confidence": 0.55}
+
+        def summarize(self, title, text, below):
+            return f"{title} over {len(below)}"
+
+    return Model()
+
+
+def test_provider_steps(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "space"), now=lambda: NOW, provider=model())
+    engine.ingest_text(REVIEW, "review.md")
+    g = engine.graph()
+    made = g.nodes.where("is_tainted").collect()
+    assert [r["id"] for r in made] == ["market.north_region"] and made[0]["confidence"] == 0.5
+    assert g.edges.where("created_by = 'Llm' AND kind = 'MentionedIn'").count() == 1
+    engine.summarize_sections()
+    assert {r["summary"] for r in engine.sections().where("title = 'Outlook'").collect()} == {"Outlook over 0"}
+
+
+def test_regeneration_keeps_the_rest(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "space"), now=lambda: NOW)
+    folder = tmp_path / ".hidden" / "docs"
+    folder.mkdir(parents=True)
+    (folder / "review.md").write_text(REVIEW)
+    (folder / "other.md").write_text("# Churn rate\n\nwords\n")
+    (folder / ".secret.md").write_text("# Gross margin\n")
+    assert engine.ingest_folder(str(folder))["files"] == 2
+    rows = lambda: {n: sorted(map(str, f.drop("created_at", "updated_at").collect())) for n, f in engine.graph().frames().items()}
+    before, sections = rows(), engine.sections().count()
+    doc = next(r["id"] for r in engine.list_documents() if r["n_mentions"] == 3)
+    assert engine.regenerate_document(doc)["edges"] > 0
+    assert rows() == before and engine.sections().count() == sections
+    with pytest.raises(NotFound):
+        engine.regenerate_document("doc.none")
+
+
+def test_generations(engine, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# Revenue\n\nwords\n")
+    (folder / "b.md").write_text("# Churn\n\nwords\n")
+    engine.ingest_folder(str(folder))
+    paths = [r["path"] for r in engine.graph().document_cache.collect()]
+    one = engine.create_generation("one", [p for p in paths if p.endswith("a.md")] + ["nowhere.md"])
+    engine.create_generation("all")
+    assert {(g["name"], g["files"]) for g in engine.list_generations()} == {("one", 1), ("all", 2)}
+    g = engine.generation(one)
+    assert {r["id"] for r in g.nodes.where("kind = 'Kpi'").collect()} == {"kpi.revenue"} and g.document_cache.count() == 1
+    engine.export_generation(one, str(tmp_path / "out"))
+    assert snapshot.load(engine.spark, str(tmp_path / "out")).nodes.count() == 2
+    with pytest.raises(NotFound):
+        engine.generation("gen.none")
+    assert [e["kind"] for e in engine.events()] == ["ingested", "generation", "generation"] and len(engine.events(after=2)) == 1
+    assert [r["name"] for r in engine.list_page("a.md", 7, 1)] == [r["name"] for r in engine.list_documents() if r["path"].endswith("a.md")]
+
+
+def test_jobs_write_back(engine):
+    engine.ingest_text(REVIEW, "review.md")
+    engine.ingest_text(REVIEW.replace("Quarterly", "Monthly"), "second.md")
+    got = {r["kpi_id"]: r for r in engine.recompute_kpis()}
+    nodes = {r["id"]: r for r in engine.graph().nodes.where("kind = 'Kpi'").collect()}
+    assert all(abs(nodes[k]["confidence"] - r["confidence"]) < 1e-9 and json.loads(nodes[k]["attrs"])["trend"] == r["trend"] for k, r in got.items())
+    assert engine.graph().nodes.where("kind = 'Document'").count() == 2
+    found = engine.discover_kpis(by_edges=True)
+    pending = engine.graph().kpi_candidates.collect()
+    assert {r["detected_in"][0] for r in pending} == {r["kpi_id"] for r in found} and {r["status"] for r in pending} <= {"pending"}
+    assert engine.discover_kpis(by_edges=True) == []
+
+
+def test_a_batch_counts_whole_or_not_at_all(spark, engine):
+    engine.ingest_text(REVIEW, "review.md")
+    version, nodes = engine.store.version(), engine.graph().nodes.count()
+    node = json.dumps({"id": "kpi.new", "kind": "Kpi", "name": "New", "attrs": "{}", "confidence": 1.0, "is_tainted": False, "requires_human_review": False, "created_at": 1, "updated_at": 1})
+    good = [(1, 0, "upsert_node", "kpi.new", node)]
+    bad = [*good, (1, 1, "delete_node", "kpi.nothing", None)]
+    with pytest.raises(mutations.Rejected) as refused:
+        engine.apply(spark.createDataFrame(bad, mutations.LOG))
+    assert refused.value.errors[0]["id"] == "kpi.nothing" and engine.store.version() == version and engine.graph().nodes.count() == nodes
+    assert engine.apply(spark.createDataFrame(good, mutations.LOG)) == version + 1
+    assert engine.graph().nodes.count() == nodes + 1 and engine.graph().edges.count() == 5
+    assert [r["id"] for r in engine.store.scan("nodes", ["kpi.new"]).collect()] == ["kpi.new"] and engine.store.scan("nodes", kinds=["Document"]).count() == 1
+
+
+def test_numbers_of_a_log_are_unique(spark):
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(400).repartition(200).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"))
+    log = mutations.log_rows([("upsert_node", nodes), ("upsert_evidence", nodes)], 1)
+    assert log.count() == log.select("seq").distinct().count() == 800
+    last = log.groupBy("op").agg(F.min("seq").alias("low"), F.max("seq").alias("high")).collect()
+    high = {r["op"]: (r["low"], r["high"]) for r in last}
+    assert high["upsert_node"][1] < high["upsert_evidence"][0]
+
+
+def test_a_writer_that_stops_halfway_leaves_the_graph(spark, engine):
+    from evigraph.schema import Graph
+    from evigraph.sources.versions import Conflict
+    from pyspark.sql import functions as F
+
+    engine.ingest_text("# Revenue\n", "a.md")
+    g, version = engine.graph(), engine.store.version()
+    broken = g.edges.withColumn("kind", F.raise_error(F.lit("stopped")).cast("string"))
+    with pytest.raises(Exception, match="stopped"):
+        engine.store.write(Graph(**{**g.frames(), "edges": broken}))
+    assert engine.store.version() == version and engine.graph().nodes.count() == 2
+    assert engine.store.write(g, version) == version + 1
+    with pytest.raises(Conflict):  # another writer started from the same version
+        engine.store.write(g, version)
+    engine.store.drop(1)
+    assert engine.store.numbers() == [version + 1] and engine.graph().nodes.count() == 2
+
+
+def test_many_sections(spark):
+    from evigraph.schema import NORMALIZED
+
+    blocks = []
+    for k in range(10_050):
+        blocks.append(("heading", 1 + k % 3, f"h{k}", None, 0, 0))
+        blocks.append(("paragraph", 0, f"p{k}", None, 0, 0))
+    docs = spark.createDataFrame([("doc.x", "x.md", "s", "x", blocks, [], None)], NORMALIZED)
+    got = tree.document_sections(tree.sections(docs), "doc.x").collect()
+    assert len(got) == len({r["section_id"] for r in got}) == 10_050
+    assert [r["title"] for r in got] == [f"h{k}" for k in range(10_050)] and got[-1]["text"] == "p10049"
+    assert got[2]["path"] == "h0 › h1 › h2" and got[5]["parent_section_id"] == got[4]["section_id"] and got[10_049]["path"] == "h10047 › h10048 › h10049"
