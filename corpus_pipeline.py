@@ -15,18 +15,27 @@ TOKENIZER = "byte_bpe_50k.json"
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is known; their lang is set where it was null."""
-    rows = langid.identify(docs, keep_row=True).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return rows.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    rows = langid.identify(docs, keep_row=True).where(known)
+    columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
+    return rows.select(*[F.coalesce(x, "lang_pred").alias(c) if c == "lang" else x for c, x in zip(docs.columns, columns, strict=True)])
 
 
-def _key() -> Column:
+def _key(within: str = "") -> Column:
     """A row's key: the SHA-256 of its id and text. Verdicts depend on these alone, so rows with one key share theirs, whatever ids are null or repeated."""
-    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))), 256))
+    doc_id, text = F.col(f"{within}doc_id").cast("string"), F.col(f"{within}text")
+    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(doc_id, F.lit("")), F.coalesce(text, F.lit(""))), 256))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(row, row_key): whole rows in a struct, so that no column of theirs can clash with one of a stage."""
+    return docs.select(F.struct("*").alias("row")).withColumn("row_key", _key("row."))
 
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs without the rows of these keys(row_key), by broadcast while they are few."""
-    return docs.join(C.sized(C.materialize(keys.select(F.col("row_key").alias("gone")).distinct())), _key() == F.col("gone"), "left_anti")
+    gone = C.materialize(keys.select(F.col("row_key").alias("gone")).distinct())
+    return _keyed(docs).join(C.sized(gone), F.col("row_key") == F.col("gone"), "left_anti").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +51,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = C.materialize(prints.groupBy("row_key").count().where("count > 1").select("row_key"))
     if repeated.isEmpty():
         return kept
-    some = kept.withColumn("_row_key", _key()).join(C.sized(repeated), F.col("_row_key") == F.col("row_key"), "left_semi")
-    return _without(kept, repeated).unionByName(some.dropDuplicates(["_row_key"]).drop("_row_key"))
+    once = C.sized(repeated.withColumnRenamed("row_key", "again"))
+    some = _keyed(kept).join(once, F.col("row_key") == F.col("again"), "left_semi").dropDuplicates(["row_key"])
+    return _without(kept, repeated).unionByName(some.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,10 +80,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each is written as Parquet to the shared folder and read again."""
-    docs = C.table(spark, sf_dir, "documents")
+    """Applies the stages to documents; each is written as Parquet to the shared folder and read again, and what the one before wrote is removed."""
+    docs, last = C.table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = C.fresh_dir(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last is not None:
+            C.remove(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
