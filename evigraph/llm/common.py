@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A side of a join is broadcast up to this many rows of a few numbers (some 50 MB), and shuffled beyond.
 BROADCAST_ROWS = 1_000_000
+#: And up to this many bytes in its texts and arrays.
+BROADCAST_BYTES = 100_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,10 +106,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows, else as it is (then its join shuffles, and AQE splits skewed sides).
-    df should be materialized: it is counted."""
-    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows and `size` bytes in texts and arrays (32 for each element), else as it is (then its join
+    shuffles, and AQE splits skewed sides). df should be materialized: it is counted."""
+    parts = [F.octet_length(c) for c, kind in df.dtypes if kind in ("string", "binary")]
+    parts += [F.size(c) * 32 for c, kind in df.dtypes if kind.startswith("array")]
+    held = reduce(lambda a, b: a + b, [F.coalesce(F.sum(p.cast("long")), F.lit(0)) for p in parts], F.lit(0))
+    count, held = df.agg(F.count("*"), held).first()
+    return F.broadcast(df) if count <= rows and held <= size else df.hint("merge")
 
 
 def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
