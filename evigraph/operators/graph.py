@@ -208,12 +208,6 @@ def neighbour_pairs(edges: DataFrame) -> DataFrame:
     return undirected(edges).where("node <> other").select(F.col("node").alias("node_id"), F.col("other").alias("neighbour")).distinct()
 
 
-def neighbours(edges: DataFrame) -> DataFrame:
-    """node_id, n_neighbours, neighbours: distinct others, in order, joined by commas."""
-    rows = undirected(edges).where("node <> other").select("node", "other").distinct()
-    return rows.groupBy(F.col("node").alias("node_id")).agg(F.count("*").alias("n_neighbours"), F.array_join(F.array_sort(F.collect_list("other")), ",").alias("neighbours"))
-
-
 def visible_edges(edges: DataFrame, hidden: tuple[str, ...] = ("MentionedIn",)) -> DataFrame:
     return edges.where(~F.col("kind").isin(*hidden))
 

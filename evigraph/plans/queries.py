@@ -102,21 +102,17 @@ def explain_kpi_text(spark, sf_dir):
 
 @query(
     "impact_radius_d3",
-    """--more s AS (SELECT DISTINCT from_id, to_id FROM g_edges), st AS (SELECT id AS start FROM g_nodes WHERE kind IN ('Market', 'Function', 'Kpi', 'Product')),
+    """--more s AS (SELECT DISTINCT from_id, to_id FROM g_edges), st AS (SELECT id AS start FROM g_nodes),
 l1 AS (SELECT start, to_id AS id, min(start || '>' || to_id) AS path FROM st JOIN s ON from_id = start WHERE to_id <> start GROUP BY 1, 2),
-l2 AS (SELECT start, to_id AS id, min(path || '>' || to_id) AS path FROM l1 JOIN s ON from_id = l1.id WHERE to_id <> start AND (start, to_id) NOT IN (SELECT (start, id) FROM l1) GROUP BY 1, 2),
-l3 AS (SELECT start, to_id AS id, min(path || '>' || to_id) AS path FROM l2 JOIN s ON from_id = l2.id WHERE to_id <> start AND (start, to_id) NOT IN (SELECT (start, id) FROM l1) AND (start, to_id) NOT IN (SELECT (start, id) FROM l2) GROUP BY 1, 2)
+l2 AS (SELECT start, to_id AS id, min(path || '>' || to_id) AS path FROM l1 JOIN s ON from_id = l1.id WHERE to_id <> start
+  AND NOT EXISTS (SELECT 1 FROM l1 a WHERE a.start = l1.start AND a.id = to_id) GROUP BY 1, 2),
+l3 AS (SELECT start, to_id AS id, min(path || '>' || to_id) AS path FROM l2 JOIN s ON from_id = l2.id WHERE to_id <> start
+  AND NOT EXISTS (SELECT 1 FROM l1 a WHERE a.start = l2.start AND a.id = to_id) AND NOT EXISTS (SELECT 1 FROM l2 a WHERE a.start = l2.start AND a.id = to_id) GROUP BY 1, 2)
 SELECT start, id AS node_id, 1 AS depth, path FROM l1 UNION ALL SELECT start, id, 2, path FROM l2 UNION ALL SELECT start, id, 3, path FROM l3""",
     ALL[:2],
 )
 def impact_radius_d3(spark, sf_dir):
-    g = P.graph(spark, sf_dir)
-    return graph.impact(g.edges, g.nodes.where("kind IN ('Market', 'Function', 'Kpi', 'Product')").select(F.col("id").alias("start")), 3)
-
-
-@query("impact_radius_d3_all")
-def impact_radius_d3_all(spark, sf_dir):
-    """The impact radius from every node of the graph; `impact_radius_d3` is its part for four kinds, as far as that one's SQL goes."""
+    """The impact radius from every node of the graph."""
     g = P.graph(spark, sf_dir, keep=("edges",))
     return graph.impact(g.edges, g.nodes.select(F.col("id").alias("start")), 3)
 
@@ -218,17 +214,11 @@ def node_degree(spark, sf_dir):
 
 @query(
     "neighbour_sets",
-    "SELECT a AS node_id, count(*) AS n_neighbours, string_agg(b, ',' ORDER BY b) AS neighbours FROM (SELECT from_id AS a, to_id AS b FROM g_edges UNION SELECT to_id, from_id FROM g_edges) WHERE a <> b AND a LIKE 'kpi.%' GROUP BY 1",
+    "SELECT a AS node_id, b AS neighbour FROM (SELECT from_id AS a, to_id AS b FROM g_edges UNION SELECT to_id, from_id FROM g_edges) WHERE a <> b",
     ALL[1:2],
 )
 def neighbour_sets(spark, sf_dir):
-    edges = P.graph(spark, sf_dir).edges
-    return graph.neighbours(edges).where(F.col("node_id").startswith("kpi."))
-
-
-@query("neighbour_pairs", "SELECT a AS node_id, b AS neighbour FROM (SELECT from_id AS a, to_id AS b FROM g_edges UNION SELECT to_id, from_id FROM g_edges) WHERE a <> b", ALL[1:2])
-def neighbour_pairs(spark, sf_dir):
-    """The neighbour sets of all nodes, a row for each member, so that a hot node needs no long string; `neighbour_sets` has those of KPIs as strings."""
+    """The neighbour sets of all nodes, a row for each member, so that a hot node's set is in no single row."""
     return graph.neighbour_pairs(P.graph(spark, sf_dir).edges)
 
 
