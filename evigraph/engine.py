@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .operators import diff, extract, graph, mutations, search, series, tree
+from .operators.textindex import TextIndex
 from .plans import lens
 from .schema import PAGE_SECTIONS, Graph
 from .sources import files, parse, snapshot
@@ -37,9 +38,22 @@ class Engine:
         self._generations = Table(spark, f"{self.workspace}/generations", "id string, name string, created_at long")
         self._generation_sources = Table(spark, f"{self.workspace}/generation_sources", "generation_id string, path string, sha256 string")
         self._events = Table(spark, f"{self.workspace}/events", EVENTS)
+        self._workspace = Table(spark, f"{self.workspace}/workspace", "name string, created_at long")
+        self._node_index = TextIndex(spark, f"{self.workspace}/node_index", "id", search.NODE_FIELDS)
+        self._section_index = TextIndex(spark, f"{self.workspace}/section_index", "section_id", search.SECTION_FIELDS)
 
     # State.
 
+    def init(self, name: str = "default") -> None:
+        """Names a new workspace; one that has a name keeps it."""
+        if self._workspace.number():
+            raise ValueError(f"{self.workspace} is a workspace already")
+        self._workspace.replace(self.spark.createDataFrame([(name, self.now())], "name string, created_at long"))
+
+    def name(self) -> str:
+        row = self._workspace.read().first()
+        return row["name"] if row else "default"
+
     def graph(self) -> Graph:
         return self.store.load()
 
@@ -114,7 +128,8 @@ class Engine:
         self._told("ingested", n=out["files"])
         return out
 
-    def remove_document(self, doc_id: str) -> None:
+    def remove_document(self, doc_id: str, delete_blob: bool = True) -> None:
+        """Removes a document and what it alone mentions; its blob too, if no other document has it, unless that shall stay."""
         base = self.store.version()
         g = self.graph()
         self._need(g, doc_id, "Document")
@@ -122,7 +137,8 @@ class Engine:
         after = mutations.remove_nodes(g, ids)
         self.store.write(after, base)
         self._sections.replace(self.sections().where(F.col("doc_node_id") != doc_id))
-        self._blobs.replace(self._blobs.read().join(after.document_cache.select("sha256"), "sha256", "left_semi"))
+        if delete_blob:
+            self._blobs.replace(self._blobs.read().join(after.document_cache.select("sha256"), "sha256", "left_semi"))
         self._told("removed", doc_id)
 
     def regenerate_document(self, doc_id: str) -> dict:
@@ -283,21 +299,50 @@ class Engine:
         g = self.graph()
         return _rows(graph.suggest_actions(g, tuple(status_filter) if status_filter is not None else None, include_unreviewed).where(F.col("kpi_id") == kpi_id).orderBy("edge_id"))
 
+    def _nodes_indexed(self, rebuild: bool = False) -> TextIndex:
+        """The index of node texts, brought up to the newest graph: whatever changed it, only nodes whose text changed get new postings."""
+        version = self.store.version()
+        if rebuild or self._node_index.version() != version:
+            g = self.graph()
+            write = self._node_index.rebuild if rebuild else self._node_index.sync
+            write(search.node_texts(g.nodes, graph.node_quotes(g)), version)
+        return self._node_index
+
+    def _sections_indexed(self, rebuild: bool = False) -> TextIndex:
+        version = self._sections.number()
+        if rebuild or self._section_index.version() != version:
+            write = self._section_index.rebuild if rebuild else self._section_index.sync
+            write(self.sections().select("section_id", *search.SECTION_FIELDS), version)
+        return self._section_index
+
+    def rebuild_search_index(self) -> None:
+        """Makes both text indexes anew."""
+        self._nodes_indexed(rebuild=True)
+        self._sections_indexed(rebuild=True)
+
     def graph_search(self, query: str, kinds: list[str] | None = None, limit: int = search.RESULTS) -> list[dict]:
-        g = self.graph()
-        return _rows(search.graph_search(g.nodes, graph.node_quotes(g), query, tuple(kinds) if kinds else None, limit)) if query.strip() else []
+        if not query.strip():
+            return []
+        index = self._nodes_indexed().read(search.terms_of(self.spark, query))
+        return _rows(search.graph_search(self.graph().nodes, index, query, tuple(kinds) if kinds else None, limit))
 
     def reasoning_search(self, query: str, doc_node_ids: list[str] | None = None, max_results: int = search.RESULTS) -> list[dict]:
+        if not query.strip():
+            return []
         rerank = (lambda q, rows: self.provider.rerank(q, [(r["summary"] or r["text"] or "")[:150] for r in rows])) if self.provider is not None else None
-        return _rows(search.section_search(self.sections(), query, doc_node_ids, max_results, reranker=rerank)) if query.strip() else []
+        index = self._sections_indexed()
+        found = search.section_search(
+            self.sections(), query, doc_node_ids, max_results, reranker=rerank, index=index.read(search.terms_of(self.spark, query)), length=index.lengths()
+        )
+        return _rows(found)
 
     def graph_stats(self) -> dict:
         g = self.graph()
         return _rows(graph.stats(g))[0] | {"kinds": {r["kind"]: r["n"] for r in graph.kind_counts(g.nodes).orderBy("kind").collect()}}
 
-    def graph_diff(self, before: str, after: str) -> dict:
-        """Of two snapshot folders."""
-        a, b = snapshot.load(self.spark, before), snapshot.load(self.spark, after)
+    def graph_diff(self, before: str, after: str | None = None) -> dict:
+        """Of two snapshot folders, or of one and the graph as it is."""
+        a, b = snapshot.load(self.spark, before), snapshot.load(self.spark, after) if after else self.graph()
         return {"nodes": _rows(diff.diff_nodes(a, b).orderBy("key")), "edges": _rows(diff.diff_edges(a, b).orderBy("key")), "warnings": _rows(diff.warnings(a, b))}
 
     # Others.
@@ -306,7 +351,7 @@ class Engine:
         return _rows(graph.document_summaries(self.graph()).orderBy(F.desc("indexed_at"), "id"))
 
     def export(self, folder: str) -> None:
-        snapshot.export(self.graph(), folder, self.now())
+        snapshot.export(self.graph(), folder, self.now(), self.name())
 
     def import_snapshot(self, folder: str) -> dict:
         """Replays a snapshot through the mutation log onto the graph; what breaks a rule is reported and left out."""

@@ -13,11 +13,12 @@ K1, B = 1.2, 0.75
 SHORTLIST, RESULTS = 40, 20
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, pos, term): the terms of each field of each row, by place."""
+def postings(docs: DataFrame, key: str, fields: list[str], terms: list[str] | None = None) -> DataFrame:
+    """(key, field, pos, term): the terms of each field of each row, by place; of these terms alone if they are given, and then no others are exploded."""
 
     def of(field: str):
-        return F.transform(index_terms(F.col(field)), lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("term")))
+        found = F.transform(index_terms(F.col(field)), lambda t, i: F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("term")))
+        return found if terms is None else F.filter(found, lambda x: x["term"].isin(*terms))
 
     parts = [of(f) for f in fields]
     return docs.select(key, F.explode(F.concat(*parts)).alias("p")).select(key, "p.*")
@@ -33,6 +34,11 @@ def phrases(spark, queries: list[tuple[str, str]]) -> list[tuple[str, int, list[
     return sorted((r["qid"], r["n"], list(r["terms"])) for r in rows if r["terms"])
 
 
+def terms_of(spark, query: str) -> list[str]:
+    """The distinct terms of a query."""
+    return sorted({t for _, _, terms in phrases(spark, [("q", query)]) for t in terms})
+
+
 def occurrences(index: DataFrame, key: str, wanted: list[tuple[str, int, list[str]]]) -> DataFrame:
     """(qid, n, key, tf): how often each phrase occurs in each row; words of a phrase follow each other in one field. Only postings of the queries'
     terms are joined."""
@@ -49,27 +55,34 @@ def occurrences(index: DataFrame, key: str, wanted: list[tuple[str, int, list[st
     return reduce(DataFrame.unionByName, found)
 
 
-def match_all(index: DataFrame, key: str, queries: list[tuple[str, str]]) -> DataFrame:
-    """(qid, key): rows with every phrase of the query; a blank query has none."""
-    wanted = phrases(index.sparkSession, queries)
+def complete(tf: DataFrame, key: str, wanted: list[tuple[str, int, list[str]]]) -> DataFrame:
+    """(qid, key): the rows of `occurrences` that have every phrase of their query."""
     needed: dict[str, int] = {}
     for q, _, _ in wanted:
         needed[q] = needed.get(q, 0) + 1
-    rows = occurrences(index, key, wanted).groupBy("qid", key).agg(F.count("*").alias("k"))
+    rows = tf.groupBy("qid", key).agg(F.count("*").alias("k"))
     if not needed:
         return rows.select("qid", key)
-    want = F.broadcast(index.sparkSession.createDataFrame(list(needed.items()), "qid string, needed long"))
+    want = F.broadcast(tf.sparkSession.createDataFrame(list(needed.items()), "qid string, needed long"))
     return rows.join(want, "qid").where("k = needed").select("qid", key)
 
 
-def bm25(index: DataFrame, key: str, queries: list[tuple[str, str]], scope: DataFrame | None = None) -> DataFrame:
-    """(qid, key, score) of rows with every phrase of the query. scope(key) limits the rows that are ranked, not the statistics. Scores are positive."""
+def match_all(index: DataFrame, key: str, queries: list[tuple[str, str]]) -> DataFrame:
+    """(qid, key): rows with every phrase of the query; a blank query has none."""
     wanted = phrases(index.sparkSession, queries)
-    length = lengths(index, key)
+    return complete(occurrences(index, key, wanted), key, wanted)
+
+
+def bm25(index: DataFrame, key: str, queries: list[tuple[str, str]], scope: DataFrame | None = None, length: DataFrame | None = None) -> DataFrame:
+    """(qid, key, score) of rows with every phrase of the query. scope(key) limits the rows that are ranked, not the statistics. Scores are positive.
+
+    length(key, length): the rows' numbers of terms, where index holds only the postings of the queries' terms."""
+    wanted = phrases(index.sparkSession, queries)
+    length = lengths(index, key) if length is None else length
     total = length.agg(F.count("*").alias("total"), F.avg("length").alias("mean"))
     tf = occurrences(index, key, wanted)
     df = tf.groupBy("qid", "n").agg(F.count("*").alias("df"))
-    hits = match_all(index, key, queries)
+    hits = complete(tf, key, wanted)
     if scope is not None:
         hits = hits.join(scope.select(key), key, "left_semi")
     rows = tf.join(hits, ["qid", key], "left_semi").join(F.broadcast(df), ["qid", "n"]).join(length, key).join(F.broadcast(total.withColumn("one", F.lit(1))), F.lit(1) == F.col("one"))
@@ -99,26 +112,41 @@ def rerank(reply: str | None, size: int) -> list[int]:
     return list(dict.fromkeys(n for n in numbers if 0 <= n < size)) if numbers else list(range(size))
 
 
-def node_index(nodes: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Postings of nodes over name, definition (of KPIs) and quotes(node_id, quotes)."""
+def node_texts(nodes: DataFrame, quotes: DataFrame) -> DataFrame:
+    """id, name, definition (of KPIs) and quotes, from nodes and quotes(node_id, quotes)."""
     from ..functions.jsonx import text_at
 
-    rows = nodes.join(quotes.withColumnRenamed("node_id", "id"), "id", "left").select("id", "name", F.when(F.col("kind") == "Kpi", text_at(F.col("attrs"), "definition")).alias("definition"), "quotes")
-    return postings(rows, "id", ["name", "definition", "quotes"])
+    definition = F.when(F.col("kind") == "Kpi", text_at(F.col("attrs"), "definition")).alias("definition")
+    return nodes.join(quotes.withColumnRenamed("node_id", "id"), "id", "left").select("id", "name", definition, "quotes")
+
+
+NODE_FIELDS = ["name", "definition", "quotes"]
+SECTION_FIELDS = ["title", "path", "summary", "text"]
 
 
-def graph_search(nodes: DataFrame, quotes: DataFrame, query: str, kinds: tuple[str, ...] | None = None, limit: int = RESULTS) -> DataFrame:
-    """id, name, kind of nodes that hold every word of the query. The limit comes first, in order of ids, and the kinds after it."""
-    index = node_index(nodes, quotes)
+def graph_search(nodes: DataFrame, index: DataFrame, query: str, kinds: tuple[str, ...] | None = None, limit: int = RESULTS) -> DataFrame:
+    """id, name, kind of nodes that hold every word of the query, by the postings of `node_texts`. The limit comes first, in order of ids, and the kinds
+    after it."""
     rows = match_all(index, "id", [("q", query)]).select("id").orderBy("id").limit(limit).join(nodes.select("id", "name", "kind"), "id")
     return rows.where(F.col("kind").isin(*kinds)) if kinds else rows
 
 
-def section_search(sections: DataFrame, query: str, documents: list[str] | None = None, limit: int = RESULTS, shortlist: int = SHORTLIST, reranker=None) -> DataFrame:
-    """Sections by BM25 over title, path, summary and text, then in the order that reranker(query, rows) replies with."""
-    index = postings(sections, "section_id", ["title", "path", "summary", "text"])
+def section_search(
+    sections: DataFrame,
+    query: str,
+    documents: list[str] | None = None,
+    limit: int = RESULTS,
+    shortlist: int = SHORTLIST,
+    reranker=None,
+    index: DataFrame | None = None,
+    length: DataFrame | None = None,
+) -> DataFrame:
+    """Sections by BM25 over title, path, summary and text, then in the order that reranker(query, rows) replies with. index and length are stored
+    postings and numbers of terms; without them they are made from the sections."""
+    if index is None:
+        index = postings(sections, "section_id", SECTION_FIELDS)
     scope = sections.where(F.col("doc_node_id").isin(*documents)).select("section_id") if documents else None
-    best = top(bm25(index, "section_id", [("q", query)], scope), "section_id", shortlist).drop("qid")
+    best = top(bm25(index, "section_id", [("q", query)], scope, length), "section_id", shortlist).drop("qid")
     found = best.join(sections, "section_id").orderBy("rank")
     if reranker is None:
         return found.limit(limit)

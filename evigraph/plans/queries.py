@@ -367,7 +367,9 @@ SELECT * FROM h WHERE kind = 'Decision'""",
 )
 def graph_search_terms(spark, sf_dir):
     g = P.graph(spark, sf_dir, ("evidence",))
-    return search.graph_search(g.nodes, graph.node_quotes(g), 'red "bolt"', ("Decision",))
+    query_text = 'red "bolt"'
+    index = search.postings(search.node_texts(g.nodes, graph.node_quotes(g)), "id", search.NODE_FIELDS, search.terms_of(spark, query_text))
+    return search.graph_search(g.nodes, index, query_text, ("Decision",))
 
 
 _BM25 = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),
