@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hostrules, langid, licenses, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
+from . import hostrules, itemsets, langid, licenses, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,11 @@ def op10_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_word_rollup)}
+def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itemsets.report(itemsets.mine(C.table(spark, sf_dir, "sale_lines")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_word_rollup, op11_closed_itemsets)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -114,4 +118,21 @@ rated AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 TH
   ('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM sizes JOIN plan ON sizes.source IS NOT DISTINCT FROM plan.source)
 SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (floor(rate)::BIGINT + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated""",
+    "op11_closed_itemsets": r"""
+WITH RECURSIVE b AS (SELECT DISTINCT sale_id AS s, item_id AS i FROM sale_lines WHERE sale_id IS NOT NULL AND item_id IS NOT NULL),
+t AS (SELECT count(DISTINCT s) AS n FROM b),
+f AS (SELECT i, count(*) AS c FROM b GROUP BY i HAVING count(*) >= 8 AND count(*) * 5000 >= (SELECT n FROM t)),
+h AS (SELECT b.s, b.i FROM b JOIN f USING (i)),
+occ AS (SELECT [i] AS x, s FROM h
+  UNION ALL SELECT x, s FROM (SELECT list_append(o.x, h.i) AS x, o.s, count(*) OVER (PARTITION BY o.x, h.i) AS c FROM occ o JOIN h ON o.s = h.s AND h.i > o.x[-1])
+  WHERE c >= 8 AND c * 5000 >= (SELECT n FROM t)),
+sets AS (SELECT x, count(*) AS c FROM occ GROUP BY x),
+parts AS (SELECT x, c, d, list_filter(x, lambda e: e <> d) AS p FROM (SELECT x, c, unnest(x) AS d FROM sets WHERE len(x) > 1)),
+open AS (SELECT DISTINCT sets.x FROM sets JOIN parts ON sets.x = parts.p AND sets.c = parts.c),
+closed AS (SELECT x, c FROM sets WHERE x NOT IN (SELECT x FROM open)),
+told AS (SELECT parts.x, parts.d, sets.c AS a, f.c AS s FROM parts JOIN closed USING (x) JOIN sets ON sets.x = parts.p JOIN f ON f.i = parts.d
+  WHERE 100 * parts.c >= 10 * sets.c AND parts.c * (SELECT n FROM t) > sets.c * f.c),
+per AS (SELECT x, count(*) AS k, arg_min(d, (a, d)) AS best, string_agg(d || ':' || a || ':' || s, ';' ORDER BY d) AS list FROM told GROUP BY x)
+SELECT array_to_string(closed.x, ',') AS items, len(closed.x)::BIGINT AS n_items, c::BIGINT AS support, coalesce(k, 0)::BIGINT AS n_rules, best AS best_item, sha256(coalesce(list, '')) AS rules_sha256
+FROM closed LEFT JOIN per ON closed.x = per.x""",
 }
