@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import hostrules, itemsets, langid, licenses, mixing, pii, rollups, simhash, tokenbin, warc, winnowing
+from . import hostrules, itemsets, kdmeans, langid, licenses, mixing, pii, rollups, secretscan, simhash, tokenbin, warc, winnowing
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,32 @@ def op11_closed_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return itemsets.report(itemsets.mine(C.table(spark, sf_dir, "sale_lines")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_word_rollup, op11_closed_itemsets)}
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.find(C.table(spark, sf_dir, "documents")))
+
+
+def op13_kd_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdmeans.cluster(C.table(spark, sf_dir, "embeddings"))
+
+
+def _kd_means_sql(rounds: int = kdmeans.ROUNDS) -> str:
+    """Every vector against every centroid, a pair of tables for each round."""
+    near = """a{n} AS MATERIALIZED (SELECT r, id, x, arg_min(k, (dist, k)) AS k, min(dist) AS dist FROM (
+  SELECT r, id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist FROM v, c{n} c) GROUP BY r, id, x)"""
+    mean = """c{m} AS MATERIALIZED (SELECT c{n}.k, coalesce(m.x, c{n}.x) AS x FROM c{n} LEFT JOIN (SELECT k, list(f ORDER BY d) AS x FROM (
+  SELECT k, d, ((sum(e) - ((sum(e) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS f FROM (SELECT k, unnest(x) AS e, unnest(range(64)) AS d FROM a{n}) GROUP BY k, d) GROUP BY k) m USING (k))"""
+    steps = [part for n in range(rounds) for part in (near.format(n=n), mean.format(n=n, m=n + 1))]
+    steps.append(near.format(n=rounds))
+    return """
+WITH w AS (SELECT vec_id, list_transform(embedding, lambda e: 1024 * e::DOUBLE) AS y FROM embeddings WHERE len(embedding) = 64),
+v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id AS id, list_transform(y, lambda e: floor(e)::BIGINT) AS x FROM w WHERE len(list_filter(y, lambda e: isfinite(e) AND abs(e) < 67108864)) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('3:' || coalesce(id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT 8)),
+""" + ",\n".join(steps) + f"""
+SELECT id AS vec_id, a.k::INTEGER AS cluster, dist::BIGINT AS distance, (sum(dist) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia, (sum(dist) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k"""
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_rollup, op3_simhash, op4_mix_sources, op5_warc_bundles, op6_host_rules, op7_licenses, op8_language, op9_personal_data, op10_token_binary, op2_word_rollup, op11_closed_itemsets, op12_secrets, op13_kd_means)}
 
 ORACLE = {
     "op1_decontaminate": r"""
@@ -135,4 +160,5 @@ told AS (SELECT parts.x, parts.d, sets.c AS a, f.c AS s FROM parts JOIN closed U
 per AS (SELECT x, count(*) AS k, arg_min(d, (a, d)) AS best, string_agg(d || ':' || a || ':' || s, ';' ORDER BY d) AS list FROM told GROUP BY x)
 SELECT array_to_string(closed.x, ',') AS items, len(closed.x)::BIGINT AS n_items, c::BIGINT AS support, coalesce(k, 0)::BIGINT AS n_rules, best AS best_item, sha256(coalesce(list, '')) AS rules_sha256
 FROM closed LEFT JOIN per ON closed.x = per.x""",
+    "op13_kd_means": _kd_means_sql(),
 }
