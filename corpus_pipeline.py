@@ -14,7 +14,10 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is known; their lang is set where it was null."""
+    """Keeps documents whose language is known with a probability of LEAST_SCORE at least; their lang is set where it was null.
+
+    Null, empty and letterless texts go. Equal texts share their verdict. If nothing can be learned, no language is known and all go; an empty table
+    stays empty. All columns are kept, whatever their names."""
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     rows = langid.identify(docs, keep_row=True).where(known)
     columns = [F.col("row").getField(c).alias(c) for c in docs.columns]
@@ -40,7 +43,10 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each component: that of the smallest id, a null id being the last, and of rows with that id the one whose key comes first.
-    Components follow op3's contract (3-word shingles, fingerprints within 2 bits), not a similarity of five-word shingles."""
+    Components follow op3's contract (3-word shingles, fingerprints within 2 bits), not a similarity of five-word shingles.
+
+    Null and empty texts have no words and are one component. Of rows with one id and one text, which may differ elsewhere, the first one in order of
+    the whole row, as JSON, stays, so that a run again keeps the same one. An empty table stays empty."""
     prints = C.materialize(simhash.fingerprints(docs.select("doc_id", "text", _key().alias("row_key")), key="row_key"))
     linked = C.materialize(C.components(simhash.links(C.materialize(prints.select("fp").distinct()))))
     rows = prints.join(C.sized(linked), F.col("node") == F.col("fp"), "left").select("doc_id", "row_key", F.coalesce("root", "fp").alias("part"))
@@ -52,23 +58,29 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if repeated.isEmpty():
         return kept
     once = C.sized(repeated.withColumnRenamed("row_key", "again"))
-    some = _keyed(kept).join(once, F.col("row_key") == F.col("again"), "left_semi").dropDuplicates(["row_key"])
+    some = _keyed(kept).join(once, F.col("row_key") == F.col("again"), "left_semi").groupBy("row_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return _without(kept, repeated).unionByName(some.select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents without a window of the benchmark, whatever their ids."""
+    """Keeps documents without a window of the benchmark, whatever their ids: a row goes by its id and text, so that null and repeated ids are told apart.
+
+    Null and empty texts have no window and stay; repeated rows share their verdict; with an empty benchmark all stay."""
     found = winnowing.contaminated(docs.select(_key().alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
     return _without(docs, found.where("contaminated").select(F.col("doc_id").alias("row_key")))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes the documents as often as the mix of the sources says."""
+    """Takes the documents as often as the mix of the sources says: floor(rate) times, and once more by a hash of the id.
+
+    A null source is a source; null and empty texts have no words, and a source without words is not taken; equal rows draw alike. An empty table
+    stays empty."""
     return mixing.emit(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the token ids and reads them back: a row for each record."""
+    """Writes the token ids and reads them back: a row for each record, in order of ids, null ids first. A null text has the end id alone; repeated rows
+    have a record each; an empty table has none."""
     out = tokenbin.encode_table(docs, C.fresh_dir(spark, "pipeline-ids"), public_tokenizers.path(TOKENIZER))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -89,4 +101,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if last is not None:
             C.remove(spark, last)
         last = path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    out = STAGES[-1][1](spark, docs, sf_dir)  # its files are written: it reads them alone
+    C.remove(spark, last)
+    return out
