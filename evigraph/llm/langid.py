@@ -20,9 +20,10 @@ from . import common as C
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
-#: The training sample: so many documents of each language at most, those that hash lowest, so many windows of each, and so many languages, the most
-#: frequent ones. Whatever the table holds, at most their product of windows comes to the driver: 33 MB.
-TRAIN_DOCS, TRAIN_WINDOWS, TRAIN_LANGUAGES = 250, 8, 64
+#: The training sample: so many documents of each language at most, those that hash lowest, so many documents in all, and so many windows of each. With
+#: many languages each gets an equal share of the whole, of one document at least, so that none is left out. Whatever the texts are, at most TRAIN_TOTAL
+#: (or as many as there are languages, if that is more) x TRAIN_WINDOWS windows come to the driver: 33 MB.
+TRAIN_DOCS, TRAIN_TOTAL, TRAIN_WINDOWS = 250, 16_000, 8
 EPOCHS, BATCH, RATE = 5, 64, 0.01
 #: Windows that go through the network together.
 CHUNK = 128
@@ -119,24 +120,23 @@ def held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_LANGUAGES) -> DataFrame:
-    """(key, text, lang): the distinct rows to learn from, at most per_language of each of the most frequent languages, by name if as frequent.
+def sample(docs: DataFrame, per_language: int = TRAIN_DOCS, total: int = TRAIN_TOTAL) -> DataFrame:
+    """(key, text, lang): the distinct rows to learn from, of every language, at most per_language of each and `total` in all, but one of each at least.
 
     A row is known by the hash of its id, text and language: rows that share an id are rows of their own, and equal rows are one. Keys are chosen by
-    a top-k for each language that each task applies to its own rows first; at most per_language x languages of them come to the driver."""
+    a top-k for each language that each task applies to its own rows first; only the chosen ones come to the driver."""
     able = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     able = able.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     able = able.select(F.xxhash64("doc_id", "text", "lang").alias("key"), "text", "lang")
-    common = able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
-    known = [r["lang"] for r in common.collect()]
-    order = Window.partitionBy("lang").orderBy("key")
-    ranked = able.where(F.col("lang").isin(known)).select("key", "lang").withColumn("k", F.dense_rank().over(order))
-    keys = [r[0] for r in ranked.where(F.col("k") <= per_language).select("key").distinct().collect()]
+    languages = able.agg(F.count_distinct("lang")).first()[0]
+    share = max(1, min(per_language, total // max(languages, 1)))
+    ranked = able.select("key", "lang").withColumn("k", F.dense_rank().over(Window.partitionBy("lang").orderBy("key")))
+    keys = [r[0] for r in ranked.where(F.col("k") <= share).select("key").distinct().collect()]
     few = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in keys], "chosen long"))
     return able.join(few, F.col("key") == F.col("chosen"), "left_semi").dropDuplicates(["key"])
 
 
-def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_LANGUAGES) -> Network | None:
+def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, total: int = TRAIN_TOTAL) -> Network | None:
     """The network learned from a bounded `sample` of docs(doc_id, text, lang): rows that are not held out, with a language and a text with a letter; None
     if there are none. Only the sample's windows come to the driver: 2 kB for each of its documents."""
     C.arrow_batches(docs.sparkSession)
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, per_language: int = TRAIN_DOCS, languages: int = TRAIN_
                     out.append(found[k].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(langs, pa.string()), pa.array(out, pa.binary())], names=["key", "lang", "x"])
 
-    rows = sample(docs, per_language, languages).mapInArrow(run, "key long, lang string, x binary").collect()
+    rows = sample(docs, per_language, total).mapInArrow(run, "key long, lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["key"], r["lang"], bytes(r["x"])))
@@ -187,8 +187,8 @@ def predict(texts: list[str | None], net: Network | None) -> list[tuple[str, flo
 def identify(docs: DataFrame, per_language: int = TRAIN_DOCS, keep_row: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score for each row of docs(doc_id, text, lang), learned from its own labelled rows that are not held out.
 
-    Texts are null, empty or of any length; repeated rows get equal answers; with no labelled row all are `und`; an empty table gives no rows. Languages
-    beyond the TRAIN_LANGUAGES most frequent ones are not learned. Other columns are not read. With keep_row, the result has the whole rows, in a struct `row`, in place of doc_id. Nothing is shuffled but the sample's ids."""
+    Texts are null, empty or of any length; repeated rows get equal answers; with no labelled row all are `und`; an empty table gives no rows.
+    Every language is learned. Other columns are not read. With keep_row, the result has the whole rows, in a struct `row`, in place of doc_id. Nothing is shuffled but the sample's ids."""
     net = fit(docs, per_language)
     C.arrow_batches(docs.sparkSession, 500)
 

@@ -4,6 +4,7 @@ from collections import Counter
 
 import corpus_pipeline as pipeline
 from evigraph.llm import common as C
+from evigraph.llm import langid
 from test_simhash import plain as plain_components
 from test_winnowing import plain as plain_contamination
 
@@ -90,7 +91,32 @@ def test_stage_folders_are_removed(spark):
     before = {p.name for p in root.glob("pipeline-*")}
     rows = pipeline.run(spark, SF)
     assert rows.count() > 0
-    assert sorted(p.name.split("-")[1] for p in root.glob("pipeline-*") if p.name not in before) == ["ids", "mix"]
+    assert sorted(p.name.split("-")[1] for p in root.glob("pipeline-*") if p.name not in before) == ["ids"]
+
+
+def test_of_rows_with_one_id_and_text_the_first_stays(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, "fr", "b", 2), (1, text, "en", "a", 9), (1, text, None, "c", 1), (2, text, "de", "a", 0), (None, text, "aa", "a", 0)]
+    for order in (rows, rows[::-1]):
+        got = pipeline.near_duplicates(spark, spark.createDataFrame(order, schema).repartition(3), SF).collect()
+        assert [tuple(r) for r in got] == [(1, text, "en", "a", 9)]
+
+
+def test_texts_of_an_uncertain_language_go(spark):
+    """One that is half of either language has a probability near a half for each; a higher threshold than that rejects it."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    known = [(k, f"{'abba cabba dab ' if k % 2 else 'xyz zyx wyzzy '} " * 12, "one" if k % 2 else "two", "s", 0) for k in range(80)]
+    docs = spark.createDataFrame([*known, (900, "qqq", None, "s", 0), (901, "??", None, "s", 0)], schema)
+    found = {r["doc_id"]: r["score"] for r in langid.identify(docs).where("doc_id >= 900").collect()}
+    ids = lambda: {r.doc_id for r in pipeline.language(spark, docs, SF).collect()}
+    before, pipeline.LEAST_SCORE = pipeline.LEAST_SCORE, (found[900] + 1) / 2
+    try:
+        assert not {900, 901} & ids()
+        pipeline.LEAST_SCORE = found[900] / 2
+        assert 900 in ids() and 901 not in ids()
+    finally:
+        pipeline.LEAST_SCORE = before
 
 
 def test_verdicts_go_by_row(spark):
