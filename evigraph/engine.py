@@ -10,16 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import providers
+from .functions.jsonx import patched
 from .operators import diff, extract, graph, mutations, search, series, tree
 from .operators.textindex import TextIndex
 from .plans import lens
-from .schema import PAGE_SECTIONS, Graph
+from .schema import PAGE_SECTIONS, TABLES, Graph
 from .sources import files, parse, snapshot
-from .sources.versions import Table
+from .sources.commits import Change, Commits, Spec
 
 #: Errors that a summary lists; it counts all.
 ERRORS = 1000
-EVENTS = "number long, at long, kind string, subject string, n long"
+#: The tables of a workspace, all in one commit log.
+WORKSPACE = {
+    **{name: Spec(schema, {"edge_evidence": ("edge_id", "evidence_id"), "document_cache": ("path",)}.get(name, ("id",)), {"nodes": "id", "evidence": "source_node_id"}.get(name)) for name, schema in TABLES.items()},
+    "adjacency": Spec("node string, other string, edge_id string, kind string, outgoing boolean", ("edge_id", "outgoing"), "node"),
+    "sections": Spec(PAGE_SECTIONS, ("section_id",), "doc_node_id"),
+    "blobs": Spec("sha256 string, content binary", ("sha256",), "sha256"),
+    "generations": Spec("id string, name string, created_at long", ("id",)),
+    "generation_sources": Spec("generation_id string, path string, sha256 string", ("generation_id", "path")),
+    "workspace": Spec("name string, created_at long", ("name",)),
+}
+GRAPH = tuple(TABLES)
+FACTS = ("nodes", "edges", "evidence", "edge_evidence", "metric_values")
 
 
 class NotFound(LookupError):
@@ -32,13 +44,7 @@ class Engine:
 
         self.spark, self.workspace, self.hooks, self.provider = spark, workspace.rstrip("/"), hooks, provider
         self.now = now or (lambda: int(time.time()))
-        self.store = mutations.Store(spark, f"{self.workspace}/graph")
-        self._sections = Table(spark, f"{self.workspace}/sections", PAGE_SECTIONS)
-        self._blobs = Table(spark, f"{self.workspace}/blobs", "sha256 string, content binary")
-        self._generations = Table(spark, f"{self.workspace}/generations", "id string, name string, created_at long")
-        self._generation_sources = Table(spark, f"{self.workspace}/generation_sources", "generation_id string, path string, sha256 string")
-        self._events = Table(spark, f"{self.workspace}/events", EVENTS)
-        self._workspace = Table(spark, f"{self.workspace}/workspace", "name string, created_at long")
+        self.log = Commits(spark, self.workspace, WORKSPACE)
         self._node_index = TextIndex(spark, f"{self.workspace}/node_index", "id", search.NODE_FIELDS)
         self._section_index = TextIndex(spark, f"{self.workspace}/section_index", "section_id", search.SECTION_FIELDS)
 
@@ -46,28 +52,53 @@ class Engine:
 
     def init(self, name: str = "default") -> None:
         """Names a new workspace; one that has a name keeps it."""
-        if self._workspace.number():
+        base = self.log.number()
+        if not self.log.read("workspace", base).isEmpty():
             raise ValueError(f"{self.workspace} is a workspace already")
-        self._workspace.replace(self.spark.createDataFrame([(name, self.now())], "name string, created_at long"))
+        self._commit(base, {"workspace": Change(put=self.spark.createDataFrame([(name, self.now())], WORKSPACE["workspace"].schema))}, "named", name)
 
     def name(self) -> str:
-        row = self._workspace.read().first()
+        row = self.log.read("workspace").first()
         return row["name"] if row else "default"
 
-    def graph(self) -> Graph:
-        return self.store.load()
+    def version(self) -> int:
+        """The number of the newest commit."""
+        return self.log.number()
 
-    def sections(self) -> DataFrame:
-        return self._sections.read()
+    def graph(self, at: int | None = None) -> Graph:
+        """The graph as it is, or as it was in a version that is still there."""
+        at = self.log.number() if at is None else at
+        return Graph(**{name: self.log.read(name, at) for name in GRAPH})
 
-    def _told(self, kind: str, subject: str | None = None, n: int = 0) -> None:
-        """Adds an event; a reader keeps the version that it has read up to."""
-        at = self._events.read().count() + 1
-        self._events.append(self.spark.createDataFrame([(at, self.now(), kind, subject, n)], EVENTS))
+    def sections(self, at: int | None = None) -> DataFrame:
+        return self.log.read("sections", at)
+
+    def _commit(self, base: int, changes: dict[str, Change], kind: str, subject: str | None = None, n: int = 0, reads: tuple[str, ...] | None = None) -> int:
+        """One commit of changes to any tables, with the event that tells of it. Adjacency follows edges."""
+        if "edges" in changes:
+            edges = changes["edges"]
+            ends = lambda rows: None if rows is None else graph.adjacency(rows)
+            changes = changes | {"adjacency": Change(ends(edges.gone), ends(edges.put), ends(edges.whole), edges.fresh)}
+        number = self.log.commit(base, changes, kind, subject, n, self.now(), reads)
+        self.log.tidy(self.now())
+        return number
 
     def events(self, after: int = 0, most: int = 1000) -> list[dict]:
-        """What happened to the workspace after the event of this number, oldest first, at most so many."""
-        return _rows(self._events.read().where(F.col("number") > after).orderBy("number").limit(most))
+        """What happened to the workspace after the event of this number, oldest first, at most so many. A reader keeps the number that it has read up to;
+        events of versions that were dropped are gone."""
+        return _rows(self.log.log(after, most))
+
+    def follow(self) -> DataFrame:
+        """The events as a stream, each once: (number, at, kind, subject, n)."""
+        return self.log.stream()
+
+    def compact(self) -> list[str]:
+        """Folds the changes of all tables into them. Returns the tables that had some."""
+        return [name for name in WORKSPACE if self.log.compact(name, self.now())]
+
+    def drop_versions(self, keep: int = 2, grace: float = 86400) -> None:
+        """Removes what only versions before the newest `keep` need."""
+        self.log.drop(keep, grace)
 
     # Ingest.
 
@@ -101,8 +132,8 @@ class Engine:
 
     def ingest_files(self, found: DataFrame, skip_unchanged: bool = False, blobs: bool = True) -> dict:
         """Parses files(path, content), puts their facts into the graph and their sections into the index. Returns counts and errors."""
-        now, base = self.now(), self.store.version()
-        before = self.graph()
+        now, base = self.now(), self.version()
+        before = self.graph(base)
         docs = graph.shared(parse.parse_files(found, self.hooks))
         failed = docs.where("error IS NOT NULL").select("source_path", "error").orderBy("source_path")
         errors = [(r["source_path"], r["error"]) for r in failed.limit(ERRORS).collect()]
@@ -113,103 +144,123 @@ class Engine:
         if skip_unchanged:
             good = good.join(classes.where("change <> 'unchanged'").select(F.col("path").alias("source_path")), "source_path", "left_semi")
         facts = {name: graph.shared(frame) for name, frame in self._facts(good, before.nodes, now).items()}
-        add = lambda old, name, keys: old.unionByName(facts[name]).dropDuplicates(keys) if name in facts else old
-        kept = before.nodes.join(facts["nodes"].select("id", F.col("created_at").alias("c2")), "id", "left_anti")
-        first = before.nodes.select("id", F.col("created_at").alias("c0"))
-        nodes = facts["nodes"].join(first, "id", "left").withColumn("created_at", F.coalesce("c0", "created_at")).drop("c0").unionByName(kept)
-        cache = mutations.upsert_cache(before.document_cache, fresh.select("path", "sha256", "structural_sha256", F.lit(now).cast("long").alias("indexed_at"), "node_id"))
-        after = Graph(nodes, add(before.edges, "edges", ["id"]), add(before.evidence, "evidence", ["id"]), add(before.edge_evidence, "edge_evidence", ["edge_id", "evidence_id"]), add(before.metric_values, "metric_values", ["id"]), before.kpi_candidates, cache)
-        self.store.write(after, base)
-        self._sections.replace(tree.replace_sections(self.sections(), tree.sections(good.dropDuplicates(["id"]))))
+        changes = self._put_facts(before, facts)
+        cached = fresh.select("path", "sha256", "structural_sha256", F.lit(now).cast("long").alias("indexed_at"), "node_id")
+        changes["document_cache"] = mutations.upserted(before.document_cache, mutations.newest_cache(cached), ("path",))
+        changes["sections"] = self._section_change(base, graph.shared(tree.sections(good.dropDuplicates(["id"]))))
         if blobs:
-            self._blobs.append(files.new_blobs(found, self._blobs.read()))
+            changes["blobs"] = Change(put=files.new_blobs(found, self.log.read("blobs", base)), fresh=True)
         counts_of = {name: facts[name].count() for name in ("nodes", "edges", "evidence")}
         out = {"files": good.count(), "changes": counts, **counts_of, "errors": errors, "failed": failed.count()}
-        self._told("ingested", n=out["files"])
+        self._commit(base, changes, "ingested", n=out["files"])
         return out
 
+    @staticmethod
+    def _put_facts(before: Graph, facts: dict[str, DataFrame]) -> dict[str, Change]:
+        """The changes that put facts into a graph: a node keeps its first time, an edge its first ends, author and time, a value all that it was."""
+        keep = {"nodes": ("created_at",), "edges": ("from_id", "to_id", "created_by", "created_at"), "metric_values": tuple(WORKSPACE["metric_values"].columns)}
+        return {name: mutations.upserted(getattr(before, name), facts[name], WORKSPACE[name].key, keep.get(name, ())) for name in FACTS if name in facts}
+
+    def _section_change(self, base: int, fresh: DataFrame, documents: DataFrame | None = None) -> Change:
+        """The change that puts the sections of some documents in the place of those that they have."""
+        ids = fresh.select("doc_node_id").distinct() if documents is None else documents
+        old = self.sections(base)
+        old = graph.shared(old.join(ids, "doc_node_id", "left_semi").select(*old.columns))
+        return Change(put=fresh, fresh=True) if old.isEmpty() else mutations.difference(old, fresh)
+
     def remove_document(self, doc_id: str, delete_blob: bool = True) -> None:
-        """Removes a document and what it alone mentions; its blob too, if no other document has it, unless that shall stay."""
-        base = self.store.version()
-        g = self.graph()
+        """Removes a document and what it alone mentions; its blob too, if no other document has it, unless that shall stay. All of it is one commit."""
+        base = self.version()
+        g = self.graph(base)
         self._need(g, doc_id, "Document")
-        ids = graph.shared(mutations.removal_ids(g, self.spark.createDataFrame([(doc_id,)], "id string")))
-        after = mutations.remove_nodes(g, ids)
-        self.store.write(after, base)
-        self._sections.replace(self.sections().where(F.col("doc_node_id") != doc_id))
+        one = self.spark.createDataFrame([(doc_id,)], "id string")
+        gone = {name: graph.shared(rows) for name, rows in mutations.removed(g, graph.shared(mutations.removal_ids(g, one))).items()}
+        changes = {name: Change(gone=rows) for name, rows in gone.items()}
+        changes["sections"] = Change(gone=self.sections(base).where(F.col("doc_node_id") == doc_id))
         if delete_blob:
-            self._blobs.replace(self._blobs.read().join(after.document_cache.select("sha256"), "sha256", "left_semi"))
-        self._told("removed", doc_id)
+            kept = g.document_cache.join(gone["document_cache"].select("path"), "path", "left_anti").select("sha256")
+            contents = gone["document_cache"].select("sha256").distinct().join(kept, "sha256", "left_anti")
+            changes["blobs"] = Change(gone=self.log.read("blobs", base).join(contents, "sha256", "left_semi"))
+        self._commit(base, changes, "removed", doc_id)
 
     def regenerate_document(self, doc_id: str) -> dict:
-        """Extracts a document's facts anew from its blob and puts them in the place of the old ones, in one version. Concepts that go with the old facts
+        """Extracts a document's facts anew from its blob and puts them in the place of the old ones, in one commit. Concepts that go with the old facts
         are no ends of bridges from the new ones."""
-        base, now = self.store.version(), self.now()
-        g = self.graph()
+        base, now = self.version(), self.now()
+        g = self.graph(base)
         self._need(g, doc_id, "Document")
         one = self.spark.createDataFrame([(doc_id,)], "id string")
         source = g.document_cache.where(F.col("node_id") == doc_id).select("path", "sha256")
-        content = source.join(self._blobs.read(), "sha256").select("path", "content")
+        content = source.join(self.log.read("blobs", base), "sha256").select("path", "content")
         docs = graph.shared(parse.parse_files(content, self.hooks).where("error IS NULL").dropDuplicates(["id"]))
         if docs.isEmpty():
             raise NotFound(f"no content of {doc_id}")
-        doomed = graph.shared(mutations.removal_ids(g, one))
-        known = g.nodes.join(doomed, "id", "left_anti")
+        known = g.nodes.join(graph.shared(mutations.removal_ids(g, one)), "id", "left_anti")
         facts = {name: graph.shared(frame) for name, frame in self._facts(docs, known, now).items()}
-        after = mutations.regenerate(g, one, facts)
-        self.store.write(Graph(**{**after.frames(), "document_cache": g.document_cache}), base)
-        self._sections.replace(tree.replace_sections(self.sections().where(F.col("doc_node_id") != doc_id), tree.sections(docs)))
-        self._told("regenerated", doc_id)
+        changes = mutations.regenerated(g, one, facts)
+        changes["sections"] = self._section_change(base, graph.shared(tree.sections(docs)), one.withColumnRenamed("id", "doc_node_id"))
+        self._commit(base, changes, "regenerated", doc_id)
         return {name: facts[name].count() for name in ("nodes", "edges", "evidence")}
 
     def rebuild_sections(self) -> int:
         """Builds the section index anew from the blobs; returns the number of documents without one."""
-        blobs = self.graph().document_cache.join(self._blobs.read(), "sha256", "left")
-        self._sections.replace(tree.sections(parse.parse_files(blobs.where("content IS NOT NULL"), self.hooks).dropDuplicates(["id"])))
+        base = self.version()
+        blobs = graph.shared(self.graph(base).document_cache.join(self.log.read("blobs", base), "sha256", "left"))
+        made = tree.sections(parse.parse_files(blobs.where("content IS NOT NULL"), self.hooks).dropDuplicates(["id"]))
+        self._commit(base, {"sections": Change(whole=made)}, "sections rebuilt", reads=("sections", "document_cache", "blobs"))
         return blobs.where("content IS NULL").count()
 
+    def stale_documents(self) -> DataFrame:
+        """(id, sha256) of documents whose sections were made from another content, or that have none."""
+        g, found = self.graph(), self.sections()
+        docs = g.document_cache.select(F.col("node_id").alias("id"), "sha256")
+        trees = found.select("doc_node_id").distinct().join(docs.withColumnRenamed("id", "doc_node_id"), "doc_node_id")
+        return tree.stale(docs, trees)
+
     def summarize_sections(self) -> None:
         """Gives all sections summaries by the provider, children first."""
-        patient = providers.Patient(self.provider)
-        self._sections.replace(tree.summarize(self.sections(), patient.summarize))
+        patient, base = providers.Patient(self.provider), self.version()
+        old = self.sections(base)
+        self._commit(base, {"sections": mutations.difference(old, graph.shared(tree.summarize(old, patient.summarize)))}, "summarized")
 
     # Batches, jobs and generations.
 
     def apply(self, log: DataFrame) -> int:
-        """Applies a batch of log rows (batch above 0) as a whole, or not at all: a row that breaks a rule makes it raise, and the graph stays."""
-        base = self.store.version()
-        g = self.graph()
+        """Applies a batch of log rows (batch above 0) as a whole, or not at all: a row that breaks a rule makes it raise, and the graph stays. What it
+        changes is written."""
+        base = self.version()
+        g = self.graph(base)
         rows = graph.shared(log.select("batch", "seq", "op", "id", "payload"))
         accepted = mutations.whole_batch(rows, g)
-        after = mutations.state(snapshot.import_log(g, 0).unionByName(accepted), g.document_cache)
-        self._told("applied", n=accepted.count())
-        return self.store.write(after, base)
+        return self._replay(base, g, accepted, g.document_cache, "applied", ())
+
+    def _replay(self, base: int, g: Graph, accepted: DataFrame, cache: DataFrame, kind: str, more: tuple[str, ...]) -> int:
+        after = mutations.state(snapshot.import_log(g, 0).unionByName(accepted), cache)
+        tables = (*FACTS, "kpi_candidates", *more)
+        changes = {name: mutations.difference(getattr(g, name), graph.shared(getattr(after, name))) for name in tables}
+        return self._commit(base, changes, kind, n=accepted.count(), reads=GRAPH)
 
     def recompute_kpis(self) -> list[dict]:
-        """Writes the recomputed confidence, trend and newest value of each KPI into its node; flags of review are set and never cleared."""
-        base = self.store.version()
-        g = self.graph()
+        """Writes the recomputed confidence, trend and newest value of each KPI into its node, and leaves the rest of its attributes as they are; flags of
+        review are set and never cleared."""
+        base = self.version()
+        g = self.graph(base)
         rows = graph.shared(series.recompute(g, self.now()))
         fresh = rows.select(F.col("kpi_id").alias("id"), F.struct("confidence", "review", "at", "trend", "value").alias("x"))
-        known = F.from_json(F.coalesce("attrs", F.lit("{}")), "map<string,string>")
-        told = F.map_from_arrays(F.array(F.lit("trend"), F.lit("value")), F.array(F.col("x.trend"), F.col("x.value").cast("string")))
-        attrs = F.to_json(F.map_concat(F.map_filter(known, lambda k, _: ~k.isin("trend", "value")), F.map_filter(told, lambda _, v: v.isNotNull())))
         new = {
-            "attrs": attrs,
+            "attrs": patched(F.col("attrs"), {"trend": F.col("x.trend"), "value": F.col("x.value")}),
             "confidence": F.col("x.confidence"),
             "requires_human_review": F.col("x.review"),
             "updated_at": F.col("x.at"),
         }
-        nodes = g.nodes.join(fresh, "id", "left")
-        nodes = nodes.select(*[F.when(F.col("x").isNull(), F.col(c)).otherwise(new[c]).alias(c) if c in new else F.col(c) for c in g.nodes.columns])
-        self.store.write(Graph(**{**g.frames(), "nodes": nodes}), base)
-        self._told("recomputed", n=rows.count())
+        nodes = g.nodes.join(fresh, "id").select(*[new.get(c, F.col(c)).alias(c) for c in g.nodes.columns])
+        self._commit(base, {"nodes": mutations.upserted(g.nodes, nodes, ("id",))}, "recomputed", n=rows.count(), reads=GRAPH)
         return _rows(rows.orderBy("kpi_id"))
 
     def discover_kpis(self, by_edges: bool = False) -> list[dict]:
         """Proposes candidates for KPIs with enough documents and evidence; they are pending until they are resolved."""
-        base = self.store.version()
-        g = self.graph()
+        base = self.version()
+        g = self.graph(base)
         rows = graph.shared(series.discover(g, by_edges))
         fresh = rows.select(
             F.concat(F.lit("candidate."), F.col("kpi_id")).alias("id"),
@@ -221,27 +272,26 @@ class Engine:
             F.lit("pending").alias("status"),
             F.lit(None).cast("string").alias("merged_into"),
         )
-        old = g.kpi_candidates.join(fresh.select("id"), "id", "left_anti").select(*g.kpi_candidates.columns)
-        self.store.write(Graph(**{**g.frames(), "kpi_candidates": old.unionByName(fresh)}), base)
-        self._told("discovered", n=rows.count())
+        self._commit(base, {"kpi_candidates": mutations.upserted(g.kpi_candidates, fresh, ("id",))}, "discovered", n=rows.count(), reads=GRAPH)
         return _rows(rows.orderBy("kpi_id"))
 
     def create_generation(self, name: str, paths: list[str] | None = None) -> str:
         """Names a set of the files that the graph knows, with their contents: those of these paths, or all. Unknown paths are passed over."""
-        cache, now = self.graph().document_cache, self.now()
+        base, now = self.version(), self.now()
+        cache = self.log.read("document_cache", base)
         wanted = cache.select("path") if paths is None else self.spark.createDataFrame([(p,) for p in paths], "path string")
-        generation = f"gen.{len(self.list_generations()) + 1}.{now}"
-        self._generation_sources.append(series.create_generation(wanted, cache, generation))
-        self._generations.append(self.spark.createDataFrame([(generation, name, now)], "id string, name string, created_at long"))
-        self._told("generation", generation)
+        generation = f"gen.{self.log.read('generations', base).count() + 1}.{now}"
+        one = self.spark.createDataFrame([(generation, name, now)], WORKSPACE["generations"].schema)
+        changes = {"generation_sources": Change(put=series.create_generation(wanted, cache, generation)), "generations": Change(put=one)}
+        self._commit(base, changes, "generation", generation, reads=("generations", "document_cache"))
         return generation
 
     def list_generations(self) -> list[dict]:
-        return _rows(series.generation_counts(self._generations.read(), self._generation_sources.read()))
+        return _rows(series.generation_counts(self.log.read("generations"), self.log.read("generation_sources")))
 
     def generation(self, generation: str) -> Graph:
         """What rests on the contents of a generation, with the cache rows of its files alone."""
-        sources = self._generation_sources.read().where(F.col("generation_id") == generation)
+        sources = self.log.read("generation_sources").where(F.col("generation_id") == generation)
         if sources.isEmpty():
             raise NotFound(f"no generation {generation}")
         g = mutations.generation_closure(self.graph(), sources.select("sha256"))
@@ -253,8 +303,16 @@ class Engine:
 
     # Tools.
 
+    def nodes_by_id(self, ids: list[str]) -> DataFrame:
+        """These nodes. Of folded tables only the files of their buckets are read."""
+        return self.log.lookup("nodes", ids)
+
+    def neighbours(self, ids: list[str]) -> DataFrame:
+        """(node, other, edge_id, kind, outgoing) of the edges at these nodes, read like `nodes_by_id`."""
+        return self.log.lookup("adjacency", ids)
+
     def _need(self, g: Graph, node_id: str, kind: str | None = None) -> None:
-        row = g.nodes.where(F.col("id") == node_id).select("kind").first()
+        row = self.nodes_by_id([node_id]).select("kind").first()
         if row is None or (kind and row["kind"] != kind):
             raise NotFound(f"no {kind or 'node'} {node_id}")
 
@@ -300,19 +358,43 @@ class Engine:
         return _rows(graph.suggest_actions(g, tuple(status_filter) if status_filter is not None else None, include_unreviewed).where(F.col("kpi_id") == kpi_id).orderBy("edge_id"))
 
     def _nodes_indexed(self, rebuild: bool = False) -> TextIndex:
-        """The index of node texts, brought up to the newest graph: whatever changed it, only nodes whose text changed get new postings."""
-        version = self.store.version()
-        if rebuild or self._node_index.version() != version:
-            g = self.graph()
-            write = self._node_index.rebuild if rebuild else self._node_index.sync
-            write(search.node_texts(g.nodes, graph.node_quotes(g)), version)
+        """The index of node texts, brought up to the newest graph: the commits since tell which nodes they touched, and no others are looked at."""
+        version, synced = self.version(), None if rebuild else self._node_index.version()
+        if synced == version:
+            return self._node_index
+        touched = None if synced is None else self._touched_nodes(synced, version)
+        g = self.graph(version)
+        if touched is None:
+            self._node_index.rebuild(search.node_texts(g.nodes, graph.node_quotes(g)), version)
+        else:
+            touched = graph.shared(touched)
+            near = graph.around(g, touched)
+            self._node_index.sync(touched, search.node_texts(near.nodes, graph.node_quotes(near).join(touched.withColumnRenamed("id", "node_id"), "node_id", "left_semi")), version)
         return self._node_index
 
+    def _touched_nodes(self, after: int, upto: int) -> DataFrame | None:
+        """(id) of the nodes whose text the commits in between may have changed: those that changed, sources of evidence that did, and ends of edges that
+        did or whose evidence or pairs did. None if that is not known."""
+        found = {name: self.log.changes(name, after, upto) for name in ("nodes", "edges", "evidence", "edge_evidence")}
+        if any(c is None for c in found.values()):
+            return None
+        rows = {name: c.gone.unionByName(c.put) for name, c in found.items()}
+        pairs = rows["edge_evidence"].unionByName(self.log.read("edge_evidence", upto).join(rows["evidence"].select(F.col("id").alias("evidence_id")).distinct(), "evidence_id", "left_semi"))
+        edges = self.log.read("edges", upto).join(pairs.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi").select(*WORKSPACE["edges"].columns).unionByName(rows["edges"])
+        ends = edges.select(F.col("from_id").alias("id")).unionByName(edges.select(F.col("to_id").alias("id")))
+        return rows["nodes"].select("id").unionByName(rows["evidence"].select(F.col("source_node_id").alias("id"))).unionByName(ends).distinct()
+
     def _sections_indexed(self, rebuild: bool = False) -> TextIndex:
-        version = self._sections.number()
-        if rebuild or self._section_index.version() != version:
-            write = self._section_index.rebuild if rebuild else self._section_index.sync
-            write(self.sections().select("section_id", *search.SECTION_FIELDS), version)
+        version, synced = self.version(), None if rebuild else self._section_index.version()
+        if synced == version:
+            return self._section_index
+        change = None if synced is None else self.log.changes("sections", synced, version)
+        texts = self.sections(version).select("section_id", *search.SECTION_FIELDS)
+        if change is None:
+            self._section_index.rebuild(texts, version)
+        else:
+            touched = graph.shared(change.gone.unionByName(change.put).select("section_id").distinct())
+            self._section_index.sync(touched, texts.join(touched, "section_id", "left_semi"), version)
         return self._section_index
 
     def rebuild_search_index(self) -> None:
@@ -355,14 +437,13 @@ class Engine:
 
     def import_snapshot(self, folder: str) -> dict:
         """Replays a snapshot through the mutation log onto the graph; what breaks a rule is reported and left out."""
-        base = self.store.version()
-        g, fresh = self.graph(), snapshot.load(self.spark, folder)
-        log = graph.shared(snapshot.import_log(g, 0).unionByName(snapshot.import_log(fresh, 1)))
-        accepted, errors = mutations.validate(log.where("batch = 1"), g)
+        base = self.version()
+        g, fresh = self.graph(base), snapshot.load(self.spark, folder)
+        log = graph.shared(snapshot.import_log(fresh, 1))
+        accepted, errors = mutations.validate(log, g)
         bad = _rows(errors.orderBy("batch", "seq").limit(ERRORS))
-        after = mutations.state(log.where("batch = 0").unionByName(accepted), mutations.upsert_cache(g.document_cache, fresh.document_cache))
-        self.store.write(after, base)
-        self._told("imported", n=accepted.count())
+        accepted = graph.shared(accepted)
+        self._replay(base, g, accepted, mutations.upsert_cache(g.document_cache, fresh.document_cache), "imported", ("document_cache",))
         return {"accepted": accepted.count(), "errors": bad}
 
     def list_page(self, text: str = "", page: int = 0, size: int = 50) -> list[dict]:

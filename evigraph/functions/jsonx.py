@@ -13,6 +13,15 @@ def _path(dotted: str) -> str:
     return "$" + "".join(f"['{p}']" for p in dotted.split("."))
 
 
+def patched(attrs: Column, members: dict[str, Column]) -> Column:
+    """A JSON object's text with some top-level members set to values, or left out where these are null; the others keep their types and depth. A text
+    that is no object counts as an empty one."""
+    kept = F.coalesce(F.from_json(attrs, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
+    kept = F.map_filter(kept, lambda k, _: ~k.isin(*members))
+    new = F.map_from_arrays(F.array(*[F.lit(k) for k in members]), F.array(*[v.cast("variant") for v in members.values()]))
+    return F.to_json(F.map_concat(kept, F.map_filter(new, lambda _, v: v.isNotNull())))
+
+
 def text_at(attrs: Column, dotted: str) -> Column:
     """The value at a dotted path as text; null if it is missing or null."""
     return F.get_json_object(attrs, _path(dotted))

@@ -14,10 +14,10 @@ NODE_FIELDS = ("kind", "name", "confidence", "is_tainted", "requires_human_revie
 EDGE_FIELDS = ("confidence", "is_tainted", "requires_human_review", "created_by", "evidence")
 
 
-def _first(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key by id, and the rows that others came before."""
+def _collisions(rows: DataFrame) -> DataFrame:
+    """Warnings of the rows of each key that others came before by id."""
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-    return ranked.where("rank = 1").drop("rank"), ranked.where("rank > 1").select("key", "id", F.lit("collision").alias("warning"))
+    return ranked.where("rank > 1").select("key", "id", F.lit("collision").alias("warning"))
 
 
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
@@ -38,20 +38,23 @@ def keyed_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
 
 
 def compare(before: DataFrame, after: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """key, change (added, removed, modified), fields that changed, joined by commas."""
-    a = before.select("key", F.struct(*fields).alias("a"))
-    b = after.select("key", F.struct(*fields).alias("b"))
+    """key, change (added, removed, modified), fields that changed, joined by commas, of rows(key, id, fields); of rows with one key the first one by id
+    counts. Both sides meet in one group, so that each row is shuffled once."""
+    side = lambda rows, old: rows.select("key", "id", F.struct(*fields).alias("x"), F.lit(old).alias("old"))
+    first = lambda old: F.min_by("x", F.when(F.col("old") == old, F.col("id")))
+    rows = side(before, True).unionByName(side(after, False)).groupBy("key").agg(first(True).alias("a"), first(False).alias("b"))
     changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]))
-    rows = a.join(b, "key", "full_outer").select("key", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "modified").alias("change"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.array_join(changed, ",")).otherwise("").alias("fields"))
-    return rows.where("change IS NOT NULL")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "modified")
+    told = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.array_join(changed, ",")).otherwise("")
+    return rows.select("key", change.alias("change"), told.alias("fields")).where("change IS NOT NULL")
 
 
 def diff_nodes(before: Graph, after: Graph) -> DataFrame:
-    return compare(_first(keyed_nodes(before.nodes))[0], _first(keyed_nodes(after.nodes))[0], NODE_FIELDS)
+    return compare(keyed_nodes(before.nodes), keyed_nodes(after.nodes), NODE_FIELDS)
 
 
 def diff_edges(before: Graph, after: Graph) -> DataFrame:
-    return compare(_first(keyed_edges(before)[0])[0], _first(keyed_edges(after)[0])[0], EDGE_FIELDS)
+    return compare(keyed_edges(before)[0], keyed_edges(after)[0], EDGE_FIELDS)
 
 
 def warnings(before: Graph, after: Graph) -> DataFrame:
@@ -59,7 +62,7 @@ def warnings(before: Graph, after: Graph) -> DataFrame:
     out = None
     for side, g in (("before", before), ("after", after)):
         edges, missing = keyed_edges(g)
-        for what, rows in (("node", _first(keyed_nodes(g.nodes))[1]), ("edge", _first(edges)[1]), ("edge", missing)):
+        for what, rows in (("node", _collisions(keyed_nodes(g.nodes))), ("edge", _collisions(edges)), ("edge", missing)):
             part = rows.select(F.lit(side).alias("side"), F.lit(what).alias("what"), "key", "id", "warning")
             out = part if out is None else out.unionByName(part)
     return out

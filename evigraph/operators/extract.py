@@ -185,12 +185,20 @@ def recent_concepts(nodes: DataFrame, n: int = BRIDGE_WINDOW) -> DataFrame:
 def near_names(new: DataFrame, known: DataFrame) -> DataFrame:
     """(a, b): ids of new(id, name) and known(id, name) of which one's significant words, at least two, are a real part of the other's.
 
-    The pairs meet on their words: only names that share one are compared, and the shared words are counted."""
+    The smaller set looks for the larger ones with its rarest word alone, and what it finds is compared whole: a word that many names have pairs only
+    names that have no rarer one."""
     tokens = lambda d, i: d.select(F.col("id").alias(i), T.significant_tokens(F.col("name")).alias(f"t{i}"))
     a, b = tokens(new, "a"), tokens(known, "b")
-    words = a.select("a", F.size("ta").alias("na"), F.explode("ta").alias("w")).join(b.select("b", F.size("tb").alias("nb"), F.explode("tb").alias("w")), "w")
-    rows = words.where("a <> b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("n"))
-    return rows.where((F.col("n") == F.least("na", "nb")) & (F.col("n") >= 2) & (F.col("na") != F.col("nb"))).select("a", "b")
+    words = {i: d.select(i, f"t{i}", F.explode(f"t{i}").alias("w")) for i, d in (("a", a), ("b", b))}
+    often = words["a"].select("w").unionAll(words["b"].select("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+    def within(i: str, j: str) -> DataFrame:
+        """The pairs in which i's words are a real part of j's."""
+        rarest = words[i].where(F.size(f"t{i}") >= 2).join(often, "w").groupBy(i, f"t{i}").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+        found = rarest.join(words[j], "w").where((F.size(f"t{i}") < F.size(f"t{j}")) & (F.size(F.array_except(f"t{i}", f"t{j}")) == 0))
+        return found.where("a <> b").select("a", "b")
+
+    return within("a", "b").unionByName(within("b", "a")).distinct()
 
 
 def bridges(new: DataFrame, known: DataFrame, docs_of: DataFrame, now: int) -> Facts:

@@ -14,12 +14,16 @@ from ..schema import BLOCKERS, DRIVERS, KPI_STATUSES, Graph
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder named by spark.checkpoint.dir (a temporary folder where it is unset), with its lineage cut."""
+    """df computed once, in the folder named by spark.checkpoint.dir, with its lineage cut. Where that is unset, a temporary folder is taken on a local
+    master; a cluster's executors would not see it, and there this raises."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="evigraph-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="evigraph-"))
     return df.checkpoint(eager=True)
 
 
@@ -234,6 +238,22 @@ def orphan_edges(g: Graph) -> DataFrame:
     return g.edges.join(g.edge_evidence.withColumnRenamed("edge_id", "id"), "id", "left_anti")
 
 
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(node, other, edge_id, kind, outgoing): each edge from either end, for reads by node."""
+    out = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), F.col("id").alias("edge_id"), "kind", F.lit(True).alias("outgoing"))
+    return out.unionAll(edges.select("to_id", "from_id", "id", "kind", F.lit(False)))
+
+
+def around(g: Graph, ids: DataFrame) -> Graph:
+    """The part of a graph that says something about the nodes ids(id): these, the edges at them, and the evidence of both."""
+    at = [g.edges.join(ids.withColumnRenamed("id", end), end, "left_semi").select(*g.edges.columns) for end in ("from_id", "to_id")]
+    edges = shared(at[0].unionByName(at[1]).dropDuplicates(["id"]))
+    pairs = shared(g.edge_evidence.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select("edge_id", "evidence_id"))
+    own = g.evidence.join(ids.withColumnRenamed("id", "source_node_id"), "source_node_id", "left_semi").select(*g.evidence.columns)
+    evidence = own.unionByName(g.evidence.join(pairs.select(F.col("evidence_id").alias("id")).distinct(), "id", "left_semi").select(*g.evidence.columns)).dropDuplicates(["id"])
+    return Graph(**{**g.frames(), "nodes": g.nodes.join(ids, "id", "left_semi"), "edges": edges, "edge_evidence": pairs, "evidence": evidence})
+
+
 def neighbours_of(g: Graph, ids: DataFrame) -> DataFrame:
     """Adjacency (from_id, to_id, id, kind) of edges whose ends exist, at these ids."""
     known = g.nodes.select("id")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGES, EVIDENCE, KPI_CANDIDATES, METRIC_VALUES, NODES, Graph
-from ..sources.versions import Versions
+from ..sources.commits import Change
 from . import graph as G
 
 LOG = "batch long, seq long, op string, id string, payload string"
@@ -129,6 +129,29 @@ def summary(log: DataFrame) -> DataFrame:
     return log.groupBy("op").agg(F.count("*").alias("n"))
 
 
+def removed(g: Graph, ids: DataFrame) -> dict[str, DataFrame]:
+    """The rows that `remove_nodes` takes from a graph whose edges all have evidence: the nodes ids(id), their evidence, values and cache rows, the edges
+    at them or left without evidence, and pairs of either. Only edges that lose evidence are looked at again."""
+    at = lambda column: ids.withColumnRenamed("id", column)
+    evidence = g.evidence.join(at("source_node_id"), "source_node_id", "left_semi").select(*g.evidence.columns)
+    lost = g.edge_evidence.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select("edge_id", "evidence_id")
+    touched = lost.select("edge_id").distinct()
+    rest = g.edge_evidence.join(touched, "edge_id", "left_semi").join(lost, ["edge_id", "evidence_id"], "left_anti").select("edge_id").distinct()
+    bare = touched.join(rest, "edge_id", "left_anti").select(F.col("edge_id").alias("id"))
+    gone = [g.edges.join(at(end), end, "left_semi").select("id") for end in ("from_id", "to_id")]
+    edges = g.edges.join(reduce(DataFrame.unionByName, gone, bare).distinct(), "id", "left_semi").select(*g.edges.columns)
+    pairs = g.edge_evidence.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select("edge_id", "evidence_id")
+    values = [g.metric_values.join(at(c), c, "left_semi").select(*g.metric_values.columns) for c in ("kpi_node_id", "metric_node_id")]
+    return {
+        "nodes": g.nodes.join(ids, "id", "left_semi"),
+        "edges": edges,
+        "evidence": evidence,
+        "edge_evidence": pairs.unionByName(lost).distinct(),
+        "metric_values": values[0].unionByName(values[1]).distinct(),
+        "document_cache": g.document_cache.join(at("node_id"), "node_id", "left_semi").select(*g.document_cache.columns),
+    }
+
+
 def remove_nodes(g: Graph, ids: DataFrame) -> Graph:
     """The graph without the nodes ids(id) and all that goes with them."""
     nodes = g.nodes.join(ids, "id", "left_anti")
@@ -143,6 +166,27 @@ def remove_nodes(g: Graph, ids: DataFrame) -> Graph:
     return Graph(nodes, edges, evidence, pairs, values, g.kpi_candidates, cache)
 
 
+def difference(before: DataFrame, after: DataFrame) -> Change:
+    """The change that makes the rows of one frame those of another."""
+    after = after.select(*before.columns)
+    return Change(before.subtract(after), after.subtract(before))
+
+
+def upserted(before: DataFrame, rows: DataFrame, key: tuple[str, ...], keep: tuple[str, ...] = ()) -> Change:
+    """The change that puts rows into a table, in place of those with their key; a row that was there keeps its values of the columns `keep`. Rows that
+    are there already as they are change nothing. Only the table's rows with these keys are compared."""
+    columns, key = before.columns, list(key)
+    rows = rows.select(*columns).dropDuplicates(key)
+    old = G.shared(before.join(rows.select(*key), key, "left_semi").select(*columns))
+    if old.isEmpty():
+        return Change(put=rows, fresh=True)
+    if keep:
+        first = old.select(*key, F.struct(*keep).alias("_first"))
+        rows = rows.join(first, key, "left")
+        rows = rows.select(*[F.when(F.col("_first").isNotNull(), F.col("_first")[c]).otherwise(F.col(c)).alias(c) if c in keep else c for c in columns])
+    return difference(old, G.shared(rows))
+
+
 def removal_ids(g: Graph, documents: DataFrame) -> DataFrame:
     """The ids that go when documents(id) are removed: these, and the concepts that they alone mention."""
     mentioned = G.mentioned_concepts(g)
@@ -151,17 +195,29 @@ def removal_ids(g: Graph, documents: DataFrame) -> DataFrame:
     return touched.join(rest, "concept_id", "left_anti").select(F.col("concept_id").alias("id")).unionByName(documents.select("id")).distinct()
 
 
-def regenerate(g: Graph, documents: DataFrame, fresh: dict[str, DataFrame]) -> Graph:
-    """The graph with documents(id) removed and the facts that were extracted from them anew put in, as one step."""
-    base = remove_nodes(g, removal_ids(g, documents))
-    add = lambda old, name, keys: old.unionByName(fresh[name]).dropDuplicates(keys) if name in fresh else old
-    return Graph(add(base.nodes, "nodes", ["id"]), add(base.edges, "edges", ["id"]), add(base.evidence, "evidence", ["id"]), add(base.edge_evidence, "edge_evidence", ["edge_id", "evidence_id"]), add(base.metric_values, "metric_values", ["id"]), base.kpi_candidates, base.document_cache)
+def regenerated(g: Graph, documents: DataFrame, facts: dict[str, DataFrame]) -> dict[str, Change]:
+    """The changes that remove documents(id) and put in the facts that were extracted from them anew: rows that are the same stay untouched, and cache
+    rows stay as they are."""
+    gone = removed(g, G.shared(removal_ids(g, documents)))
+    out = {}
+    for name, key in (("nodes", ["id"]), ("edges", ["id"]), ("evidence", ["id"]), ("edge_evidence", ["edge_id", "evidence_id"]), ("metric_values", ["id"])):
+        old, columns = G.shared(gone[name]), getattr(g, name).columns
+        fresh = facts[name].select(*columns).dropDuplicates(key)
+        # a row that is there and does not go stays as it is
+        stays = getattr(g, name).join(fresh.select(*key), key, "left_semi").join(old.select(*key), key, "left_anti").select(*key)
+        out[name] = difference(old, G.shared(fresh.join(stays, key, "left_anti").select(*columns)))
+    return out
+
+
+def newest_cache(rows: DataFrame) -> DataFrame:
+    """The newest cache row of each path."""
+    newest = Window.partitionBy("path").orderBy(F.desc("indexed_at"), F.desc("sha256"))
+    return rows.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
 
 
 def upsert_cache(cache: DataFrame, rows: DataFrame) -> DataFrame:
     """A document cache with new rows in place of those of the same path."""
-    newest = Window.partitionBy("path").orderBy(F.desc("indexed_at"), F.desc("sha256"))
-    rows = rows.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
+    rows = newest_cache(rows)
     return cache.join(rows.select("path"), "path", "left_anti").unionByName(rows)
 
 
@@ -179,36 +235,3 @@ def generation_closure(g: Graph, contents: DataFrame) -> Graph:
     ids = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).union(evidence.select("source_node_id")).distinct()
     nodes = g.nodes.join(ids, "id", "left_semi")
     return Graph(nodes, edges, evidence, pairs, g.metric_values.limit(0), g.kpi_candidates.limit(0), g.document_cache)
-
-
-class Store(Versions):
-    """A graph in a folder with versions: each holds all its tables."""
-
-    def version(self) -> int:
-        return self.number()
-
-    def load(self) -> Graph:
-        from ..schema import TABLES, empty_graph
-
-        n = self.number()
-        if not n:
-            return empty_graph(self.spark)
-        return Graph(**{name: self.spark.read.schema(schema).parquet(f"{self.path(n)}/{name}") for name, schema in TABLES.items()})
-
-    def scan(self, table: str, ids: list[str] | None = None, kinds: list[str] | None = None) -> DataFrame:
-        """The rows of one table with these ids or kinds; no other table is opened, and both filters reach the files."""
-        from ..schema import TABLES
-
-        n = self.number()
-        rows = self.spark.read.schema(TABLES[table]).parquet(f"{self.path(n)}/{table}") if n else self.spark.createDataFrame([], TABLES[table])
-        if ids is not None:
-            rows = rows.where(F.col("id").isin(ids))
-        return rows if kinds is None else rows.where(F.col("kind").isin(kinds))
-
-    def write(self, g: Graph, base: int | None = None) -> int:
-        """Writes all tables as the version after `base` (the newest one): readers see all of it or nothing. If there is such a version already, this
-        raises and leaves the graph as it is."""
-        n, aside = (self.number() if base is None else base) + 1, self.aside()
-        for name, frame in g.frames().items():
-            frame.write.parquet(f"{aside}/{name}")
-        return self.publish(aside, n)

@@ -279,17 +279,26 @@ def metric_asof(spark, sf_dir):
     return series.as_of(P.graph(spark, sf_dir).metric_values, ANCHOR).select("kpi_node_id", "id", "value")
 
 
+#: 2023-11-15 12:00:00 UTC, and the starts of its month and year.
+_PERIOD_ANCHOR, _MONTH, _YEAR = 1700049600, 1698796800, 1672531200
+_PERIOD_SQL = f"""SELECT kpi_node_id, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, {_BT} - CAST(substr(id, 4) AS BIGINT) % 26 * 2592000 AS moved FROM g_metric_values)
+WHERE moved BETWEEN {{}} AND {_PERIOD_ANCHOR} GROUP BY 1"""
+
+
 def _period(spark, sf_dir, period):
-    rows = series.in_period(P.graph(spark, sf_dir).metric_values, period, ANCHOR)
+    """Totals of values whose times are moved back by up to 25 times 30 days, by their numbers, so that they lie in several months and years."""
+    values = P.graph(spark, sf_dir).metric_values
+    moved = series.business_time() - F.substr("id", F.lit(4)).cast("long") % 26 * 2592000
+    rows = series.in_period(values.withColumn("as_of", moved), period, _PERIOD_ANCHOR)
     return rows.groupBy("kpi_node_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query("metric_mtd", f"SELECT kpi_node_id, count(*) AS n, round(sum(value), 4) AS total FROM g_metric_values WHERE {_BT} BETWEEN 1704067200 AND {ANCHOR} GROUP BY 1", ("g_metric_values",))
+@query("metric_mtd", _PERIOD_SQL.format(_MONTH), ("g_metric_values",))
 def metric_mtd(spark, sf_dir):
     return _period(spark, sf_dir, "mtd")
 
 
-@query("metric_ytd", f"SELECT kpi_node_id, count(*) AS n, round(sum(value), 4) AS total FROM g_metric_values WHERE {_BT} BETWEEN 1704067200 AND {ANCHOR} GROUP BY 1", ("g_metric_values",))
+@query("metric_ytd", _PERIOD_SQL.format(_YEAR), ("g_metric_values",))
 def metric_ytd(spark, sf_dir):
     return _period(spark, sf_dir, "ytd")
 
@@ -398,10 +407,13 @@ def bm25_scoped(spark, sf_dir):
 
 # Differences.
 def _changed(g: Graph) -> Graph:
-    """The graph after some parts went and some confidences moved, much or little."""
+    """The graph after some parts went, some confidences moved, much or little, and some names and attributes changed: a new name makes a new key, one in
+    capitals has the same."""
     k = F.regexp_extract("id", r"^product\.(\d+)$", 1).try_cast("long")
     moved = F.when(k % 13 == 0, F.col("confidence") + 0.1).when(k % 19 == 0, F.col("confidence") + 0.0001).otherwise(F.col("confidence"))
-    nodes = g.nodes.where((k % 17 != 0) | k.isNull()).withColumn("confidence", moved)
+    name = F.when(k % 23 == 0, F.concat("name", F.lit(" new"))).when(k % 29 == 0, F.upper("name")).otherwise(F.col("name"))
+    attrs = F.when(k % 31 == 0, F.lit('{"changed":1}')).otherwise(F.col("attrs"))
+    nodes = g.nodes.where((k % 17 != 0) | k.isNull()).withColumns({"confidence": moved, "name": name, "attrs": attrs})
     keep = nodes.select("id")
     edges = g.edges.join(keep.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(keep.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     pairs = g.edge_evidence.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi")
@@ -409,11 +421,13 @@ def _changed(g: Graph) -> Graph:
 
 
 _SLUG = r"kind || ':' || trim(regexp_replace(lower(name), '[^\p{L}\p{N}]+', '_', 'g'), '_')"
-_PAIR = f"""a0 AS (SELECT *, {_SLUG} AS key FROM g_nodes), b0 AS (SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN confidence + 0.1 WHEN k % 19 = 0 THEN confidence + 0.0001 ELSE confidence END AS confidence)
-  FROM (SELECT *, CASE WHEN id LIKE 'product.%' THEN CAST(substr(id, 9) AS BIGINT) END AS k FROM a0) WHERE k IS NULL OR k % 17 <> 0),
-attr AS (SELECT id, coalesce(array_to_string(list_sort(list_transform(json_keys(attrs), lambda j: j || '=' || json_extract_string(attrs, '$.' || j))), ';'), '') AS canon FROM g_nodes),
-an AS (SELECT key, a0.id, kind, name, round(confidence * 1000)::BIGINT AS c, canon, is_tainted AS t, requires_human_review AS r FROM a0 JOIN attr ON attr.id = a0.id QUALIFY row_number() OVER (PARTITION BY key ORDER BY a0.id) = 1),
-bn AS (SELECT key, b0.id, kind, name, round(confidence * 1000)::BIGINT AS c, canon, is_tainted AS t, requires_human_review AS r FROM b0 JOIN attr ON attr.id = b0.id QUALIFY row_number() OVER (PARTITION BY key ORDER BY b0.id) = 1),
+_CANON = "coalesce(array_to_string(list_sort(list_transform(json_keys(attrs), lambda j: j || '=' || json_extract_string(attrs, '$.' || j))), ';'), '')"
+_PAIR = f"""a0 AS (SELECT *, {_SLUG} AS key, {_CANON} AS canon FROM g_nodes),
+b0 AS (SELECT *, {_SLUG} AS key, {_CANON} AS canon FROM (SELECT * REPLACE (CASE WHEN k % 13 = 0 THEN confidence + 0.1 WHEN k % 19 = 0 THEN confidence + 0.0001 ELSE confidence END AS confidence,
+  CASE WHEN k % 23 = 0 THEN name || ' new' WHEN k % 29 = 0 THEN upper(name) ELSE name END AS name, CASE WHEN k % 31 = 0 THEN '{{"changed":1}}' ELSE attrs END AS attrs)
+  FROM (SELECT *, CASE WHEN id LIKE 'product.%' THEN CAST(substr(id, 9) AS BIGINT) END AS k FROM g_nodes) WHERE k IS NULL OR k % 17 <> 0)),
+an AS (SELECT key, a0.id, kind, name, round(confidence * 1000)::BIGINT AS c, canon, is_tainted AS t, requires_human_review AS r FROM a0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY a0.id) = 1),
+bn AS (SELECT key, b0.id, kind, name, round(confidence * 1000)::BIGINT AS c, canon, is_tainted AS t, requires_human_review AS r FROM b0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY b0.id) = 1),
 dn AS (SELECT coalesce(an.key, bn.key) AS key, CASE WHEN an.key IS NULL THEN 'added' WHEN bn.key IS NULL THEN 'removed' ELSE 'modified' END AS change,
   CASE WHEN an.key IS NULL OR bn.key IS NULL THEN '' ELSE concat_ws(',', CASE WHEN an.name <> bn.name THEN 'name' END, CASE WHEN an.c <> bn.c THEN 'confidence' END, CASE WHEN an.t <> bn.t THEN 'is_tainted' END, CASE WHEN an.r <> bn.r THEN 'requires_human_review' END, CASE WHEN an.canon <> bn.canon THEN 'attrs' END) END AS fields
   FROM an FULL JOIN bn ON an.key = bn.key WHERE an.key IS NULL OR bn.key IS NULL OR an.name <> bn.name OR an.c <> bn.c OR an.t <> bn.t OR an.r <> bn.r OR an.canon <> bn.canon),

@@ -4,6 +4,7 @@ import pytest
 from evigraph.engine import Engine, NotFound, ToolServer
 from evigraph.operators import extract, mutations, tree
 from evigraph.sources import parse, snapshot
+from evigraph.sources.commits import Change, Commits, Conflict
 
 REVIEW = """# Quarterly review
 
@@ -257,16 +258,16 @@ def test_jobs_write_back(engine):
 
 def test_a_batch_counts_whole_or_not_at_all(spark, engine):
     engine.ingest_text(REVIEW, "review.md")
-    version, nodes = engine.store.version(), engine.graph().nodes.count()
+    version, nodes = engine.version(), engine.graph().nodes.count()
     node = json.dumps({"id": "kpi.new", "kind": "Kpi", "name": "New", "attrs": "{}", "confidence": 1.0, "is_tainted": False, "requires_human_review": False, "created_at": 1, "updated_at": 1})
     good = [(1, 0, "upsert_node", "kpi.new", node)]
     bad = [*good, (1, 1, "delete_node", "kpi.nothing", None)]
     with pytest.raises(mutations.Rejected) as refused:
         engine.apply(spark.createDataFrame(bad, mutations.LOG))
-    assert refused.value.errors[0]["id"] == "kpi.nothing" and engine.store.version() == version and engine.graph().nodes.count() == nodes
+    assert refused.value.errors[0]["id"] == "kpi.nothing" and engine.version() == version and engine.graph().nodes.count() == nodes
     assert engine.apply(spark.createDataFrame(good, mutations.LOG)) == version + 1
     assert engine.graph().nodes.count() == nodes + 1 and engine.graph().edges.count() == 5
-    assert [r["id"] for r in engine.store.scan("nodes", ["kpi.new"]).collect()] == ["kpi.new"] and engine.store.scan("nodes", kinds=["Document"]).count() == 1
+    assert [r["id"] for r in engine.nodes_by_id(["kpi.new", "kpi.none"]).collect()] == ["kpi.new"]
 
 
 def test_numbers_of_a_log_are_unique(spark):
@@ -280,22 +281,87 @@ def test_numbers_of_a_log_are_unique(spark):
     assert high["upsert_node"][1] < high["upsert_evidence"][0]
 
 
-def test_a_writer_that_stops_halfway_leaves_the_graph(spark, engine):
-    from evigraph.schema import Graph
-    from evigraph.sources.versions import Conflict
-    from pyspark.sql import functions as F
+def test_recomputed_attributes_keep_their_types(spark, engine):
+    engine.ingest_text(REVIEW, "review.md")
+    attrs = {"target": 12, "ok": True, "deep": {"x": {"y": 3}}, "tags": ["a", 1], "none": None, "share": 0.5, "text": 'a "b"', "trend": "old"}
+    node = engine.nodes_by_id(["kpi.churn_rate"]).first().asDict() | {"attrs": json.dumps(attrs)}
+    engine.apply(spark.createDataFrame([(1, 0, "upsert_node", node["id"], json.dumps(node))], mutations.LOG))
+    rows = {r["kpi_id"]: r for r in engine.recompute_kpis()}
+    got = json.loads(engine.nodes_by_id(["kpi.churn_rate"]).first()["attrs"])
+    told = {k: v for k in ("trend", "value") if (v := rows["kpi.churn_rate"][k]) is not None}
+    assert got == {k: v for k, v in attrs.items() if k != "trend"} | told and "trend" in told
 
-    engine.ingest_text("# Revenue\n", "a.md")
-    g, version = engine.graph(), engine.store.version()
-    broken = g.edges.withColumn("kind", F.raise_error(F.lit("stopped")).cast("string"))
-    with pytest.raises(Exception, match="stopped"):
-        engine.store.write(Graph(**{**g.frames(), "edges": broken}))
-    assert engine.store.version() == version and engine.graph().nodes.count() == 2
-    assert engine.store.write(g, version) == version + 1
-    with pytest.raises(Conflict):  # another writer started from the same version
-        engine.store.write(g, version)
-    engine.store.drop(1)
-    assert engine.store.numbers() == [version + 1] and engine.graph().nodes.count() == 2
+
+def test_a_change_writes_what_it_changes(spark, engine, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.md").write_text(f"# Revenue {k}\n\nwords\n")
+    engine.ingest_folder(str(folder))
+    engine.compact()
+    assert engine.stale_documents().isEmpty()
+    engine.remove_document(next(d["id"] for d in engine.list_documents() if d["path"].endswith("1.md")))
+    written = {p["table"]: (p["kind"], p["rows"]) for p in engine.log.manifest(engine.version())["wrote"]}
+    assert written["nodes"] == ("gone", 2) and {written[t] for t in ("sections", "document_cache", "edges", "blobs")} == {("gone", 1)}
+    g = engine.graph()
+    assert g.nodes.count() == 4 and g.edges.count() == 2 and engine.sections().count() == 2 and engine.log.read("blobs").count() == 2
+    assert sorted(r["node"] for r in engine.neighbours(["kpi.revenue_0", "kpi.revenue_1"]).collect()) == ["kpi.revenue_0"]
+    stale = engine.sections().where("title = 'Revenue 0'")
+    engine.log.commit(engine.version(), {"sections": Change(gone=stale)}, "broken")
+    assert engine.stale_documents().count() == 1
+
+
+def _rows_of(spark, n):
+    """Nodes and edges from the first one to all others."""
+    nodes = spark.range(n).selectExpr("concat('n', id) AS id", "'Risk' AS kind", "concat('N', id) AS name", "'{}' AS attrs", "1D AS confidence", "false AS is_tainted", "false AS requires_human_review", "1L AS created_at", "1L AS updated_at")
+    edges = spark.range(1, n).selectExpr("concat('e', id) AS id", "'n0' AS from_id", "concat('n', id) AS to_id", "'Blocks' AS kind", "1D AS confidence", "'Rule' AS created_by", "false AS is_tainted", "false AS requires_human_review", "1L AS created_at")
+    return {"nodes": Change(put=nodes), "edges": Change(put=edges)}
+
+
+def test_point_reads_open_few_files(spark, engine):
+    engine._commit(0, _rows_of(spark, 300), "made")
+    engine.compact()
+    one, near = engine.nodes_by_id(["n7"]), engine.neighbours(["n7"])
+    assert one.count() == 1 and len(one.inputFiles()) * 8 <= len(engine.log.read("nodes").inputFiles())
+    assert [(r["other"], r["outgoing"]) for r in near.collect()] == [("n0", False)] and len(near.inputFiles()) * 8 <= len(engine.log.read("adjacency").inputFiles())
+
+
+def test_a_writer_that_stops_after_any_step_leaves_the_old_state(spark, engine, monkeypatch):
+    """Whichever part, or the commit itself, fails to be written, readers see the old state, and the next commit lands whole."""
+    engine._commit(0, _rows_of(spark, 3), "made")
+    write = Commits._written
+    for step in range(4):
+        done = []
+
+        def stops(self, *args, step=step, done=done):
+            if len(done) == step:
+                raise RuntimeError("stopped")
+            done.append(args)
+            return write(self, *args)
+
+        monkeypatch.setattr(Commits, "_written", stops)
+        if step == 3:  # nodes, edges and adjacency are written: the commit stops
+            monkeypatch.setattr(Commits, "_publish", lambda self, m: (_ for _ in ()).throw(RuntimeError("stopped")))
+        with pytest.raises(RuntimeError, match="stopped"):
+            engine._commit(1, _rows_of(spark, 5), "more")
+        monkeypatch.undo()
+        assert engine.version() == 1 and engine.graph().nodes.count() == 3 and len(engine.events()) == 1
+    engine._commit(1, _rows_of(spark, 5), "more")
+    engine.drop_versions(1, grace=0)
+    assert engine.graph().nodes.count() == 5 and engine.graph().edges.count() == 4 and engine.log.numbers() == [2]
+
+
+def test_an_ingest_that_another_writer_overtakes_raises(spark, engine, monkeypatch):
+    facts = Engine._facts
+
+    def slow(self, *args):
+        self._commit(self.version(), _rows_of(spark, 2), "between")
+        return facts(self, *args)
+
+    monkeypatch.setattr(Engine, "_facts", slow)
+    with pytest.raises(Conflict, match="nodes"):
+        engine.ingest_text("# Margin\n", "c.md")
+    assert engine.graph().nodes.count() == 2 and [e["kind"] for e in engine.events()] == ["between"] and engine.sections().isEmpty()
 
 
 def test_many_sections(spark):
