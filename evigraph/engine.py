@@ -174,7 +174,7 @@ class Engine:
         g = self.graph(base)
         self._need(g, doc_id, "Document")
         one = self.spark.createDataFrame([(doc_id,)], "id string")
-        gone = {name: graph.shared(rows) for name, rows in mutations.removed(g, graph.shared(mutations.removal_ids(g, one))).items()}
+        gone = mutations.removed(g, graph.shared(mutations.removal_ids(g, one)))
         changes = {name: Change(gone=rows) for name, rows in gone.items()}
         changes["sections"] = Change(gone=self.sections(base).where(F.col("doc_node_id") == doc_id))
         if delete_blob:
@@ -301,6 +301,38 @@ class Engine:
     def export_generation(self, generation: str, folder: str) -> None:
         snapshot.export(self.generation(generation), folder, self.now())
 
+    # Upkeep.
+
+    def clear_review_flags(self) -> int:
+        """Takes back the flags of review that an early version set on tainted nodes; returns how many went."""
+        base = self.version()
+        nodes = self.log.read("nodes", base)
+        change = mutations.difference(nodes, mutations.clear_review_flags(nodes))
+        gone = graph.shared(change.gone)
+        self._commit(base, {"nodes": Change(gone, change.put)}, "flags cleared", n=gone.count())
+        return gone.count()
+
+    def blob_use(self) -> DataFrame:
+        """(sha256, n): how many cached files have each content that is kept; 0 for one that none has."""
+        known = files.blob_references(self.log.read("document_cache"))
+        return self.log.read("blobs").select("sha256").join(known, "sha256", "left").select("sha256", F.coalesce("n", F.lit(0)).alias("n"))
+
+    def drop_unused_blobs(self) -> int:
+        """Removes the contents that no cached file has; returns how many went."""
+        base = self.version()
+        gone = graph.shared(files.unreferenced_blobs(self.log.read("blobs", base), self.log.read("document_cache", base)))
+        self._commit(base, {"blobs": Change(gone=gone)}, "blobs dropped", n=gone.count(), reads=("blobs", "document_cache"))
+        return gone.count()
+
+    def preview(self, folder: str, recursive: bool = True) -> DataFrame:
+        """(path, supported, reason): which files of a folder an ingest would take."""
+        return files.listing(files.list_files(self.spark, folder, recursive))
+
+    def sql(self, query: str, prefix: str = "") -> DataFrame:
+        """A query over the graph's tables as views: nodes, edges, evidence, edge_evidence, metric_values, kpi_candidates, document_cache."""
+        self.graph().register_views(prefix)
+        return self.spark.sql(query)
+
     # Tools.
 
     def nodes_by_id(self, ids: list[str]) -> DataFrame:

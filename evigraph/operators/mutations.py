@@ -133,13 +133,13 @@ def removed(g: Graph, ids: DataFrame) -> dict[str, DataFrame]:
     """The rows that `remove_nodes` takes from a graph whose edges all have evidence: the nodes ids(id), their evidence, values and cache rows, the edges
     at them or left without evidence, and pairs of either. Only edges that lose evidence are looked at again."""
     at = lambda column: ids.withColumnRenamed("id", column)
-    evidence = g.evidence.join(at("source_node_id"), "source_node_id", "left_semi").select(*g.evidence.columns)
-    lost = g.edge_evidence.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select("edge_id", "evidence_id")
+    evidence = G.shared(g.evidence.join(at("source_node_id"), "source_node_id", "left_semi").select(*g.evidence.columns))
+    lost = G.shared(g.edge_evidence.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select("edge_id", "evidence_id"))
     touched = lost.select("edge_id").distinct()
     rest = g.edge_evidence.join(touched, "edge_id", "left_semi").join(lost, ["edge_id", "evidence_id"], "left_anti").select("edge_id").distinct()
     bare = touched.join(rest, "edge_id", "left_anti").select(F.col("edge_id").alias("id"))
     gone = [g.edges.join(at(end), end, "left_semi").select("id") for end in ("from_id", "to_id")]
-    edges = g.edges.join(reduce(DataFrame.unionByName, gone, bare).distinct(), "id", "left_semi").select(*g.edges.columns)
+    edges = G.shared(g.edges.join(reduce(DataFrame.unionByName, gone, bare).distinct(), "id", "left_semi").select(*g.edges.columns))
     pairs = g.edge_evidence.join(edges.select(F.col("id").alias("edge_id")), "edge_id", "left_semi").select("edge_id", "evidence_id")
     values = [g.metric_values.join(at(c), c, "left_semi").select(*g.metric_values.columns) for c in ("kpi_node_id", "metric_node_id")]
     return {

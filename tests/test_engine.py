@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from evigraph.engine import Engine, NotFound, ToolServer
+from evigraph.engine import WORKSPACE, Engine, NotFound, ToolServer
 from evigraph.operators import extract, mutations, tree
 from evigraph.sources import parse, snapshot
 from evigraph.sources.commits import Change, Commits, Conflict
@@ -351,6 +351,24 @@ def test_a_writer_that_stops_after_any_step_leaves_the_old_state(spark, engine,
     assert engine.graph().nodes.count() == 5 and engine.graph().edges.count() == 4 and engine.log.numbers() == [2]
 
 
+def test_upkeep(spark, engine, tmp_path):
+    flagged = [("a", "Risk", True, 0.5), ("b", "Risk", True, 0.9), ("c", "Kpi", True, 0.5), ("d", "Risk", False, 0.5)]
+    nodes = spark.createDataFrame([(i, kind, i, "{}", c, tainted, True, 1, 1) for i, kind, tainted, c in flagged], WORKSPACE["nodes"].schema)
+    blobs = spark.createDataFrame([(s, bytearray(b"x")) for s in "xyz"], WORKSPACE["blobs"].schema)
+    cache = spark.createDataFrame([("p", "x", "s", 1, "a"), ("q", "x", "s", 1, "b"), ("r", "y", "s", 1, "c")], WORKSPACE["document_cache"].schema)
+    engine._commit(0, {"nodes": Change(put=nodes), "blobs": Change(put=blobs), "document_cache": Change(put=cache)}, "made")
+    assert engine.clear_review_flags() == 1
+    assert [r["id"] for r in engine.sql("SELECT id FROM t_nodes WHERE requires_human_review ORDER BY id", "t_").collect()] == ["b", "c", "d"]
+    assert {tuple(r) for r in engine.blob_use().collect()} == {("x", 2), ("y", 1), ("z", 0)}
+    assert engine.drop_unused_blobs() == 1 and {r["sha256"] for r in engine.log.read("blobs").collect()} == {"x", "y"}
+    for name in ("a.md", "b.exe", "plain", "node_modules/c.md"):
+        path = tmp_path / "docs" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("x")
+    got = {r["path"].rsplit("/", 1)[1]: (r["supported"], r["reason"]) for r in engine.preview(str(tmp_path / "docs")).collect()}
+    assert got == {"a.md": (True, None), "b.exe": (False, "unsupported: .exe"), "plain": (False, "no extension")}
+
+
 def test_an_ingest_that_another_writer_overtakes_raises(spark, engine, monkeypatch):
     facts = Engine._facts
 
