@@ -12,7 +12,7 @@ import json
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx as J
@@ -23,10 +23,12 @@ from ..schema import Graph
 
 MOST_TOP, MOST_CHILDREN, MOST_SUPPORT = 10, 10, 20
 EVIDENCE_LIMIT = {"count": 24, "sum": 32}
+#: Evidence ids in a resolution's row; what facets add has no limit of its own, so that the rest is counted there and listed by `evidence`.
+MOST_SHOWN = 1000
 #: Facets by edge kind and kind of the node at the other end.
 FACETS = {"function": ("InFunction", "Function"), "product": ("ForProduct", "Product"), "line_of_business": ("ForProduct", "Product"), "lineofbusiness": ("ForProduct", "Product"), "lob": ("ForProduct", "Product")}
 MIN_CONFIDENCE, MAX_AGE_DAYS = 0.7, 30
-RESOLUTION = "lens_id string, measure_type string, state string, value double, unit string, confidence double, observed_at long, evidence_ids array<string>, gaps array<string>, supporting array<string>, explanation string"
+RESOLUTION = "lens_id string, measure_type string, state string, value double, unit string, confidence double, observed_at long, evidence_ids array<string>, gaps array<string>, supporting array<string>, explanation string, lineage_at long, n_evidence long"
 
 
 class LensError(ValueError):
@@ -269,29 +271,39 @@ def _members(g: Graph, lenses: list[tuple[str, dict, dict]]) -> DataFrame:
     return rows.select("lens_id", "id", "kind", "attrs", "t")
 
 
-def member_evidence(g: Graph, members: DataFrame, faceted: DataFrame | None, limits: DataFrame) -> DataFrame:
-    """lens_id, evidence_ids: evidence of MentionedIn edges at members, in order of edge and evidence ids, each once, up to the lens's limit; then, for
-    faceted(lens_id), what facet edges add."""
+def _evidence_rows(g: Graph, members: DataFrame, faceted: DataFrame | None, limits: DataFrame) -> DataFrame:
+    """(lens_id, evidence_id, o): evidence of MentionedIn edges at members, each once, the first by edge and evidence ids up to the lens's limit; then,
+    for faceted(lens_id), what facet edges add. o: (step, edge_id, evidence_id) of the first edge that has it."""
     ids = members.select("lens_id", F.col("id").alias("node")).distinct()
 
     def of(kinds: tuple[str, ...], who: DataFrame, step: int) -> DataFrame:
         ends = G.undirected(g.edges.where(F.col("kind").isin(*kinds))).select("node", "edge_id")
-        return who.join(ends, "node").join(g.edge_evidence, "edge_id").select("lens_id", F.struct(F.lit(step).alias("step"), F.col("edge_id"), F.col("evidence_id")).alias("o"), "evidence_id")
+        o = F.struct(F.lit(step).alias("step"), "edge_id", "evidence_id").alias("o")
+        return who.join(ends, "node").join(g.edge_evidence, "edge_id").select("lens_id", "evidence_id", o).groupBy("lens_id", "evidence_id").agg(F.min("o").alias("o"))
+
+    # The bound is a literal: each task keeps that many rows of a lens before they are exchanged.
+    first = of(("MentionedIn",), ids, 0).withColumn("k", F.row_number().over(Window.partitionBy("lens_id").orderBy("o"))).where(F.col("k") <= max(EVIDENCE_LIMIT.values()))
+    rows = first.join(F.broadcast(limits), "lens_id").where("k <= most").select("lens_id", "evidence_id", "o")
+    if faceted is None:
+        return rows
+    more = of(("InFunction", "ForProduct"), ids.join(F.broadcast(faceted), "lens_id", "left_semi"), 1)
+    return rows.unionByName(more.join(rows.select("lens_id", "evidence_id"), ["lens_id", "evidence_id"], "left_anti"))
 
-    first = of(("MentionedIn",), ids, 0).groupBy("lens_id", "evidence_id").agg(F.min("o").alias("o"))
-    from pyspark.sql import Window
 
-    order = Window.partitionBy("lens_id").orderBy("o")
-    rows = first.withColumn("k", F.row_number().over(order)).join(F.broadcast(limits), "lens_id").where("k <= most").select("lens_id", "evidence_id", "o")
+def member_evidence(g: Graph, members: DataFrame, faceted: DataFrame | None, limits: DataFrame) -> DataFrame:
+    """lens_id, evidence_ids (the first MOST_SHOWN, in order), n_evidence, lineage_at (the newest time of all of the evidence)."""
+    rows = _evidence_rows(g, members, faceted, limits)
     if faceted is not None:
-        more = of(("InFunction", "ForProduct"), ids.join(F.broadcast(faceted), "lens_id", "left_semi"), 1).groupBy("lens_id", "evidence_id").agg(F.min("o").alias("o"))
-        rows = rows.unionByName(more.join(rows.select("lens_id", "evidence_id"), ["lens_id", "evidence_id"], "left_anti"))
-    return rows.groupBy("lens_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "evidence_id"))), lambda x: x["evidence_id"]).alias("evidence_ids"))
+        rows = G.shared(rows)
+    times = g.evidence.select(F.col("id").alias("evidence_id"), "ts")
+    newest = rows.join(times, "evidence_id", "left").groupBy("lens_id").agg(F.count("*").alias("n_evidence"), F.max("ts").alias("lineage_at"))
+    shown = rows.withColumn("k", F.row_number().over(Window.partitionBy("lens_id").orderBy("o"))).where(F.col("k") <= MOST_SHOWN)
+    listed = shown.groupBy("lens_id").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["evidence_id"]).alias("evidence_ids"))
+    return newest.join(listed, "lens_id")
 
 
-def _aggregate(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> DataFrame:
-    """count and sum measures."""
-    spark = g.nodes.sparkSession
+def _in_time(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> tuple[DataFrame, Column, dict[str, str]]:
+    """(members with amount, timeless and in, the unit of a lens, what is wrong with a lens's as_of by lens)."""
     members = _members(g, lenses)
     keep, applies, amount, unit, bad = F.lit(True), F.lit(False), F.lit(None).cast("double"), F.lit("count"), {}
     for i, lens, _ in lenses:
@@ -308,12 +320,30 @@ def _aggregate(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> Data
                 amount = F.when(here, J.number_at(F.col("attrs"), name)).otherwise(amount)
     rows = members.where(~F.col("lens_id").isin(*bad)) if bad else members
     rows = rows.withColumn("amount", amount).withColumn("timeless", applies & F.col("t").isNull()).withColumn("in", ~F.col("timeless") & keep)
-    sums = rows.groupBy("lens_id").agg(F.count(F.when(F.col("in"), 1)).alias("n"), F.count(F.when(F.col("timeless"), 1)).alias("timeless"), F.sum(F.when(F.col("in"), F.col("amount"))).alias("total"), F.slice(F.array_sort(F.collect_set(F.when(F.col("in"), F.col("id")))), 1, MOST_SUPPORT).alias("supporting"))
-    table = [(i, lens["measure"]["type"], bool(lens["measure"].get("field") or lens["measure"].get("attr")), bad.get(i), EVIDENCE_LIMIT[lens["measure"]["type"]]) for i, lens, _ in lenses]
-    all_lenses = spark.createDataFrame(table, "lens_id string, measure_type string, named boolean, wrong string, most int")
+    return rows, unit, bad
+
+
+def _limits(g: Graph, lenses: list[tuple[str, dict, dict]]) -> tuple[DataFrame, DataFrame | None]:
+    """(lens_id, most) of lenses, and (lens_id) of those with a facet, if any."""
+    make = g.nodes.sparkSession.createDataFrame
     faceted = [(i,) for i, _, c in lenses if has_facet(c["selector"])]
-    evidence = member_evidence(g, rows.where("in"), spark.createDataFrame(faceted, "lens_id string") if faceted else None, all_lenses.select("lens_id", "most"))
-    out = all_lenses.join(sums, "lens_id", "left").join(evidence, "lens_id", "left")
+    return make([(i, EVIDENCE_LIMIT[x["measure"]["type"]]) for i, x, _ in lenses], "lens_id string, most int"), make(faceted, "lens_id string") if faceted else None
+
+
+def _aggregate(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> DataFrame:
+    """count and sum measures."""
+    rows, unit, bad = _in_time(g, lenses, now)
+    inside = lambda c: F.when(F.col("in"), c)
+    sums = rows.groupBy("lens_id").agg(
+        F.count(inside(F.lit(1))).alias("n"), F.count(F.when(F.col("timeless"), 1)).alias("timeless"), F.sum(inside(F.col("amount"))).alias("total"),
+    )
+    least = rows.where("in").select("lens_id", "id").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lens_id").orderBy("id"))).where(F.col("k") <= MOST_SUPPORT)
+    supporting = least.groupBy("lens_id").agg(F.array_sort(F.collect_list("id")).alias("supporting"))
+    table = [(i, lens["measure"]["type"], bool(lens["measure"].get("field") or lens["measure"].get("attr")), bad.get(i)) for i, lens, _ in lenses]
+    all_lenses = g.nodes.sparkSession.createDataFrame(table, "lens_id string, measure_type string, named boolean, wrong string")
+    limits, faceted = _limits(g, lenses)
+    evidence = member_evidence(g, rows.where("in"), faceted, limits)
+    out = all_lenses.join(sums, "lens_id", "left").join(supporting, "lens_id", "left").join(evidence, "lens_id", "left")
     is_sum, none = F.col("measure_type") == "sum", F.array().cast("array<string>")
     value = F.when(F.col("wrong").isNotNull(), None).when(is_sum, F.col("total")).otherwise(F.coalesce("n", F.lit(0)).cast("double"))
     ids = F.coalesce("evidence_ids", none)
@@ -321,7 +351,7 @@ def _aggregate(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> Data
         F.array_compact(F.array(F.when(is_sum & ~F.col("named"), F.lit("missing_sum_field")), F.when(is_sum & F.col("named") & F.col("total").isNull(), F.lit("sum_no_numeric_values")), F.when(F.size(ids) == 0, F.lit("aggregate_not_evidence_backed")), F.when(F.coalesce("timeless", F.lit(0)) > 0, F.lit("temporal_scope_partial"))))
     )
     state = F.when(value.isNull(), "unknown").otherwise("resolved")
-    return out.select("lens_id", "measure_type", state.alias("state"), value.alias("value"), unit.alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), ids.alias("evidence_ids"), gaps.alias("gaps"), F.coalesce("supporting", none).alias("supporting"), F.col("wrong").alias("explanation"))
+    return out.select("lens_id", "measure_type", state.alias("state"), value.alias("value"), unit.alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), ids.alias("evidence_ids"), gaps.alias("gaps"), F.coalesce("supporting", none).alias("supporting"), F.col("wrong").alias("explanation"), "lineage_at", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
 def ref_kpi(g: Graph, asked: DataFrame, now: int) -> DataFrame:
@@ -336,7 +366,7 @@ def ref_kpi(g: Graph, asked: DataFrame, now: int) -> DataFrame:
     values = values.where(keep & (F.col("cutoff").isNull() | (F.col("at") <= F.col("cutoff"))))
     clash = values.groupBy("lens_id", "kpi", "at", ascii_lower(F.col("unit")).alias("u")).agg((F.max("value") - F.min("value") > series.EPSILON).alias("c")).groupBy("lens_id", "kpi").agg(F.bool_or("c").alias("conflict"))
     last = values.groupBy("lens_id", "kpi").agg(F.max(F.struct("at", "observed_at", "id", "value", "unit", "evidence_id")).alias("m"))
-    conf = g.evidence.select(F.col("id").alias("v"), F.col("confidence").alias("vc"))
+    conf = g.evidence.select(F.col("id").alias("v"), F.col("confidence").alias("vc"), F.col("ts").alias("vt"))
     attrs = g.nodes.where("kind = 'Kpi'").select(F.col("id").alias("kpi_id"), J.number_at(F.col("attrs"), "value").alias("av"), F.col("confidence").alias("ac"), J.unit_text(J.text_at(F.col("attrs"), "unit")).alias("au"))
     rows = rows.join(last, ["lens_id", "kpi"], "left").join(clash, ["lens_id", "kpi"], "left").join(attrs, "kpi_id", "left")
     rows = rows.join(conf, F.col("m.evidence_id") == F.col("v"), "left")
@@ -346,6 +376,7 @@ def ref_kpi(g: Graph, asked: DataFrame, now: int) -> DataFrame:
     return rows.select(
         "lens_id", "kpi", "kpi_id", F.when(value.isNull(), "unknown").otherwise("resolved").alias("state"), value.alias("value"), F.when(seen, F.col("m.unit")).otherwise(F.col("au")).alias("unit"), F.when(seen, F.col("vc")).otherwise(F.when(F.col("av").isNotNull(), F.col("ac"))).alias("confidence"),
         F.col("m.at").alias("observed_at"), F.when(seen & F.col("v").isNotNull(), F.array("v")).otherwise(none).alias("evidence_ids"), gaps.alias("gaps"), F.when(F.col("kpi_id").isNotNull(), F.array("kpi_id")).otherwise(none).alias("supporting"),
+        F.when(seen, F.col("vt")).alias("lineage_at"),
     )
 
 
@@ -376,7 +407,7 @@ def _referenced(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> Dat
         linked = target.join(F.broadcast(is_derived), "lens_id", "left_semi").join(given.select("lens_id").distinct(), "lens_id", "left_anti").join(g.edges.where("kind = 'DerivedFrom'").select(F.col("from_id").alias("kpi_id"), F.col("to_id").alias("input")), "kpi_id").select("lens_id", "input")
         inputs = given.unionByName(linked).distinct()
         parts = ref_kpi(g, inputs.join(asked.select("lens_id", "period", "cutoff"), "lens_id").select("lens_id", F.col("input").alias("kpi"), "period", "cutoff"), now)
-        sums = parts.groupBy("lens_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.when(F.col("state") == "unknown", F.col("kpi")))), 1, 4).alias("open"), F.min("confidence").alias("least"), F.flatten(F.array_sort(F.collect_list("evidence_ids"))).alias("more"), F.array_sort(F.collect_set("kpi_id")).alias("ids"))
+        sums = parts.groupBy("lens_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(F.when(F.col("state") == "unknown", F.col("kpi")))), 1, 4).alias("open"), F.min("confidence").alias("least"), F.flatten(F.array_sort(F.collect_list("evidence_ids"))).alias("more"), F.array_sort(F.collect_set("kpi_id")).alias("ids"), F.max("lineage_at").alias("newest"))
         out = out.join(sums, "lens_id", "left").join(is_derived.withColumn("d", F.lit(True)), "lens_id", "left")
         d = F.coalesce("d", F.lit(False))
         failed = d & (F.coalesce(F.size("open"), F.lit(0)) > 0)
@@ -384,13 +415,15 @@ def _referenced(g: Graph, lenses: list[tuple[str, dict, dict]], now: int) -> Dat
             "lens_id", F.when(d, "derived").otherwise("ref_kpi").alias("measure_type"), F.when(failed, "unknown").otherwise(F.col("state")).alias("state"), F.when(~failed, F.col("value")).alias("value"), "unit", F.when(d & ~failed, F.least("confidence", "least")).when(~failed, F.col("confidence")).alias("confidence"), "observed_at",
             F.when(d, F.array_distinct(F.concat("evidence_ids", F.coalesce("more", F.array().cast("array<string>"))))).otherwise(F.col("evidence_ids")).alias("evidence_ids"), F.when(failed, F.array_append("gaps", F.lit("derived_inputs_unresolved"))).otherwise(F.col("gaps")).alias("gaps"),
             F.array_distinct(F.concat("supporting", F.coalesce("ids", F.array().cast("array<string>")))).alias("supporting"), F.when(failed, F.concat(F.lit("unresolved inputs: "), F.array_join("open", ", "))).alias("explanation"),
+            F.greatest("lineage_at", "newest").alias("lineage_at"),
         )
     else:
-        out = out.select("lens_id", kind.alias("measure_type"), "state", "value", "unit", "confidence", "observed_at", "evidence_ids", "gaps", "supporting", F.lit(None).cast("string").alias("explanation"))
+        out = out.select("lens_id", kind.alias("measure_type"), "state", "value", "unit", "confidence", "observed_at", "evidence_ids", "gaps", "supporting", F.lit(None).cast("string").alias("explanation"), "lineage_at")
+    out = out.withColumn("n_evidence", F.size("evidence_ids").cast("long"))
     if wrong:
         none = F.array().cast("array<string>")
         bad = spark.createDataFrame(wrong, "lens_id string, measure_type string, explanation string")
-        out = out.unionByName(bad.select("lens_id", "measure_type", F.lit("unknown").alias("state"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), none.alias("evidence_ids"), F.array(F.lit("invalid_as_of")).alias("gaps"), none.alias("supporting"), "explanation"))
+        out = out.unionByName(bad.select("lens_id", "measure_type", F.lit("unknown").alias("state"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), none.alias("evidence_ids"), F.array(F.lit("invalid_as_of")).alias("gaps"), none.alias("supporting"), "explanation", F.lit(None).cast("long").alias("lineage_at"), F.lit(0).cast("long").alias("n_evidence")))
     return out
 
 
@@ -407,10 +440,30 @@ def measures(g: Graph, config: dict, now: int, only: list[str] | None = None) ->
     if other := [(i, x["measure"]["type"]) for i, x, _ in todo if not any(x["measure"]["type"] in t for t, _ in groups)]:
         none = F.array().cast("array<string>")
         rows = spark.createDataFrame(other, "lens_id string, measure_type string")
-        parts.append(rows.select("lens_id", "measure_type", F.lit("unknown").alias("state"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), none.alias("evidence_ids"), F.array(F.lit("unsupported_measure_lineage")).alias("gaps"), none.alias("supporting"), F.lit(None).cast("string").alias("explanation")))
+        parts.append(rows.select("lens_id", "measure_type", F.lit("unknown").alias("state"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("observed_at"), none.alias("evidence_ids"), F.array(F.lit("unsupported_measure_lineage")).alias("gaps"), none.alias("supporting"), F.lit(None).cast("string").alias("explanation"), F.lit(None).cast("long").alias("lineage_at"), F.lit(0).cast("long").alias("n_evidence")))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], RESOLUTION)
 
 
+def evidence(g: Graph, config: dict, now: int, only: list[str] | None = None) -> DataFrame:
+    """The evidence lineage of all visible lenses, a row each and none left out: lens_id, step (mention, facet or value), edge_id (null for values),
+    evidence_id, and of evidence that is there source_node_id, source_node_name (else its id), source_path, source_type, row_ref, quote, ts."""
+    validate(config)
+    by_id = {x["id"]: x for x in config["lenses"]}
+    todo = [(i, by_id[i], c) for i, c in contexts(config).items() if only is None or i in only]
+    parts = [g.nodes.sparkSession.createDataFrame([], "lens_id string, step string, edge_id string, evidence_id string")]
+    if counted := [x for x in todo if x[1]["measure"]["type"] in ("count", "sum")]:
+        limits, faceted = _limits(g, counted)
+        rows = _evidence_rows(g, _in_time(g, counted, now)[0].where("in"), faceted, limits)
+        parts.append(rows.select("lens_id", F.when(F.col("o.step") == 0, "mention").otherwise("facet").alias("step"), "o.edge_id", "evidence_id"))
+    if valued := [x for x in todo if x[1]["measure"]["type"] in ("ref_kpi", "derived")]:
+        rows = _referenced(g, valued, now).select("lens_id", F.explode("evidence_ids").alias("evidence_id"))
+        parts.append(rows.select("lens_id", F.lit("value").alias("step"), F.lit(None).cast("string").alias("edge_id"), "evidence_id"))
+    known = g.evidence.select(F.col("id").alias("evidence_id"), "source_node_id", "source_type", "row_ref", "quote", "ts")
+    names = g.nodes.select(F.col("id").alias("source_node_id"), "name", J.text_at(F.col("attrs"), "source_path").alias("source_path"))
+    rows = reduce(DataFrame.unionByName, parts).join(known, "evidence_id", "left").join(names, "source_node_id", "left")
+    return rows.withColumn("source_node_name", F.coalesce("name", "source_node_id")).drop("name")
+
+
 # Health.
 
 
@@ -424,14 +477,15 @@ def unknown_tokens(rule: dict) -> set[str]:
 
 
 def health_column(rule: dict | None, now: int) -> Column:
-    """good, watch, at_risk or unknown, from a resolution's columns."""
+    """good, watch, at_risk or unknown, from a resolution's columns. Its age is that of the observation, else of the newest evidence behind it."""
     unknown = F.lit("unknown")
     if not rule:
         return unknown
     value, confidence = F.col("value"), F.col("confidence")
     least = F.lit(float(rule.get("min_confidence", MIN_CONFIDENCE)))
-    age = F.floor((F.lit(now) - F.col("observed_at")) / 86400)
-    stale = F.col("observed_at").isNull() | (age > int(rule.get("max_age_days", MAX_AGE_DAYS)))
+    seen = F.coalesce("observed_at", "lineage_at")
+    age = F.floor((F.lit(now) - seen) / 86400)
+    stale = seen.isNull() | (age > int(rule.get("max_age_days", MAX_AGE_DAYS)))
     conflict = F.exists("gaps", lambda x: x.contains("conflict"))
     weak = confidence.isNull() | (confidence < least)
     tokens = unknown_tokens(rule)

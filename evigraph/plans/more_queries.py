@@ -193,6 +193,70 @@ def lens_resolution(spark, sf_dir):
     return lens.resolve(P.graph(spark, sf_dir, ("nodes", "edges")), LENSES, ANCHOR).select("lens_id", "state", "value", "unit", "observed_at", "health")
 
 
+#: Lenses over evidence of mentions, of facets and of values.
+SOURCED = {
+    "summary": {"id": "sourced", "name": "Sourced", "lenses": ["kpis", "all", "nation", "either", "sized", "views", "joint"]},
+    "lenses": [
+        {"id": "kpis", "label": "KPIs", "selector": {"type": "kind", "kind": "Kpi"}, "measure": {"type": "count"}, "health": {"type": "freshness", "max_age_days": 30}},
+        {"id": "all", "label": "All", "selector": {"type": "saved_query", "query": "all_concepts"}, "measure": {"type": "sum", "field": "size"}, "health": {"type": "presence", "unknown_when": ["stale", "missing_evidence"]}},
+        {"id": "nation", "label": "Nation", "selector": {"type": "facet", "facet": "function", "equals": "Nation_11"}, "measure": {"type": "count"}, "health": {"type": "staleness", "max_age_days": 30}},
+        {"id": "either", "label": "Either", "selector": {"type": "composite", "or": [{"type": "kind", "kind": "Kpi"}, {"type": "facet", "facet": "function", "equals": "nation_11"}]}, "measure": {"type": "count"}, "health": {"type": "freshness", "max_age_days": 30}},
+        {"id": "sized", "label": "Sized", "selector": {"type": "kind", "kind": "Product"}, "measure": {"type": "sum", "field": "size"}, "health": {"type": "freshness"}},
+        {"id": "views", "label": "Views", "selector": {"type": "kind", "kind": "Kpi"}, "measure": {"type": "ref_kpi", "kpi": "kpi.view"}, "health": {"type": "presence", "unknown_when": "stale"}},
+        {"id": "joint", "label": "Joint", "selector": {"type": "kind", "kind": "Kpi"}, "measure": {"type": "derived", "kpi": "kpi.view", "inputs": ["kpi.click", "kpi.error"]}, "health": {"type": "freshness"}},
+    ],
+}
+_SOURCED_SQL = """--more f AS (SELECT DISTINCT n.id FROM g_edges e JOIN g_nodes k ON k.kind = 'Function' AND lower(k.name) = 'nation_11' AND k.id IN (e.from_id, e.to_id)
+  JOIN g_nodes n ON n.id = CASE WHEN e.from_id = k.id THEN e.to_id ELSE e.from_id END WHERE e.kind = 'InFunction'),
+members AS (SELECT 'kpis' AS lens_id, id FROM g_nodes WHERE kind = 'Kpi' UNION ALL SELECT 'all', id FROM g_nodes WHERE kind <> 'Document' UNION ALL SELECT 'nation', id FROM f
+  UNION ALL SELECT 'either', id FROM (SELECT id FROM f UNION SELECT id FROM g_nodes WHERE kind = 'Kpi') UNION ALL SELECT 'sized', id FROM g_nodes WHERE kind = 'Product'),
+ends AS (SELECT id AS edge_id, kind, from_id AS node FROM g_edges UNION ALL SELECT id, kind, to_id FROM g_edges),
+touched AS (SELECT lens_id, evidence_id, CASE WHEN kind = 'MentionedIn' THEN 'mention' ELSE 'facet' END AS step, min(edge_id) AS edge_id FROM members JOIN ends ON id = node JOIN g_lineage USING (edge_id)
+  WHERE kind = 'MentionedIn' OR (kind IN ('InFunction', 'ForProduct') AND lens_id IN ('nation', 'either')) GROUP BY 1, 2, 3),
+mentioned AS (SELECT * FROM touched WHERE step = 'mention' QUALIFY row_number() OVER (PARTITION BY lens_id ORDER BY edge_id, evidence_id) <= CASE WHEN lens_id IN ('all', 'sized') THEN 32 ELSE 24 END),
+newest AS (SELECT kpi_node_id, evidence_id, coalesce(as_of, observed_at) AS seen FROM g_metric_values QUALIFY row_number() OVER (PARTITION BY kpi_node_id ORDER BY coalesce(as_of, observed_at) DESC, observed_at DESC, id DESC) = 1),
+lines AS (SELECT lens_id, step, edge_id, evidence_id FROM mentioned
+  UNION ALL SELECT lens_id, step, edge_id, evidence_id FROM touched t WHERE step = 'facet' AND NOT EXISTS (SELECT 1 FROM mentioned m WHERE m.lens_id = t.lens_id AND m.evidence_id = t.evidence_id)
+  UNION ALL SELECT 'views', 'value', NULL, evidence_id FROM newest WHERE kpi_node_id = 'kpi.view' UNION ALL SELECT 'joint', 'value', NULL, evidence_id FROM newest WHERE kpi_node_id IN ('kpi.view', 'kpi.click', 'kpi.error')),
+sources AS (SELECT DISTINCT evidence_id, source_node_id, ts FROM g_lineage),
+"""
+
+
+def _sourced(spark, sf_dir) -> Graph:
+    g = P.graph(spark, sf_dir, ("nodes", "edges"))
+    lines = graph.shared(P.frame(spark, sf_dir, "g_lineage"))
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    known = lines.select(F.col("evidence_id").alias("id"), "source_node_id", F.lit("Document").alias("source_type"), none.alias("quote"), none.alias("row_ref"), none.alias("blob_sha256"), "ts", F.lit("Rule").alias("extractor"), F.lit(0.75).alias("confidence"), no.alias("is_tainted"), no.alias("requires_human_review")).distinct()
+    return Graph(**{**g.frames(), "evidence": known, "edge_evidence": lines.where("edge_id IS NOT NULL").select("edge_id", "evidence_id")})
+
+
+@query(
+    "lens_evidence",
+    _SOURCED_SQL + """named AS (SELECT * FROM lines JOIN sources USING (evidence_id) LEFT JOIN g_nodes n ON n.id = source_node_id)
+SELECT lens_id, step, edge_id, evidence_id, source_node_id, coalesce(name, source_node_id) AS source_node_name, ts FROM named""",
+    ("g_nodes", "g_edges", "g_metric_values", "g_lineage"),
+)
+def lens_evidence(spark, sf_dir):
+    """The evidence behind lenses: of mentions up to their limits, of facets and values all."""
+    return lens.evidence(_sourced(spark, sf_dir), SOURCED, ANCHOR).select("lens_id", "step", "edge_id", "evidence_id", "source_node_id", "source_node_name", "ts")
+
+
+@query(
+    "lens_freshness",
+    _SOURCED_SQL + f"""ages AS (SELECT lens_id, count(*) AS n_evidence, max(ts) AS lineage_at FROM lines JOIN sources USING (evidence_id) GROUP BY lens_id),
+clash AS (SELECT count(*) > 0 AS c FROM (SELECT 1 FROM g_metric_values WHERE kpi_node_id = 'kpi.view' GROUP BY coalesce(as_of, observed_at), lower(unit) HAVING max(value) - min(value) > 2.220446049250313e-16)),
+x AS (SELECT l.lens_id, coalesce(n_evidence, 0) AS n_evidence, lineage_at, CASE WHEN l.lens_id IN ('views', 'joint') THEN (SELECT seen FROM newest WHERE kpi_node_id = 'kpi.view') END AS observed_at FROM (VALUES ('kpis'), ('all'), ('nation'), ('either'), ('sized'), ('views'), ('joint')) l(lens_id) LEFT JOIN ages USING (lens_id)),
+kept AS (SELECT lens_id, string_agg(id, ',' ORDER BY id) AS supporting FROM (SELECT * FROM members QUALIFY row_number() OVER (PARTITION BY lens_id ORDER BY id) <= 20) GROUP BY lens_id UNION ALL SELECT 'views', 'kpi.view' UNION ALL SELECT 'joint', 'kpi.view,kpi.click,kpi.error')
+SELECT lens_id, n_evidence, lineage_at, observed_at, CASE WHEN observed_at IS NOT NULL THEN 0.75 END AS confidence, CASE WHEN observed_at IS NOT NULL AND (SELECT c FROM clash) THEN 'conflicting_observations' WHEN n_evidence = 0 THEN 'aggregate_not_evidence_backed' ELSE '' END AS gaps,
+coalesce(supporting, '') AS supporting, CASE WHEN floor(({ANCHOR} - coalesce(observed_at, lineage_at)) / 86400) <= 30 THEN 'good' ELSE 'unknown' END AS health FROM x LEFT JOIN kept USING (lens_id)""",
+    ("g_nodes", "g_edges", "g_metric_values", "g_lineage"),
+)
+def lens_freshness(spark, sf_dir):
+    """Verdicts by age: of an observation, else of the newest evidence behind a lens."""
+    rows = lens.resolve(_sourced(spark, sf_dir), SOURCED, ANCHOR)
+    return rows.select("lens_id", "n_evidence", "lineage_at", "observed_at", "confidence", F.array_join("gaps", ",").alias("gaps"), F.array_join("supporting", ",").alias("supporting"), "health")
+
+
 @query("event_windows", "SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return jobs.event_windows(table(spark, sf_dir, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

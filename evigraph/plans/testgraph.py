@@ -58,6 +58,14 @@ SELECT 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING
 ) v""",
     "g_edge_evidence": """
 SELECT DISTINCT 'e.part.' || CAST(l_partkey AS STRING) AS edge_id, 'ev.' || CAST(l_orderkey AS STRING) || '.' || CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey AS STRING) || '.' || CAST(l_suppkey AS STRING) AS evidence_id FROM lineitem""",
+    "g_lineage": """
+SELECT DISTINCT edge_id, evidence_id, source_node_id, CASE WHEN x % 9 = 0 THEN @NULLI ELSE CAST(seen AS BIGINT) END AS ts FROM (
+SELECT edge_id, 'ev.doc.' || CAST(x AS STRING) AS evidence_id, 'market.' || CAST(x % 7 AS STRING) AS source_node_id, x, 1704067200 + (x % 13) * 86400 AS seen FROM (
+  SELECT edge_id, least_id AS x FROM (SELECT 'e.doc.' || CAST(min(doc_id) AS STRING) AS edge_id, min(doc_id) AS least_id FROM documents GROUP BY 'doc.' || substr(@SHA(coalesce(text, '')), 1, 8), doc_id % 30) a
+  UNION ALL SELECT 'e.doc.' || CAST(min(doc_id) AS STRING), max(doc_id) - max(doc_id) % 4 FROM documents GROUP BY 'doc.' || substr(@SHA(coalesce(text, '')), 1, 8), doc_id % 30) d
+UNION ALL SELECT 'e.fn.' || CAST(c_custkey AS STRING), 'ev.fn.' || CAST(c_custkey - c_custkey % 3 AS STRING), 'function.' || CAST((c_custkey - c_custkey % 3) % 30 AS STRING), c_custkey - c_custkey % 3, 1696000000 + ((c_custkey - c_custkey % 3) % 5) * 86400 FROM customer
+UNION ALL SELECT @NULLS, 'ev.m.' || CAST(event_id AS STRING), 'kpi.' || event_type, event_id, @EPOCH(ts) FROM events
+) l""",
     "g_metric_values": """
 SELECT 'mv.' || CAST(event_id AS STRING) AS id, 'kpi.' || event_type AS kpi_node_id, 'metric.' || event_type AS metric_node_id, CAST(value AS DOUBLE) AS value, CASE WHEN event_id % 50 = 0 THEN 'COUNT' ELSE 'Count' END AS unit, @NULLI AS period_start, @NULLI AS period_end,
   CASE WHEN event_id % 3 = 0 THEN @EPOCH(date_trunc('day', ts)) END AS as_of, @EPOCH(ts) AS observed_at, 'ev.m.' || CAST(event_id AS STRING) AS evidence_id FROM events""",
