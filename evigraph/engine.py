@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import providers
 from .functions.jsonx import patched
-from .operators import diff, extract, graph, mutations, search, series, tree
+from .functions.text import ascii_lower
+from .operators import categories, diff, extract, graph, mutations, search, series, tree
 from .operators.textindex import TextIndex
 from .plans import lens
 from .schema import PAGE_SECTIONS, TABLES, Graph
@@ -29,8 +30,12 @@ WORKSPACE = {
     "generations": Spec("id string, name string, created_at long", ("id",)),
     "generation_sources": Spec("generation_id string, path string, sha256 string", ("generation_id", "path")),
     "workspace": Spec("name string, created_at long", ("name",)),
+    "summaries": Spec("scope string, signature string, config string, source string, created_at long, updated_at long", ("scope",)),
+    "categories": Spec("scope string, label string, node_id string, is_headline boolean, size long", ("scope", "node_id"), "scope"),
 }
 GRAPH = tuple(TABLES)
+#: The scope of the summary of all documents.
+DEFAULT = "default"
 FACTS = ("nodes", "edges", "evidence", "edge_evidence", "metric_values")
 
 
@@ -482,17 +487,112 @@ class Engine:
         """A page of the documents whose name or path has a text; the last page, if there are fewer."""
         return _rows(graph.documents_page(graph.document_summaries(self.graph()), text, page, size))
 
-    def resolve_summary(self, config: dict) -> list[dict]:
-        return _rows(lens.resolve(self.graph(), config, self.now()).orderBy("lens_id"))
+    # Summaries. The default one and one for each set of documents that was asked for are rows of the workspace's log, their categories' members too.
+
+    def _scope(self, g: Graph, document_ids: list[str] | None) -> tuple[str, Graph]:
+        """The name of a scope, and the graph in it: all of it, or the concepts that these documents mention and the edges between those."""
+        if not document_ids:
+            return DEFAULT, g
+        ids = self.spark.createDataFrame([(d,) for d in sorted(set(document_ids))], "id string")
+        nodes, edges = graph.scoped_subgraph(g, ids)
+        cache = g.document_cache.join(ids.withColumnRenamed("id", "node_id"), "node_id", "left_semi").select(*g.document_cache.columns)
+        shown = edges.where("kind <> 'MentionedIn'").select(*g.edges.columns)
+        return lens.scope_key(document_ids), Graph(**{**g.frames(), "nodes": nodes.select(*g.nodes.columns), "edges": shown, "document_cache": cache})
+
+    def scope_signature(self, g: Graph) -> str:
+        """What a summary of a graph depends on: its documents' contents, names and kinds, edges, and whether there is a provider."""
+        rows = (g.document_cache.select("path", "sha256", "node_id"), g.nodes.select("id", "kind", "name"), g.edges.select("id", "from_id", "to_id", "kind"))
+        return f"{graph.signature(*rows).first()['signature']}:{int(hasattr(self.provider, 'categories'))}"
+
+    def suggest_summary(self, document_ids: list[str] | None = None, mode: str = "auto") -> dict:
+        """The summary of all documents or of some: scope, config, source (config, cache, llm, rules or empty). Modes for some documents: auto takes the
+        one that is kept if what it was made of is unchanged, cached_only the one that is kept, and raises if there is none, regenerate makes it anew.
+        The default summary is kept until it is restored."""
+        if mode not in ("auto", "cached_only", "regenerate"):
+            raise ValueError(f"no mode {mode}")
+        base = self.version()
+        scope, g = self._scope(self.graph(base), document_ids)
+        known = self.log.read("summaries", base).where(F.col("scope") == scope).first()
+        if known and (scope == DEFAULT or mode == "cached_only"):
+            return {"scope": scope, "config": json.loads(known["config"]), "source": "config" if scope == DEFAULT else "cache"}
+        if mode == "cached_only":
+            raise NotFound(f"no summary of these documents is kept: {scope}")
+        signature = self.scope_signature(g)
+        if known and mode == "auto" and known["signature"] == signature:
+            return {"scope": scope, "config": json.loads(known["config"]), "source": "cache"}
+        if g.nodes.where("kind <> 'Document'").isEmpty():
+            rows, source = self.spark.createDataFrame([], "label string, node_id string, is_headline boolean, size long"), "empty"
+        elif hasattr(self.provider, "categories"):
+            said = graph.shared(categories.suggested(g.nodes, providers.Patient(self.provider)))
+            rows, source = categories.repair(said, g.nodes, g.edges), "llm"
+        else:
+            rows, source = categories.members_by_kind(g.nodes, g.edges), "rules"
+        rows = graph.shared(rows.select("label", "node_id", "is_headline", F.col("size").cast("long").alias("size")))
+        kinds = rows.join(g.nodes.select(F.col("id").alias("node_id"), "kind"), "node_id")
+        found = kinds.groupBy("label").agg(F.max("size").alias("n"), F.array_sort(F.collect_set("kind")).alias("kinds"), F.max(F.when(F.col("is_headline"), F.col("node_id"))).alias("headline"))
+        # at most ten categories, of at most as many kinds as there are
+        heads = [{"label": r["label"], "members": r["kinds"], "headline": r["headline"]} for r in found.orderBy(F.desc("n"), "label").collect()]
+        config = lens.from_categories(heads, {k: k for h in heads for k in h["members"]})
+        lens.validate(config)
+        now = self.now()
+        row = (scope, signature, json.dumps(config, sort_keys=True), source, known["created_at"] if known else now, now)
+        put = self.spark.createDataFrame([row], WORKSPACE["summaries"].schema)
+        old = self.log.read("categories", base).where(F.col("scope") == scope)
+        changes = {"summaries": self._put_summary(base, scope, put), "categories": mutations.difference(old, rows.select(F.lit(scope).alias("scope"), *rows.columns))}
+        self._commit(base, changes, "summarized", scope, reads=("summaries", "categories"))
+        return {"scope": scope, "config": config, "source": source}
+
+    def _put_summary(self, base: int, scope: str, put: DataFrame) -> Change:
+        return mutations.difference(self.log.read("summaries", base).where(F.col("scope") == scope), put)
+
+    def summary_members(self, scope: str) -> DataFrame:
+        """(label, node_id, is_headline, size) of the categories of a summary."""
+        return self.log.read("categories").where(F.col("scope") == scope).drop("scope")
+
+    def default_summary(self) -> dict:
+        """The default configuration, made if there is none, and its lenses' contexts."""
+        config = self.suggest_summary()["config"]
+        return {"config": config, "contexts": lens.contexts(config)}
+
+    def edit_summary(self, **changes) -> dict:
+        """Changes the default configuration as `lens.edit` does."""
+        self.suggest_summary()
+        base = self.version()
+        row = self.log.read("summaries", base).where(F.col("scope") == DEFAULT).first()
+        config = lens.edit(json.loads(row["config"]), **changes)
+        put = self.spark.createDataFrame([(DEFAULT, row["signature"], json.dumps(config, sort_keys=True), row["source"], row["created_at"], self.now())], WORKSPACE["summaries"].schema)
+        self._commit(base, {"summaries": self._put_summary(base, DEFAULT, put)}, "summary edited", DEFAULT, reads=("summaries",))
+        return {"config": config, "contexts": lens.contexts(config)}
+
+    def restore_summary(self) -> dict:
+        """Makes the default configuration anew from the graph."""
+        base = self.version()
+        gone = {name: Change(gone=self.log.read(name, base).where(F.col("scope") == DEFAULT)) for name in ("summaries", "categories")}
+        self._commit(base, gone, "summary dropped", DEFAULT, reads=("summaries", "categories"))
+        return self.default_summary()
+
+    def resolve_summary(self, config: dict | None = None, document_ids: list[str] | None = None) -> list[dict]:
+        """The lenses of a configuration, or of the default one; of some documents, the number of each category's members, which is always good."""
+        if config is None and document_ids:
+            scope = self.suggest_summary(document_ids)["scope"]
+            rows = self.summary_members(scope).groupBy("label").agg(F.count("*").cast("double").alias("value"))
+            lens_id = F.regexp_replace(ascii_lower(F.col("label")), " ", "_").alias("lens_id")
+            gaps = F.array(F.lit("aggregate_not_evidence_backed")).alias("gaps")
+            return _rows(rows.select(lens_id, "label", F.lit("count").alias("measure_type"), F.lit("resolved").alias("state"), "value", F.lit("count").alias("unit"), gaps, F.lit("good").alias("health")).orderBy("lens_id"))
+        return _rows(lens.resolve(self.graph(), config or self.suggest_summary()["config"], self.now()).orderBy("lens_id"))
 
     def resolve_lenses(self, config: dict, only: list[str], document_ids: list[str] | None = None) -> list[dict]:
         """Some lenses alone, child lenses too, over the whole graph or what these documents mention."""
         g = self.graph()
         if document_ids is not None:
-            nodes, edges = graph.scoped(g, self.spark.createDataFrame([(d,) for d in document_ids], "id string"))
+            nodes, edges = graph.scoped_subgraph(g, self.spark.createDataFrame([(d,) for d in document_ids], "id string"))
             g = Graph(**{**g.frames(), "nodes": nodes, "edges": edges})
         return _rows(lens.resolve(g, config, self.now(), only).orderBy("lens_id"))
 
+    def lens_evidence(self, config: dict, only: list[str] | None = None) -> DataFrame:
+        """The evidence behind the lenses, a row each."""
+        return lens.evidence(self.graph(), config, self.now(), only)
+
 
 def _rows(frame: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in frame.collect()]

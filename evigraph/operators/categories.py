@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from . import graph as G
 
 MOST = 10
 OTHER_SHARE = 12
+#: Concepts that a provider is shown at once.
+BATCH = 200
 #: How much a kind counts as a headline.
 HEADLINE_RANK = {"Kpi": 5, "Metric": 4, "Objective": 3, "Initiative": 2, "Decision": 1}
 
@@ -22,6 +25,34 @@ def by_kind(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     return groups.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("label", "n", F.col("h.id").alias("headline_id"), "rank")
 
 
+def members_by_kind(nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
+    """label, node_id, is_headline, size: the members of the largest kinds."""
+    groups = by_kind(nodes, edges, most)
+    rows = nodes.select(F.col("id").alias("node_id"), F.col("kind").alias("label")).join(F.broadcast(groups), "label")
+    return rows.select("label", "node_id", (F.col("node_id") == F.col("headline_id")).alias("is_headline"), F.col("n").alias("size"))
+
+
+def suggested(nodes: DataFrame, provider, batch: int = BATCH) -> DataFrame:
+    """(idx, label, node_id, pos, headline) of what a provider makes of the concepts, some `batch` at a time by a hash of their ids, in any number of
+    tasks: provider.categories(names, kinds) gives a list of label, members and headline, by numbers from 0. Numbers that are none of these, labels
+    without words and members that are no list go. Categories of several batches are one where their labels read the same (`repair`)."""
+    concepts = nodes.where("kind <> 'Document'").select("id", "name", "kind")
+    groups = max(1, -(-concepts.count() // batch))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("id").reset_index(drop=True)
+        ids, out = list(rows["id"]), []
+        for k, c in enumerate(provider.categories(list(rows["name"]), list(rows["kind"]))):
+            label, members = str(c.get("label") or "").strip(), c.get("members")
+            known = [m for m in members if isinstance(m, int) and 0 <= m < len(ids)] if isinstance(members, list) else []
+            if label:
+                out += [(k * groups + int(rows["part"][0]), label, ids[m], pos, m == c.get("headline")) for pos, m in enumerate(known)]
+        return pd.DataFrame(out, columns=["idx", "label", "node_id", "pos", "headline"])
+
+    parts = concepts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    return parts.groupBy("part").applyInPandas(run, "idx int, label string, node_id string, pos int, headline boolean")
+
+
 def repair(suggested: DataFrame, nodes: DataFrame, edges: DataFrame, most: int = MOST) -> DataFrame:
     """label, node_id, is_headline from suggested(idx, label, node_id, pos, headline).
 

@@ -225,6 +225,17 @@ def scoped_subgraph(g: Graph, documents: DataFrame) -> tuple[DataFrame, DataFram
     return nodes, edges
 
 
+def signature(*parts: DataFrame) -> DataFrame:
+    """signature: one text for the rows of some frames as multisets, whatever their order. It is a count and two sums of hashes for each frame, so that
+    partial sums add up, rows that come add to it and rows that go subtract from it."""
+    total = []
+    for k, rows in enumerate(parts):
+        hashed = [F.sum(F.xxhash64(F.lit(f"{salt}{k}"), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rows.columns]).cast("decimal(20,0)")).cast("string") for salt in "ab"]
+        total.append(rows.agg(F.concat_ws(":", F.count("*").cast("string"), *hashed).alias("s")).select(F.lit(k).alias("k"), "s"))
+    every = reduce(DataFrame.unionByName, total)
+    return every.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "|"), 256).alias("signature"))
+
+
 def documents_page(summaries: DataFrame, text: str, page: int, size: int) -> DataFrame:
     """A page of the documents whose name or path contains a text; a page past the end is the last one."""
     want = text.strip().lower()

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import copy
 import datetime as dt
-import json
 import re
 from functools import reduce
 
@@ -520,35 +519,3 @@ def resolve(g: Graph, config: dict, now: int, only: list[str] | None = None) ->
             health = F.when(F.col("lens_id") == lens["id"], health_column(lens.get("health"), now)).otherwise(health)
     labels = g.nodes.sparkSession.createDataFrame([(x["id"], x.get("label") or x["id"], found[x["id"]]["period"], found[x["id"]]["as_of"], found[x["id"]]["parent"]) for x in config["lenses"] if x["id"] in found], "lens_id string, label string, period string, as_of string, parent string")
     return rows.withColumn("health", health).join(F.broadcast(labels), "lens_id")
-
-
-class SummaryFiles:
-    """Configurations and cached summaries of scopes, as JSON files in a folder of the driver."""
-
-    def __init__(self, folder: str):
-        import pathlib
-
-        self.folder = pathlib.Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
-
-    def save_default(self, config: dict) -> None:
-        validate(config)
-        (self.folder / "summary.json").write_text(json.dumps(config, indent=2, sort_keys=True))
-
-    def load_default(self) -> dict | None:
-        path = self.folder / "summary.json"
-        return json.loads(path.read_text()) if path.exists() else None
-
-    def scoped(self, document_ids: list[str], signature: str, make, mode: str = "auto") -> dict | None:
-        """The cached summary of a set of documents, if its signature still holds; else the one made now. Modes: auto, cached_only, regenerate."""
-        path = self.folder / f"scope-{scope_key(document_ids)}.json"
-        known = json.loads(path.read_text()) if path.exists() else None
-        if mode == "cached_only":
-            return known["config"] if known else None
-        if mode != "regenerate" and known and known["signature"] == signature:
-            return known["config"]
-        config = make()
-        path.write_text(json.dumps({"signature": signature, "config": config}, indent=2, sort_keys=True))
-        return config
-
-

@@ -34,6 +34,8 @@ class Provider(Protocol):
 
     def links(self, left: list[str], right: list[str]) -> list[dict]: ...  # from, to (numbers from 0), kind, confidence
 
+    def categories(self, names: list[str], kinds: list[str]) -> list[dict]: ...  # label, members and headline (numbers from 0)
+
     def rationale(self, name: str, quotes: list[str]) -> str: ...
 
     def rerank(self, query: str, previews: list[str]) -> str: ...

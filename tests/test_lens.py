@@ -104,12 +104,45 @@ def test_contexts_and_edits():
     assert made["summary"]["lenses"] == ["a_b", "a_b_2", "lens_3"] and len(made["lenses"][1]["selector"]["or"]) == 2
 
 
-def test_scoped_summaries(tmp_path):
-    files, calls = lens.SummaryFiles(str(tmp_path)), []
-    make = lambda: calls.append(1) or {"n": len(calls)}
-    assert files.scoped(["b", "a"], "s1", make, "cached_only") is None
-    assert files.scoped(["b", "a"], "s1", make) == files.scoped(["a", "b", "a"], "s1", make) == {"n": 1}
-    assert files.scoped(["a", "b"], "s2", make) == {"n": 2} and files.scoped(["a", "b"], "s2", make, "regenerate") == {"n": 3}
+def test_age_is_that_of_the_newest_evidence(g, spark):
+    day = 86400
+    rows = [(f"w{k:02d}", "doc" if k % 2 else "gone", "Document", "q", None, None, None if k == 7 else NOW - (40 - k) * day, "Rule", 0.7, False, False) for k in range(40)]
+    pairs = [("e2", f"w{k:02d}") for k in range(36)] + [("e1", f"w{k:02d}") for k in range(20, 40)]
+    h = Graph(**{**g.frames(), "evidence": spark.createDataFrame(rows, g.evidence.schema), "edge_evidence": spark.createDataFrame(pairs, g.edge_evidence.schema)})
+    fresh = {"type": "freshness", "max_age_days": 10}
+    row = one(h, {"type": "count"}, fresh)
+    assert row.evidence_ids == [f"w{k:02d}" for k in range(24)] and row.n_evidence == 24
+    assert (row.observed_at, row.lineage_at, row.health) == (None, NOW - 17 * day, "unknown")
+    row = one(h, {"type": "sum", "field": "premium.value"}, fresh)
+    assert row.n_evidence == 32 and (row.lineage_at, row.health) == (NOW - 9 * day, "good")
+    facet = {"type": "facet", "facet": "lob", "equals": "motor"}
+    row = one(h, {"type": "count"}, fresh, facet)
+    assert row.n_evidence == 40 and len(set(row.evidence_ids)) == 40 and (row.lineage_at, row.health) == (NOW - day, "good")
+    assert one(h, {"type": "count"}, fresh, {"type": "kind", "kind": "Risk"}).lineage_at is None
+    lines = lens.evidence(h, config({"id": "x", "selector": facet, "measure": {"type": "count"}}), NOW).collect()
+    assert sorted((r.evidence_id, r.edge_id, r.step) for r in lines) == [(f"w{k:02d}", "e2" if k < 24 else "e1", "mention" if k < 24 else "facet") for k in range(24)] + [(f"w{k:02d}", "e1", "facet") for k in range(24, 40)]
+    assert {(r.source_node_id, r.source_node_name) for r in lines} == {("doc", "doc"), ("gone", "gone")}
+
+
+def test_a_lens_keeps_few_rows_of_each_task(g, spark):
+    x = {"id": "x", "selector": {"type": "kind", "kind": "Process"}, "measure": {"type": "count"}}
+    plan = lens.evidence(g, config(x), NOW)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_suggested_categories(g, spark):
+    class Model:
+        def categories(self, names, kinds):
+            at = [k for k, x in enumerate(kinds) if x == "Kpi"]
+            return [{"label": "Numbers", "members": [*at, 99, "no"], "headline": at[0] if at else None}, {"label": " ", "members": [0]}, {"label": "Work", "members": [k for k, x in enumerate(kinds) if x == "Process"]}, {"label": "Odd", "members": 3}]
+
+    for batch in (200, 2):
+        said = categories.suggested(g.nodes, Model(), batch)
+        got = sorted((r["label"], r["node_id"]) for r in said.collect())
+        assert got == [("Numbers", "kpi.a"), ("Numbers", "kpi.b"), ("Numbers", "kpi.c"), ("Work", "p1"), ("Work", "p2")]
+    rows = categories.repair(said.select("*"), g.nodes, g.edges).collect()
+    labels = {r["node_id"]: r["label"] for r in rows}
+    assert labels["kpi.c"] == "Numbers" and labels["p2"] == "Work" and len(labels) == 7
 
 
 def test_category_repair(g, spark):
