@@ -1,18 +1,23 @@
 import pytest
-from evigraph.engine import Engine, NotFound
+from evigraph.engine import WORKSPACE, Engine, NotFound
 from evigraph.operators import graph
+from evigraph.sources.commits import Change
 from pyspark.sql import functions as F
 
-A = "# Revenue\n\nwords\n\n# Churn\n"
-
 
 @pytest.fixture()
 def engine(spark, tmp_path):
     return Engine(spark, str(tmp_path / "space"), now=lambda: 1_700_000_000)
 
 
-def document(engine, path):
-    return next(d["id"] for d in engine.list_documents() if d["path"] == path)
+def write(engine, doc, kpis, sha="s", old=None):
+    """Puts a document, its KPIs and its mentions of them, in the place of the cached content `old`."""
+    rows = lambda name, data: engine.spark.createDataFrame(data, WORKSPACE[name].schema)
+    nodes = [(doc, "Document", doc, "{}", 0.9, False, False, 0, 0), *((k, "Kpi", k, "{}", 0.9, False, False, 0, 0) for k in kpis)]
+    edges = [(f"{doc}-{k}", doc, k, "MentionedIn", 0.9, "Rule", False, False, 0) for k in kpis]
+    cache = rows("document_cache", [(f"{doc}.md", sha, sha, 0, doc)])
+    gone = rows("document_cache", [(f"{doc}.md", old, old, 0, doc)]) if old else None
+    engine._commit(engine.version(), {"nodes": Change(put=rows("nodes", nodes)), "edges": Change(put=rows("edges", edges)), "document_cache": Change(gone=gone, put=cache)}, "written")
 
 
 def test_a_signature_is_that_of_a_multiset(spark):
@@ -25,29 +30,29 @@ def test_a_signature_is_that_of_a_multiset(spark):
 
 
 def test_summaries_of_documents_follow_their_documents(engine):
-    engine.ingest_text(A, "a.md")
-    doc = document(engine, "a.md")
+    write(engine, "a", ["kpi.churn", "kpi.revenue"])
     with pytest.raises(NotFound):
-        engine.suggest_summary([doc], "cached_only")
-    made = engine.suggest_summary([doc])
+        engine.suggest_summary(["a"], "cached_only")
+    made = engine.suggest_summary(["a"])
     assert made["source"] == "rules" and [x["label"] for x in made["config"]["lenses"]] == ["Kpi"]
     assert sorted(r["node_id"] for r in engine.summary_members(made["scope"]).collect()) == ["kpi.churn", "kpi.revenue"]
-    engine.ingest_text("# Retention\n\nother words\n", "b.md")
-    assert engine.suggest_summary([doc, doc]) == {**made, "source": "cache"}
-    engine.ingest_text(A + "\n# Gross margin\n", "a.md")
-    now = document(engine, "a.md")
-    again = engine.suggest_summary([now])
-    assert again["source"] == "rules" and engine.suggest_summary([now], "cached_only")["source"] == "cache"
-    assert engine.suggest_summary([now], "regenerate")["source"] == "rules"
-    (row,) = engine.resolve_summary(document_ids=[now])
+    write(engine, "b", ["kpi.retention"])
+    assert engine.suggest_summary(["a", "a"]) == {**made, "source": "cache"}
+    write(engine, "a", ["kpi.margin"], "t", "s")
+    assert engine.suggest_summary(["a"], "cached_only")["source"] == "cache"
+    assert engine.suggest_summary(["a"])["source"] == "rules" and engine.suggest_summary(["a"])["source"] == "cache"
+    assert engine.suggest_summary(["a"], "regenerate")["source"] == "rules"
+    (row,) = engine.resolve_summary(document_ids=["a"])
     assert (row["lens_id"], row["value"], row["health"]) == ("kpi", 3.0, "good")
 
 
 def test_the_default_summary_is_kept_edited_and_restored(engine):
-    engine.ingest_text(A, "a.md")
+    assert engine.suggest_summary(["none"])["source"] == "empty"
+    write(engine, "a", ["kpi.churn", "kpi.revenue"])
+    write(engine, "b", ["kpi.churn"])
     assert engine.suggest_summary()["source"] == "rules"
     assert engine.edit_summary(lens="kpi", label="Figures")["config"]["lenses"][0]["label"] == "Figures"
     assert engine.suggest_summary()["source"] == "config" and engine.resolve_summary()[0]["label"] == "Figures"
     assert engine.restore_summary()["config"]["lenses"][0]["label"] == "Kpi"
-    (row,) = engine.resolve_lenses(engine.default_summary()["config"], ["kpi"], [document(engine, "a.md")])
-    assert row["value"] == 2.0
+    (row,) = engine.resolve_lenses(engine.default_summary()["config"], ["kpi"], ["b"])
+    assert row["value"] == 1.0
