@@ -176,17 +176,29 @@ def mentioned_concepts(g: Graph) -> DataFrame:
     return g.edges.where("kind = 'MentionedIn'").select(F.col("from_id").alias("document_id"), F.col("to_id").alias("concept_id")).distinct()
 
 
+def ends_of(g: Graph) -> DataFrame:
+    """(evidence_id, from_id, to_id): the ends of the edges that evidence is of, both in one row, so that they are exchanged once."""
+    return g.edge_evidence.join(g.edges.select(F.col("id").alias("edge_id"), "from_id", "to_id"), "edge_id").select("evidence_id", "from_id", "to_id")
+
+
 def touching_evidence(g: Graph) -> DataFrame:
-    """(node, evidence_id), once: own evidence and that of edges at either end."""
-    by_edge = undirected(g.edges).select("node", "edge_id").join(g.edge_evidence, "edge_id").select("node", "evidence_id")
-    return by_edge.unionByName(g.evidence.select(F.col("source_node_id").alias("node"), F.col("id").alias("evidence_id"))).distinct()
+    """(node, evidence_id), once: own evidence and that of edges at either end. Evidence that is missing touches nothing.
+
+    All rows of a piece of evidence meet by its id, once: what follows by that id needs no other exchange."""
+    rows = g.evidence.select(F.col("id").alias("evidence_id"), "source_node_id").join(ends_of(g), "evidence_id", "left")
+    nodes = F.array_distinct(F.array_compact(F.array("source_node_id", "from_id", "to_id")))
+    return rows.select(F.explode(nodes).alias("node"), "evidence_id").distinct()
 
 
 def node_quotes(g: Graph) -> DataFrame:
-    """node_id and its distinct quotes in order, joined by a bar."""
-    quotes = g.evidence.where("quote IS NOT NULL").select(F.col("id").alias("evidence_id"), "quote")
-    rows = touching_evidence(g).join(quotes, "evidence_id").select("node", "quote").distinct()
-    return rows.groupBy(F.col("node").alias("node_id")).agg(F.array_join(F.array_sort(F.collect_list("quote")), " | ").alias("quotes"))
+    """node_id and its distinct quotes in order, joined by a bar.
+
+    Quotes meet edges by the evidence's id and then go to both ends; what comes twice is dropped within the sets, not before."""
+    said = g.evidence.where("quote IS NOT NULL")
+    by_edge = g.edge_evidence.join(said.select(F.col("id").alias("evidence_id"), "quote"), "evidence_id").select("edge_id", "quote")
+    ends = g.edges.select(F.col("id").alias("edge_id"), F.array("from_id", "to_id").alias("ends"))
+    rows = by_edge.join(ends, "edge_id").select(F.explode("ends").alias("node_id"), "quote").unionByName(said.select(F.col("source_node_id").alias("node_id"), "quote"))
+    return rows.groupBy("node_id").agg(F.array_join(F.sort_array(F.collect_set("quote")), " | ").alias("quotes"))
 
 
 def display_confidence(g: Graph) -> DataFrame:

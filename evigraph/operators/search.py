@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_terms, query_terms
+from ..schema import Graph
 
 K1, B = 1.2, 0.75
 SHORTLIST, RESULTS = 40, 20
@@ -112,14 +114,35 @@ def rerank(reply: str | None, size: int) -> list[int]:
     return list(dict.fromkeys(n for n in numbers if 0 <= n < size)) if numbers else list(range(size))
 
 
-def node_texts(nodes: DataFrame, quotes: DataFrame) -> DataFrame:
-    """id, name, definition (of KPIs) and quotes, from nodes and quotes(node_id, quotes)."""
+def node_texts(nodes: DataFrame, quotes: DataFrame | None) -> DataFrame:
+    """id, name, definition (of KPIs) and, if they are given, quotes, from nodes and quotes(node_id, quotes)."""
     from ..functions.jsonx import text_at
 
     definition = F.when(F.col("kind") == "Kpi", text_at(F.col("attrs"), "definition")).alias("definition")
+    if quotes is None:
+        return nodes.select("id", "name", definition)
     return nodes.join(quotes.withColumnRenamed("node_id", "id"), "id", "left").select("id", "name", definition, "quotes")
 
 
+def node_postings(g: Graph, query: str) -> DataFrame:
+    """(id, field, pos, term): the postings of nodes' texts for the terms of a query, without a text of all quotes of each node where none is needed.
+
+    If every phrase of the query is one term, only quotes that hold a term are taken to their nodes; phrases of several terms may run from one quote into
+    the next, and need all of them."""
+    from .graph import node_quotes
+
+    wanted = phrases(g.nodes.sparkSession, [("q", query)])
+    terms = sorted({t for _, _, words in wanted for t in words})
+    evidence = g.evidence
+    if all(len(words) == 1 for _, _, words in wanted):
+        low = F.lower("quote")
+        near = reduce(lambda a, b: a | b, [low.contains(t) for t in terms], F.lit(False))  # cheaper than to take the quote apart
+        evidence = evidence.where(near & F.arrays_overlap(index_terms(F.col("quote")), F.array(*[F.lit(t) for t in terms]).cast("array<string>")))
+    quotes = node_quotes(replace(g, evidence=evidence)).withColumnRenamed("node_id", "id").join(g.nodes.select("id"), "id", "left_semi")
+    named = node_texts(g.nodes, None)
+    return postings(named, "id", ["name", "definition"], terms).unionByName(postings(quotes, "id", ["quotes"], terms))
+
+
 NODE_FIELDS = ["name", "definition", "quotes"]
 SECTION_FIELDS = ["title", "path", "summary", "text"]
 

@@ -191,6 +191,10 @@ def kpi_candidates(spark, sf_dir):
 _TOUCH = "t AS (SELECT from_id AS node, evidence_id FROM g_edges e JOIN g_edge_evidence j ON j.edge_id = e.id UNION SELECT to_id, evidence_id FROM g_edges e JOIN g_edge_evidence j ON j.edge_id = e.id UNION SELECT source_node_id, id FROM g_evidence)"
 
 
+#: What quotes of nodes are made of.
+_QUOTED = {"evidence": ("id", "source_node_id", "quote")}
+
+
 @query("node_quotes", f"--more {_TOUCH} SELECT node AS node_id, string_agg(quote, ' | ' ORDER BY quote) AS quotes FROM (SELECT DISTINCT node, quote FROM t JOIN g_evidence v ON v.id = t.evidence_id WHERE quote IS NOT NULL) GROUP BY 1", ALL)
 def node_quotes(spark, sf_dir):
     return graph.node_quotes(P.graph(spark, sf_dir))
@@ -375,10 +379,9 @@ SELECT * FROM h WHERE kind = 'Decision'""",
     ALL,
 )
 def graph_search_terms(spark, sf_dir):
-    g = P.graph(spark, sf_dir, ("evidence",))
+    g = P.graph(spark, sf_dir, only=_QUOTED)
     query_text = 'red "bolt"'
-    index = search.postings(search.node_texts(g.nodes, graph.node_quotes(g)), "id", search.NODE_FIELDS, search.terms_of(spark, query_text))
-    return search.graph_search(g.nodes, index, query_text, ("Decision",))
+    return search.graph_search(g.nodes, search.node_postings(g, query_text), query_text, ("Decision",))
 
 
 _BM25 = r"""WITH w AS (SELECT doc_id, unnest(list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS term FROM documents),

@@ -100,19 +100,32 @@ def ctes(*views: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{v} AS ({sql(v, 'duckdb')})" for v in views)
 
 
-def frame(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
-    """One graph table, read from the star-schema tables that it needs."""
+#: The column by which Spark deals out the rows of a view that are made distinct, so that joins by it need no other exchange.
+_DEALT = {"g_evidence": "id", "g_edge_evidence": "evidence_id"}
+
+
+def frame(spark: SparkSession, sf_dir: str, view: str, by: str | None = None) -> DataFrame:
+    """One graph table, read from the star-schema tables that it needs. by: another column than that of _DEALT for the exchange of distinct rows."""
     text = sql(view, "spark")
+    if by := by or _DEALT.get(view):
+        head, _, body = text.partition("SELECT DISTINCT")
+        columns, _, source = body.partition(" FROM ")
+        rows = source.strip().removeprefix("(").rpartition(")")[0] if source.lstrip().startswith("(") else f"SELECT {columns} FROM {source}"
+        names = columns if source.lstrip().startswith("(") else "*"
+        text = f"{head}SELECT DISTINCT {names} FROM (SELECT /*+ REPARTITION({by}) */ * FROM ({rows}) r) v"
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in SOURCE_TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     escaped = text.replace("{", "{{").replace("}", "}}")
     return spark.sql(re.sub(rf"\b(FROM|JOIN) ({'|'.join(used)})\b", r"\1 {\2}", escaped), **used)
 
 
-def graph(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = ()) -> Graph:
-    """All graph tables of a folder's star-schema tables. Those in `keep` are projected once, for queries that read them several times."""
+def graph(spark: SparkSession, sf_dir: str, keep: tuple[str, ...] = (), only: dict[str, tuple[str, ...]] | None = None, by: dict[str, str] | None = None) -> Graph:
+    """All graph tables of a folder's star-schema tables. Those in `keep` are projected once, for queries that read them several times.
+
+    only: columns of tables, each of their rows once, for queries that look at no others and do not count rows; by: columns as in `frame`."""
     from ..operators.graph import shared
 
-    frames = {name: frame(spark, sf_dir, f"g_{name}") for name in ("nodes", "edges", "evidence", "edge_evidence", "metric_values", "document_cache")}
+    frames = {name: frame(spark, sf_dir, f"g_{name}", (by or {}).get(name)) for name in ("nodes", "edges", "evidence", "edge_evidence", "metric_values", "document_cache")}
+    frames |= {name: frames[name].select(*columns).distinct() for name, columns in (only or {}).items()}
     frames |= {name: shared(frames[name]) for name in keep}
     candidates = spark.createDataFrame([], "id string, name string, definition string, detected_in array<string>, confidence double, proposed_at long, status string, merged_into string")
     return Graph(kpi_candidates=candidates, **frames)
