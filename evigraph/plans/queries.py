@@ -197,7 +197,7 @@ _QUOTED = {"evidence": ("id", "source_node_id", "quote")}
 
 @query("node_quotes", f"--more {_TOUCH} SELECT node AS node_id, string_agg(quote, ' | ' ORDER BY quote) AS quotes FROM (SELECT DISTINCT node, quote FROM t JOIN g_evidence v ON v.id = t.evidence_id WHERE quote IS NOT NULL) GROUP BY 1", ALL)
 def node_quotes(spark, sf_dir):
-    return graph.node_quotes(P.graph(spark, sf_dir))
+    return graph.node_quotes(P.graph(spark, sf_dir, only=_QUOTED))
 
 
 @query(
