@@ -208,7 +208,7 @@ SELECT n.id AS node_id, round(coalesce(c, n.confidence), 6) AS shown, coalesce(n
     ALL,
 )
 def display_confidence(spark, sf_dir):
-    return graph.display_confidence(P.graph(spark, sf_dir))
+    return graph.display_confidence(P.graph(spark, sf_dir, by={"edge_evidence": "edge_id"}))
 
 
 @query("node_degree", "SELECT node AS node_id, count(*) AS degree FROM (SELECT from_id AS node FROM g_edges UNION ALL SELECT to_id FROM g_edges) GROUP BY 1", ALL[1:2])
