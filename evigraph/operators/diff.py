@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,15 +20,20 @@ def _collisions(rows: DataFrame) -> DataFrame:
     return ranked.where("rank > 1").select("key", "id", F.lit("collision").alias("warning"))
 
 
+def _key() -> Column:
+    """A node's logical key."""
+    return F.concat("kind", F.lit(":"), T.slugify(F.col("name")))
+
+
 def keyed_nodes(nodes: DataFrame) -> DataFrame:
     """Nodes by kind and slug of their name, with what is compared as text."""
     text = lambda c: F.col(c).cast("string").alias(c)
-    return nodes.select(F.concat("kind", F.lit(":"), T.slugify(F.col("name"))).alias("key"), "id", "kind", "name", quantized(F.col("confidence")).cast("string").alias("confidence"), text("is_tainted"), text("requires_human_review"), canonical(F.col("attrs")).alias("attrs"))
+    return nodes.select(_key().alias("key"), "id", "kind", "name", quantized(F.col("confidence")).cast("string").alias("confidence"), text("is_tainted"), text("requires_human_review"), canonical(F.col("attrs")).alias("attrs"))
 
 
 def keyed_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Edges by the keys of their ends and their kind; and warnings of edges with a missing end."""
-    keys = g.nodes.select("id", F.concat("kind", F.lit(":"), T.slugify(F.col("name"))).alias("k"))
+    keys = g.nodes.select("id", _key().alias("k"))
     n = g.edge_evidence.groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("n"))
     text = lambda c: F.col(c).cast("string").alias(c)
     rows = g.edges.join(keys.toDF("from_id", "a"), "from_id", "left").join(keys.toDF("to_id", "b"), "to_id", "left").join(n, "id", "left")
@@ -37,24 +42,57 @@ def keyed_edges(g: Graph) -> tuple[DataFrame, DataFrame]:
     return found, rows.where(missing).select(F.lit(None).cast("string").alias("key"), "id", F.lit("missing end").alias("warning"))
 
 
-def compare(before: DataFrame, after: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """key, change (added, removed, modified), fields that changed, joined by commas, of rows(key, id, fields); of rows with one key the first one by id
-    counts. Both sides meet in one group, so that each row is shuffled once."""
-    side = lambda rows, old: rows.select("key", "id", F.struct(*fields).alias("x"), F.lit(old).alias("old"))
-    first = lambda old: F.min_by("x", F.when(F.col("old") == old, F.col("id")))
-    rows = side(before, True).unionByName(side(after, False)).groupBy("key").agg(first(True).alias("a"), first(False).alias("b"))
-    changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), F.lit(f)) for f in fields]))
+def _met(before: DataFrame, after: DataFrame) -> DataFrame:
+    """id, a, b: the rows (as structs, null if there is none) that each id has before and after; both sides are exchanged once, by id. Of several rows
+    with one id any may meet any, which `_firsts` does not mind."""
+    side = lambda rows, name: rows.select("id", F.struct(*[c for c in rows.columns if c != "id"]).alias(name))
+    return side(before, "a").join(side(after, "b"), "id", "full_outer")
+
+
+def _firsts(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """key, change (added, removed, modified), fields that changed, joined by commas, of rows(id, ka, a, kb, b): of the rows that have a key on one side
+    the first one by id counts. A row whose keys are the same on both sides is exchanged once for both."""
+    one = lambda key, a, b: F.struct(key.alias("key"), a.alias("a"), b.alias("b"))
+    a, b, none_a, none_b = F.col("a"), F.col("b"), F.lit(None), F.lit(None)
+    parts = F.when(F.col("ka") == F.col("kb"), F.array(one(F.col("ka"), a, b))).otherwise(F.array(one(F.col("ka"), a, none_b), one(F.col("kb"), none_a, b)))
+    rows = rows.select("id", F.explode(parts).alias("x")).select("id", "x.*").where("key IS NOT NULL")
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
+    rows = rows.groupBy("key").agg(first("a"), first("b"))
+    differs = lambda f: ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
+    # the members of attributes are looked at only where their texts differ
+    members = differs("attrs") & ~canonical(F.col("a.attrs")).eqNullSafe(canonical(F.col("b.attrs"))) if "attrs" in fields else None
+    changed = F.array_compact(F.array(*[F.when(members if f == "attrs" else differs(f), F.lit(f)) for f in fields]))
     change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.size(changed) > 0, "modified")
     told = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.array_join(changed, ",")).otherwise("")
     return rows.select("key", change.alias("change"), told.alias("fields")).where("change IS NOT NULL")
 
 
 def diff_nodes(before: Graph, after: Graph) -> DataFrame:
-    return compare(keyed_nodes(before.nodes), keyed_nodes(after.nodes), NODE_FIELDS)
+    """key, change, fields of nodes, by kind and slug of their name."""
+    side = lambda g: g.nodes.select("id", _key().alias("key"), "kind", "name", quantized(F.col("confidence")).alias("confidence"), "is_tainted", "requires_human_review", "attrs")
+    rows = _met(side(before), side(after))
+    return _firsts(rows.select("id", F.col("a.key").alias("ka"), "a", F.col("b.key").alias("kb"), "b"), NODE_FIELDS)
 
 
 def diff_edges(before: Graph, after: Graph) -> DataFrame:
-    return compare(keyed_edges(before)[0], keyed_edges(after)[0], EDGE_FIELDS)
+    """key, change, fields of edges, by the keys of their ends and their kind. The two graphs meet by the edges' ids first and look up their ends'
+    keys of before and after together; an edge whose ends differ is looked up for each."""
+
+    def side(g: Graph) -> DataFrame:
+        n = g.edge_evidence.groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("n"))
+        return g.edges.join(n, "id", "left").select("id", "from_id", "to_id", "kind", quantized(F.col("confidence")).alias("confidence"), "is_tainted", "requires_human_review", "created_by", F.coalesce("n", F.lit(0)).alias("evidence"))
+
+    keys = lambda g: g.nodes.select("id", _key().alias("k"))
+    known = _met(keys(before), keys(after)).select("id", F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    rows = _met(side(before), side(after))
+    same = (F.col("a.from_id") == F.col("b.from_id")) & (F.col("a.to_id") == F.col("b.to_id"))
+    a, b, no = F.col("a"), F.col("b"), F.lit(None)
+    one = lambda ends, a, b: F.struct(ends["from_id"].alias("from_id"), ends["to_id"].alias("to_id"), a.alias("a"), b.alias("b"))
+    parts = F.when(same, F.array(one(a, a, b))).when(b.isNull(), F.array(one(a, a, no))).when(a.isNull(), F.array(one(b, no, b))).otherwise(F.array(one(a, a, no), one(b, no, b)))
+    rows = rows.select("id", F.explode(parts).alias("x")).select("id", "x.from_id", "x.to_id", *[F.when(F.col(f"x.{s}").isNotNull(), F.struct(*[F.col(f"x.{s}.{f}").alias(f) for f in ("kind", *EDGE_FIELDS)])).alias(s) for s in "ab"])
+    rows = rows.join(known.toDF("from_id", "fa", "fb"), "from_id").join(known.toDF("to_id", "ta", "tb"), "to_id")
+    key = lambda s: F.when(F.col(s).isNotNull(), F.concat(f"f{s}", F.lit("->"), f"t{s}", F.lit(":"), f"{s}.kind"))
+    return _firsts(rows.select("id", key("a").alias("ka"), "a", key("b").alias("kb"), "b"), EDGE_FIELDS)
 
 
 def warnings(before: Graph, after: Graph) -> DataFrame:
