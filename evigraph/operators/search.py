@@ -30,6 +30,12 @@ def lengths(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.count("*").alias("length"))
 
 
+def text_lengths(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, length) as `lengths` of all postings has it, counted in each row without a row for each term."""
+    length = reduce(lambda a, b: a + b, [F.size(index_terms(F.col(f))) for f in fields]).cast("long")
+    return docs.select(key, length.alias("length")).where("length > 0").groupBy(key).agg(F.sum("length").alias("length"))
+
+
 def phrases(spark, queries: list[tuple[str, str]]) -> list[tuple[str, int, list[str]]]:
     """(query id, number of the phrase, its terms): each word of a query is a phrase of the terms that it has."""
     rows = spark.createDataFrame(queries, "qid string, query string").select("qid", F.posexplode(query_terms(F.col("query"))).alias("n", "word")).select("qid", "n", index_terms(F.col("word")).alias("terms")).collect()

@@ -244,7 +244,7 @@ def scoped_subgraph(spark, sf_dir):
 
 @query("orphan_edges", "SELECT id, kind FROM g_edges WHERE id NOT IN (SELECT edge_id FROM g_edge_evidence)", ("g_edges", "g_edge_evidence"))
 def orphan_edges(spark, sf_dir):
-    return graph.orphan_edges(P.graph(spark, sf_dir)).select("id", "kind")
+    return graph.orphan_edges(P.graph(spark, sf_dir, only={"edge_evidence": ("edge_id",)}, by={"edge_evidence": "edge_id"})).select("id", "kind")
 
 
 # Series.
@@ -395,7 +395,9 @@ SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FR
 def _bm25(spark, sf_dir, source=None):
     docs = table(spark, sf_dir, "documents")
     scope = docs.where(F.col("source") == source).select("doc_id") if source else None
-    scored = search.bm25(search.postings(docs, "doc_id", ["text"]), "doc_id", [("q", "the license")], scope)
+    query_text = "the license"
+    index = search.postings(docs, "doc_id", ["text"], search.terms_of(spark, query_text))
+    scored = search.bm25(index, "doc_id", [("q", query_text)], scope, search.text_lengths(docs, "doc_id", ["text"]))
     return search.top(scored, "doc_id", 20).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
