@@ -27,6 +27,11 @@ def shared(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """df, sent to all tasks by joins if it has few rows. It is counted here, so it should be `shared`."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(node, other, edge_id, kind): each edge from both of its ends."""
     out = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), F.col("id").alias("edge_id"), "kind")

@@ -153,7 +153,8 @@ def removed(g: Graph, ids: DataFrame) -> dict[str, DataFrame]:
 
 
 def remove_nodes(g: Graph, ids: DataFrame) -> Graph:
-    """The graph without the nodes ids(id) and all that goes with them."""
+    """The graph without the nodes ids(id) and all that goes with them. ids is counted; few are sent to all tasks, so that no table is exchanged for them."""
+    ids = G.sized(ids)
     nodes = g.nodes.join(ids, "id", "left_anti")
     evidence = g.evidence.join(ids.withColumnRenamed("id", "source_node_id"), "source_node_id", "left_anti")
     edges = g.edges
@@ -228,10 +229,13 @@ def clear_review_flags(nodes: DataFrame) -> DataFrame:
 
 
 def generation_closure(g: Graph, contents: DataFrame) -> Graph:
-    """What rests on contents(sha256): evidence of those blobs, its edges, their ends and the evidence's sources. Values and candidates are left out."""
-    evidence = g.evidence.join(contents.select(F.col("sha256").alias("blob_sha256")).distinct(), "blob_sha256", "left_semi").select(*g.evidence.columns)
-    pairs = g.edge_evidence.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select("edge_id", "evidence_id")
-    edges = g.edges.join(pairs.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi")
+    """What rests on contents(sha256): evidence of those blobs, its edges, their ends and the evidence's sources. Values and candidates are left out.
+
+    Each part is computed once, for itself and for those that rest on it; few contents are sent to all tasks."""
+    blobs = G.sized(G.shared(contents.select(F.col("sha256").alias("blob_sha256")).distinct()))
+    evidence = G.shared(g.evidence.join(blobs, "blob_sha256", "left_semi").select(*g.evidence.columns))
+    pairs = G.shared(g.edge_evidence.join(evidence.select(F.col("id").alias("evidence_id")), "evidence_id", "left_semi").select("edge_id", "evidence_id"))
+    edges = G.shared(g.edges.join(pairs.select(F.col("edge_id").alias("id")).distinct(), "id", "left_semi").select(*g.edges.columns))
     ids = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).union(evidence.select("source_node_id")).distinct()
     nodes = g.nodes.join(ids, "id", "left_semi")
     return Graph(nodes, edges, evidence, pairs, g.metric_values.limit(0), g.kpi_candidates.limit(0), g.document_cache)
