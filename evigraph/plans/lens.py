@@ -289,12 +289,16 @@ def _evidence_rows(g: Graph, members: DataFrame, faceted: DataFrame | None, limi
     return rows.unionByName(more.join(rows.select("lens_id", "evidence_id"), ["lens_id", "evidence_id"], "left_anti"))
 
 
+def _of(g: Graph, ids: DataFrame) -> DataFrame:
+    """The evidence with these ids(id), a frame that is shared: few ids go to the evidence, before it is exchanged."""
+    return g.evidence.join(G.sized(ids.where("id IS NOT NULL").distinct()), "id", "left_semi")
+
+
 def member_evidence(g: Graph, members: DataFrame, faceted: DataFrame | None, limits: DataFrame) -> DataFrame:
     """lens_id, evidence_ids (the first MOST_SHOWN, in order), n_evidence, lineage_at (the newest time of all of the evidence)."""
     rows = _evidence_rows(g, members, faceted, limits)
-    if faceted is not None:
-        rows = G.shared(rows)
-    times = g.evidence.select(F.col("id").alias("evidence_id"), "ts")
+    rows = G.shared(rows)
+    times = _of(g, rows.select(F.col("evidence_id").alias("id"))).select(F.col("id").alias("evidence_id"), "ts")
     newest = rows.join(times, "evidence_id", "left").groupBy("lens_id").agg(F.count("*").alias("n_evidence"), F.max("ts").alias("lineage_at"))
     shown = rows.withColumn("k", F.row_number().over(Window.partitionBy("lens_id").orderBy("o"))).where(F.col("k") <= MOST_SHOWN)
     listed = shown.groupBy("lens_id").agg(F.transform(F.array_sort(F.collect_list("o")), lambda x: x["evidence_id"]).alias("evidence_ids"))
@@ -365,7 +369,8 @@ def ref_kpi(g: Graph, asked: DataFrame, now: int) -> DataFrame:
     values = values.where(keep & (F.col("cutoff").isNull() | (F.col("at") <= F.col("cutoff"))))
     clash = values.groupBy("lens_id", "kpi", "at", ascii_lower(F.col("unit")).alias("u")).agg((F.max("value") - F.min("value") > series.EPSILON).alias("c")).groupBy("lens_id", "kpi").agg(F.bool_or("c").alias("conflict"))
     last = values.groupBy("lens_id", "kpi").agg(F.max(F.struct("at", "observed_at", "id", "value", "unit", "evidence_id")).alias("m"))
-    conf = g.evidence.select(F.col("id").alias("v"), F.col("confidence").alias("vc"), F.col("ts").alias("vt"))
+    last = G.shared(last)
+    conf = _of(g, last.select(F.col("m.evidence_id").alias("id"))).select(F.col("id").alias("v"), F.col("confidence").alias("vc"), F.col("ts").alias("vt"))
     attrs = g.nodes.where("kind = 'Kpi'").select(F.col("id").alias("kpi_id"), J.number_at(F.col("attrs"), "value").alias("av"), F.col("confidence").alias("ac"), J.unit_text(J.text_at(F.col("attrs"), "unit")).alias("au"))
     rows = rows.join(last, ["lens_id", "kpi"], "left").join(clash, ["lens_id", "kpi"], "left").join(attrs, "kpi_id", "left")
     rows = rows.join(conf, F.col("m.evidence_id") == F.col("v"), "left")

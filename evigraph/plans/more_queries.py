@@ -190,7 +190,7 @@ UNION ALL SELECT 'vague', 'unknown', NULL, NULL, NULL, 'unknown'""",
     ("g_nodes", "g_edges", "g_metric_values"),
 )
 def lens_resolution(spark, sf_dir):
-    return lens.resolve(P.graph(spark, sf_dir, ("nodes", "edges")), LENSES, ANCHOR).select("lens_id", "state", "value", "unit", "observed_at", "health")
+    return lens.resolve(P.graph(spark, sf_dir, ("nodes", "edges"), by={"edge_evidence": "edge_id"}), LENSES, ANCHOR).select("lens_id", "state", "value", "unit", "observed_at", "health")
 
 
 #: Lenses over evidence of mentions, of facets and of values.
