@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..functions.confidence import quantized
 from ..functions.jsonx import canonical
 from ..schema import Graph
+from .graph import shared, sized
 
 NODE_FIELDS = ("kind", "name", "confidence", "is_tainted", "requires_human_review", "attrs")
 EDGE_FIELDS = ("confidence", "is_tainted", "requires_human_review", "created_by", "evidence")
@@ -49,15 +50,19 @@ def _met(before: DataFrame, after: DataFrame) -> DataFrame:
     return side(before, "a").join(side(after, "b"), "id", "full_outer")
 
 
-def _firsts(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """key, change (added, removed, modified), fields that changed, joined by commas, of rows(id, ka, a, kb, b): of the rows that have a key on one side
-    the first one by id counts. A row whose keys are the same on both sides is exchanged once for both."""
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """key, a, b of rows(id, ka, a, kb, b): of the rows that have a key on one side the first one by id counts. A row whose keys are the same on both
+    sides is exchanged once for both."""
     one = lambda key, a, b: F.struct(key.alias("key"), a.alias("a"), b.alias("b"))
     a, b, none_a, none_b = F.col("a"), F.col("b"), F.lit(None), F.lit(None)
     parts = F.when(F.col("ka") == F.col("kb"), F.array(one(F.col("ka"), a, b))).otherwise(F.array(one(F.col("ka"), a, none_b), one(F.col("kb"), none_a, b)))
     rows = rows.select("id", F.explode(parts).alias("x")).select("id", "x.*").where("key IS NOT NULL")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    rows = rows.groupBy("key").agg(first("a"), first("b"))
+    return rows.groupBy("key").agg(first("a"), first("b"))
+
+
+def _told(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """key, change (added, removed, modified), fields that changed, joined by commas, of rows(key, a, b)."""
     differs = lambda f: ~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}"))
     # the members of attributes are looked at only where their texts differ
     members = differs("attrs") & ~canonical(F.col("a.attrs")).eqNullSafe(canonical(F.col("b.attrs"))) if "attrs" in fields else None
@@ -67,6 +72,11 @@ def _firsts(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return rows.select("key", change.alias("change"), told.alias("fields")).where("change IS NOT NULL")
 
 
+def _firsts(rows: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """key, change, fields of rows(id, ka, a, kb, b), as `_first_rows` and `_told` have it."""
+    return _told(_first_rows(rows), fields)
+
+
 def diff_nodes(before: Graph, after: Graph) -> DataFrame:
     """key, change, fields of nodes, by kind and slug of their name."""
     side = lambda g: g.nodes.select("id", _key().alias("key"), "kind", "name", quantized(F.col("confidence")).alias("confidence"), "is_tainted", "requires_human_review", "attrs")
@@ -74,16 +84,23 @@ def diff_nodes(before: Graph, after: Graph) -> DataFrame:
     return _firsts(rows.select("id", F.col("a.key").alias("ka"), "a", F.col("b.key").alias("kb"), "b"), NODE_FIELDS)
 
 
+def _known(before: Graph, after: Graph) -> DataFrame:
+    """id, a, b: the keys of each node before and after."""
+    keys = lambda g: g.nodes.select("id", _key().alias("k"))
+    return _met(keys(before), keys(after)).select("id", F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+
+
 def diff_edges(before: Graph, after: Graph) -> DataFrame:
     """key, change, fields of edges, by the keys of their ends and their kind. The two graphs meet by the edges' ids first and look up their ends'
-    keys of before and after together; an edge whose ends differ is looked up for each."""
+    keys of before and after together; an edge whose ends differ is looked up for each. Edges and evidence that both graphs share need not meet."""
+    if before.edges is after.edges and before.edge_evidence is after.edge_evidence:
+        return _diff_shared_edges(before, after)
 
     def side(g: Graph) -> DataFrame:
         n = g.edge_evidence.groupBy(F.col("edge_id").alias("id")).agg(F.count("*").alias("n"))
         return g.edges.join(n, "id", "left").select("id", "from_id", "to_id", "kind", quantized(F.col("confidence")).alias("confidence"), "is_tainted", "requires_human_review", "created_by", F.coalesce("n", F.lit(0)).alias("evidence"))
 
-    keys = lambda g: g.nodes.select("id", _key().alias("k"))
-    known = _met(keys(before), keys(after)).select("id", F.col("a.k").alias("a"), F.col("b.k").alias("b"))
+    known = _known(before, after)
     rows = _met(side(before), side(after))
     same = (F.col("a.from_id") == F.col("b.from_id")) & (F.col("a.to_id") == F.col("b.to_id"))
     a, b, no = F.col("a"), F.col("b"), F.lit(None)
@@ -95,6 +112,26 @@ def diff_edges(before: Graph, after: Graph) -> DataFrame:
     return _firsts(rows.select("id", key("a").alias("ka"), "a", key("b").alias("kb"), "b"), EDGE_FIELDS)
 
 
+def _diff_shared_edges(before: Graph, after: Graph) -> DataFrame:
+    """The differences of edges where only nodes changed. An edge is the same on both sides, with as much evidence: a key differs only if other edges
+    come first in it, and evidence is counted for these alone, before its rows are exchanged if they are few."""
+    known = _known(before, after)
+    said = F.struct("id", quantized(F.col("confidence")).alias("confidence"), "is_tainted", "requires_human_review", "created_by")
+    rows = before.edges.select("id", "from_id", "to_id", "kind", said.alias("e"))
+    rows = rows.join(known.toDF("from_id", "fa", "fb"), "from_id").join(known.toDF("to_id", "ta", "tb"), "to_id")
+    key = lambda s: F.concat(f"f{s}", F.lit("->"), f"t{s}", F.lit(":"), "kind").alias(f"k{s}")
+    seen = lambda s: F.when(F.col(f"k{s}").isNotNull(), F.col("e")).alias(s)
+    rows = rows.select("id", "e", key("a"), key("b")).select("id", "ka", seen("a"), "kb", seen("b"))
+    moved = shared(_first_rows(rows).where("NOT (a.id <=> b.id)"))
+    both = moved.where("a IS NOT NULL AND b IS NOT NULL")
+    asked = sized(shared(both.select(F.explode(F.array("a.id", "b.id")).alias("edge_id")).distinct()))
+    n = shared(before.edge_evidence.join(asked, "edge_id", "left_semi").groupBy("edge_id").agg(F.count("*").alias("n")))
+    counted = moved
+    for s in "ab":
+        counted = counted.withColumn("edge_id", F.col(f"{s}.id")).join(sized(n), "edge_id", "left").withColumn(s, F.when(F.col(s).isNotNull(), F.struct(f"{s}.*", F.coalesce("n", F.lit(0)).alias("evidence")))).drop("edge_id", "n")
+    return _told(counted, EDGE_FIELDS)
+
+
 def warnings(before: Graph, after: Graph) -> DataFrame:
     """side, what, key, id, warning: keys that several rows have, and edges whose ends are missing."""
     out = None
