@@ -106,17 +106,22 @@ def impact(edges: DataFrame, starts: DataFrame, max_depth: int = 3) -> DataFrame
     """start, node_id, depth, path (ids joined by >): all nodes that can be reached over outgoing edges from each of starts(start), once, at their
     smallest depth; of shortest paths the one that comes first in order. Starts are not listed.
 
-    One join for each level, with only the newest level's rows; visited pairs go by an anti join, and each level is cut off by a checkpoint."""
-    steps = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct()
-    front = shared(starts.select("start", F.col("start").alias("id"), F.col("start").alias("path")).distinct())
-    levels, seen = [], front.select("start", "id")
+    Distinct steps are found once; the first level is those of the starts, and each later one joins the newest level's rows alone. Rows carry their path
+    without its start; visited pairs go by an anti join, and each level but the last is cut off by a checkpoint."""
+    steps = shared(edges.where("to_id IS NOT NULL").select(F.col("from_id").alias("id"), F.col("to_id").alias("next")).distinct())
+    first = steps.where("id <> next").select(F.col("id").alias("start"), F.col("next").alias("id"), F.col("next").alias("tail"))
+    front = first.join(starts.select("start"), "start", "left_semi")
+    levels, seen = [], None
     for depth in range(1, max_depth + 1):
-        found = front.join(steps, "id").select("start", F.col("next").alias("id"), F.concat_ws(">", "path", "next").alias("path"))
-        front = shared(found.groupBy("start", "id").agg(F.min("path").alias("path")).join(seen, ["start", "id"], "left_anti"))
-        levels.append(front.select("start", F.col("id").alias("node_id"), F.lit(depth).alias("depth"), "path"))
-        seen = seen.unionByName(front.select("start", "id"))
-        if front.isEmpty():
+        if depth > 1:
+            found = front.join(steps, "id").where("start <> next").select("start", F.col("next").alias("id"), F.concat_ws(">", "tail", "next").alias("tail"))
+            front = found.groupBy("start", "id").agg(F.min("tail").alias("tail")).join(seen, ["start", "id"], "left_anti")
+        front = shared(front) if depth < max_depth else front
+        levels.append(front.select("start", F.col("id").alias("node_id"), F.lit(depth).alias("depth"), F.concat_ws(">", "start", "tail").alias("path")))
+        if depth < max_depth and front.isEmpty():
             break
+        pairs = front.select("start", "id")
+        seen = pairs if seen is None else seen.unionByName(pairs)
     return reduce(DataFrame.unionByName, levels)
 
 
