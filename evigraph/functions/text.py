@@ -134,7 +134,7 @@ def query_terms(c: Column) -> Column:
 
 def index_terms(c: Column) -> Column:
     """The terms that the text indexes hold: lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def compact_number(c: Column) -> Column:

@@ -26,6 +26,21 @@ def postings(docs: DataFrame, key: str, fields: list[str], terms: list[str] | No
     return docs.select(key, F.explode(F.concat(*parts)).alias("p")).select(key, "p.*")
 
 
+def counted_postings(docs: DataFrame, key: str, fields: list[str], terms: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The postings of these terms, as `postings` has them, and (key, length) as `lengths` of all postings has it. Each text is read and taken apart
+    once for both; what stays of it, its length and the places of the terms, is `shared`."""
+    from .graph import shared
+
+    def of(n: int, field: str):
+        return F.array_compact(F.transform(f"terms{n}", lambda t, i: F.when(t.isin(*terms), F.struct(F.lit(field).alias("field"), i.alias("pos"), t.alias("term")))))
+
+    parsed = docs.select(key, *[index_terms(F.col(f)).alias(f"terms{n}") for n, f in enumerate(fields)])
+    found = [of(n, f) for n, f in enumerate(fields)]
+    length = reduce(lambda a, b: a + b, [F.size(f"terms{n}") for n in range(len(fields))]).cast("long")
+    rows = shared(parsed.select(key, length.alias("length"), F.concat(*found).alias("found")))
+    return rows.select(key, F.explode("found").alias("p")).select(key, "p.*"), rows.where("length > 0").groupBy(key).agg(F.sum("length").alias("length"))
+
+
 def lengths(index: DataFrame, key: str) -> DataFrame:
     return index.groupBy(key).agg(F.count("*").alias("length"))
 

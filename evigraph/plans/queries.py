@@ -396,8 +396,8 @@ def _bm25(spark, sf_dir, source=None):
     docs = table(spark, sf_dir, "documents")
     scope = docs.where(F.col("source") == source).select("doc_id") if source else None
     query_text = "the license"
-    index = search.postings(docs, "doc_id", ["text"], search.terms_of(spark, query_text))
-    scored = search.bm25(index, "doc_id", [("q", query_text)], scope, search.text_lengths(docs, "doc_id", ["text"]))
+    index, length = search.counted_postings(docs, "doc_id", ["text"], search.terms_of(spark, query_text))
+    scored = search.bm25(index, "doc_id", [("q", query_text)], scope, length)
     return search.top(scored, "doc_id", 20).select("doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
